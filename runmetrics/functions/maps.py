@@ -13,12 +13,14 @@ def merge_maps(first: Column | str, *others: Column | str) -> Column:
     """Merge maps; a later map wins over an earlier one for the same key."""
     merged = col(first)
     for other in others:
-        later = col(other)
-        kept = F.map_filter(merged, lambda k, v, later=later: ~F.map_contains_key(later, k))
-        merged = F.map_concat(kept, later)
+        merged = F.map_concat(_without_keys(merged, col(other)), col(other))
     return merged
 
 
+def _without_keys(kept: Column, later: Column) -> Column:
+    return F.map_filter(kept, lambda k, v: ~F.map_contains_key(later, k))
+
+
 def literal_map(values: Mapping[str, str]) -> Column:
     if not values:
         return F.create_map().cast("map<string,string>")

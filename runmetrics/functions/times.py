@@ -51,7 +51,7 @@ def java_pattern(strftime: str) -> str:
 def duration_between(start: Column | str, end: Column | str) -> Column:
     """Milliseconds from start to end, never negative; null while not ended."""
     gap = F.unix_millis(col(end)) - F.unix_millis(col(start))
-    return F.when(col(end).isNotNull(), F.greatest(F.lit(0).cast("long"), gap))
+    return F.when(gap.isNotNull(), F.greatest(F.lit(0).cast("long"), gap))
 
 
 def whole_seconds(duration_ms: Column | str) -> Column:

@@ -97,20 +97,22 @@ def neighbours(edges: DataFrame, direction: str = "dependents", key: str = "work
 
 
 def neighbour_counts(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
-    """Number of direct dependencies and dependents of every task."""
+    """Number of direct dependencies and dependents of every defined task."""
+    end = "struct<task:{0},i:int,o:int,known:int>".format(nodes.schema["task"].dataType.simpleString())
     ends = edges.select(key, "src", "dst").distinct().select(
         key,
         F.explode(
             F.array(
-                F.struct(F.col("dst").alias("task"), F.lit(1).alias("i"), F.lit(0).alias("o")),
-                F.struct(F.col("src").alias("task"), F.lit(0).alias("i"), F.lit(1).alias("o")),
+                F.struct("dst", F.lit(1), F.lit(0), F.lit(0)).cast(end),
+                F.struct("src", F.lit(0), F.lit(1), F.lit(0)).cast(end),
             )
         ).alias("e"),
     ).select(key, "e.*")
-    all_tasks = nodes.select(key, "task", F.lit(0).alias("i"), F.lit(0).alias("o"))
-    return all_tasks.unionByName(ends).groupBy(key, "task").agg(
-        F.sum("i").alias("dependencies"), F.sum("o").alias("dependents")
+    defined = nodes.select(key, "task", F.lit(0).alias("i"), F.lit(0).alias("o"), F.lit(1).alias("known"))
+    counts = defined.unionByName(ends).groupBy(key, "task").agg(
+        F.sum("i").alias("dependencies"), F.sum("o").alias("dependents"), F.max("known").alias("known")
     )
+    return counts.filter("known = 1").drop("known")
 
 
 def dag_roots(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
@@ -123,9 +125,8 @@ def dag_leaves(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> Dat
 
 def workflows_without_root(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
     """Workflows in which every task has a dependency."""
-    return neighbour_counts(nodes, edges, key).groupBy(key).agg(
-        F.min("dependencies").alias("__least")
-    ).filter(F.col("__least") > 0).select(key)
+    rooted = dag_roots(nodes, edges, key).select(key)
+    return nodes.select(key).distinct().join(rooted, key, "left_anti")
 
 
 def dag_reach(edges: DataFrame, sources: DataFrame, key: str = "workflow", label: str | None = None) -> DataFrame:
@@ -135,7 +136,7 @@ def dag_reach(edges: DataFrame, sources: DataFrame, key: str = "workflow", label
     found for every label on its own.
     """
     ids = [key] + ([label] if label else [])
-    step = edges.select(key, F.col("src").alias("task"), "dst").distinct()
+    step = cut_lineage(edges.select(key, F.col("src").alias("task"), "dst").distinct())
     frontier = cut_lineage(sources.select(*ids, "task").distinct())
     found = [frontier]
     while not frontier.isEmpty():

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import brace_error, destination_parts
+from ..session import cut_lineage
 from . import dag
 
 # Task types that can be run.
@@ -109,8 +110,10 @@ def definition_issues(
     (workflow, task, ordinal, name, task_type, depends_on, max_attempts,
     backoff_multiplier, when, config).
     """
-    nodes = definitions.select("workflow", "task")
-    edges = dag.dag_edges(definitions)
+    # The graph checks read both many times over, so they are computed once.
+    places = cut_lineage(definitions.select("workflow", "task", F.col("ordinal").cast("int").alias("ordinal")))
+    edges = cut_lineage(dag.dag_edges(definitions))
+    nodes = places.select("workflow", "task")
     task = F.col("task")
 
     def graph_issue(df: DataFrame, severity: str, kind: str, message: Column) -> DataFrame:
@@ -127,9 +130,7 @@ def definition_issues(
         graph_issue(dag.dag_unreachable(nodes, edges), WARNING, "unreachable",
                     F.format_string("Task '%s' is unreachable", task)),
     ]
-    placed = reduce(DataFrame.unionByName, on_graph).join(
-        definitions.select("workflow", "task", F.col("ordinal").cast("int").alias("ordinal")), ["workflow", "task"]
-    )
+    placed = reduce(DataFrame.unionByName, on_graph).join(places, ["workflow", "task"])
     parts = [
         placed.select(*ISSUE_COLUMNS),
         config_issues(definitions, task_types),

@@ -184,7 +184,7 @@ add(
         "doc_id", tx.truncate_text("text", 200).alias("short"), F.length(tx.truncate_text("text", 1500, tx.MESSAGE_MARKER)).alias("message_length"),
     ),
     """select doc_id, case when length(text) > 200 then concat(substring(text, 1, 200), '...') else text end as short,
-              cast(case when length(text) > 1500 then 1500 + 28 else length(text) end as int) as message_length
+              cast(case when length(text) > 1500 then 1500 + 26 else length(text) end as int) as message_length
        from documents""",
 )
 add(
