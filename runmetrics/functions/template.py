@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import MapType, StructType
 
 from . import text, times
+from .maps import literal_map, merge_maps
 from .status import col
 
 _EXPRESSION = re.compile(r"\{\{\{?\s*(.*?)\s*\}?\}\}", re.S)
@@ -92,6 +93,17 @@ def render(df: DataFrame, template: str, context: Mapping[str, Column] | None =
     return F.concat(*pieces) if pieces else F.lit("")
 
 
+def render_rows(df: DataFrame, template: str, *keys: str) -> DataFrame:
+    """One text per row, next to its keys."""
+    return df.select(*keys, render(df, template).alias("content"))
+
+
+def build_variables(*sources: Mapping[str, str] | Column) -> Column:
+    """One variable map from several, a later source winning: global, then template, then data."""
+    columns = [s if isinstance(s, Column) else literal_map(s) for s in sources]
+    return merge_maps(columns[0], *columns[1:])
+
+
 def fill(template: str, **values: Column | str) -> Column:
     """Short form for fixed layouts: ``{{name}}`` only, values given by keyword."""
     pieces = [
