@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import LISTING_MARKER, truncate_text
 from ..functions.times import rfc3339
+from .results import nested_summary
 from .routing import outcome_filter
 
 
@@ -65,18 +66,7 @@ def project_tasks(tasks: DataFrame, options: OutputOptions, keys: tuple[str, ...
 
 def project_runs(nested: DataFrame, options: OutputOptions) -> DataFrame:
     """The output fields of runs that carry their tasks; nothing is exploded or shuffled."""
-    statuses = F.transform("tasks", lambda t: t["status"])
-
-    def count(*names: str) -> Column:
-        return F.size(F.filter(statuses, lambda s: s.isin(*names))).cast("long")
-
-    total = F.greatest(F.size("tasks"), F.lit(0)).cast("long")
-    rate = F.when(total > 0, count("success").cast("double") / total * F.lit(100.0)).otherwise(F.lit(0.0))
-    summary = F.struct(
-        total.alias("total_tasks"), count("success").alias("successful_tasks"),
-        count("failed", "timeout").alias("failed_tasks"), count("skipped").alias("skipped_tasks"),
-        count("cancelled").alias("cancelled_tasks"), rate.alias("success_rate"),
-    )
+    summary = F.struct(*nested_summary("tasks"))
     fields = [F.col("workflow_name"), F.col("run_id"), F.col("status"), *_common(F.col, options), summary.alias("summary")]
     if options.include_task_results:
         kept = F.filter("tasks", lambda t: outcome_filter(t["status"], options.filter_successful, options.filter_failed))

@@ -17,6 +17,7 @@ from ..functions import text as tx
 from ..functions.maps import literal_map
 from ..functions.template import fill
 from ..functions.times import PERIOD_UNITS, clock_text, fixed_text, rfc3339, seconds_text
+from .results import nested_summary
 from .routing import Filters, outcome_filter, task_filter
 from .windows import top_n_per_key
 
@@ -127,9 +128,7 @@ def _took(duration: Column) -> Column:
     return _line(" (took {{x}}s)", duration, seconds_text(duration, 1))
 
 
-def report_run_summary(runs: DataFrame, tasks: DataFrame, template: str = "default", at: Column | None = None) -> DataFrame:
-    """Summary report of every run; ``runs`` as made by ``run_facts``."""
-    failures = failed_task_digest(tasks).select("run_id", "digest")
+def _run_summaries(rows: DataFrame, template: str, at: Column | None) -> DataFrame:
     content = fill(
         RUN_SUMMARY,
         icon=st.icon("status", st.RUN_ICONS), name="workflow_name", run="run_id", status="status",
@@ -140,10 +139,32 @@ def report_run_summary(runs: DataFrame, tasks: DataFrame, template: str = "defau
     )
     title = fill("Workflow Summary: {{n}} - {{s}}", n="workflow_name", s="status")
     metadata = _metadata("summary", template, workflow_name=F.col("workflow_name"), run_id=F.col("run_id"), status=F.col("status"))
-    return _reports(
-        runs.join(failures, "run_id", "left"), ["run_id"], "summary", title, content, metadata,
-        F.current_timestamp() if at is None else at,
+    keys = [c for c in ("run_id", "route") if c in rows.columns]
+    return _reports(rows, keys, "summary", title, content, metadata, F.current_timestamp() if at is None else at)
+
+
+def report_run_summary(runs: DataFrame, tasks: DataFrame, template: str = "default", at: Column | None = None) -> DataFrame:
+    """Summary report of every run; ``runs`` as made by ``run_facts``."""
+    failures = failed_task_digest(tasks).select("run_id", "digest")
+    return _run_summaries(runs.join(failures, "run_id", "left"), template, at)
+
+
+def report_nested_summary(nested: DataFrame, template: str = "default", at: Column | None = None) -> DataFrame:
+    """The same report for runs that carry their tasks: row by row, so it also works on a stream."""
+
+    def line(task: Column) -> Column:
+        return fill(FAILURE_LINE, task=task["task_id"], type=task["task_type"],
+                    error=F.coalesce(task["error"], F.lit(UNKNOWN_ERROR)))
+
+    failed = F.filter("tasks", lambda task: st.is_failed(task["status"]))
+    left_out = F.size(failed) - SHOWN_FAILURES
+    digest = F.concat(
+        F.lit(FAILURES_HEADING),
+        F.array_join(F.transform(F.slice(failed, 1, SHOWN_FAILURES), line), ""),
+        _when(left_out > 0, fill(MORE_FAILURES, more=left_out)),
     )
+    rows = nested.select("*", *nested_summary("tasks")).withColumn("digest", _when(F.size(failed) > 0, digest))
+    return _run_summaries(rows, template, at)
 
 
 def report_task_summary(tasks: DataFrame, template: str = "default", at: Column | None = None) -> DataFrame:

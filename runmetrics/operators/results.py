@@ -41,6 +41,21 @@ def run_summary(tasks: DataFrame, key: str = "run_id") -> DataFrame:
     )
 
 
+def nested_summary(tasks: str = "tasks") -> list[Column]:
+    """The same counters for a row that carries its tasks as an array."""
+    statuses = F.transform(tasks, lambda t: t["status"])
+
+    def count(*names: str) -> Column:
+        return F.greatest(F.size(F.filter(statuses, lambda s: s.isin(*names))), F.lit(0)).cast("long")
+
+    total = F.greatest(F.size(tasks), F.lit(0)).cast("long")
+    return [
+        total.alias("total_tasks"), count("success").alias("successful_tasks"),
+        count("failed", "timeout").alias("failed_tasks"), count("skipped").alias("skipped_tasks"),
+        count("cancelled").alias("cancelled_tasks"), success_rate(count("success"), total).alias("success_rate"),
+    ]
+
+
 def _rollup(running: Column, failed: Column, succeeded: Column) -> Column:
     return (
         F.when(running, "running")

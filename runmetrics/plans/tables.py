@@ -183,10 +183,14 @@ def declared_workflows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nested_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return nested_runs_of(load(spark, sf, "orders"))
+
+
+def nested_runs_of(orders: DataFrame) -> DataFrame:
     """Runs that carry their tasks as an array, made from the order row alone."""
     c = F.col
     statuses = F.array(*[F.lit(s) for s in ("success", "failed", "skipped", "timeout", "cancelled", "running")])
-    base = load(spark, sf, "orders").select(
+    base = orders.select(
         c("o_orderkey").alias("run_id"), "o_custkey", "o_orderpriority",
         _plus_minutes(c("o_orderdate"), c("o_orderkey") % 1440).alias("start_time"),
     )
