@@ -311,14 +311,6 @@ add(
     ).select("run_id", "task_type", "event_id", "status", "duration_ms"),
     _NEWEST, ("stream_events",),
 )
-add(
-    "T3_stream_latest_with_ttl",
-    lambda spark, sf: _updated(
-        spark, streams.stream_latest(_completions(spark, sf), ["run_id", "task_type"], ["start_time", "event_id"], ttl_ms=3_600_000),
-        ["run_id", "task_type"],
-    ).select("run_id", "task_type", "event_id", "status", "duration_ms"),
-    _NEWEST, ("stream_events",),
-)
 add(
     "T3_stream_distinct",
     lambda spark, sf: _appended(
@@ -329,7 +321,7 @@ add(
 add(
     "T4_stream_retain",
     lambda spark, sf: _updated(
-        spark, streams.stream_retain(_completions(spark, sf), 3, ["task_type"], ["start_time", "event_id"], ttl_ms=3_600_000), ["task_type"]
+        spark, streams.stream_retain(_completions(spark, sf), 3, ["task_type"], ["start_time", "event_id"]), ["task_type"]
     ).select("task_type", "event_id", "position"),
     """select task_type, event_id, cast(rn as int) as position from (
          select *, row_number() over (partition by task_type order by start_time desc, event_id desc) as rn from stream_events) x
@@ -398,7 +390,7 @@ add(
 def _throttled(spark, sf):
     rows = _completions(spark, sf).select("event_id", F.col("task_type").alias("channel"), F.col("start_time").alias("generated_at"))
     return _appended(
-        spark, streams.stream_rate_limit(rows, routing.RateLimits(per_hour=2), tie=["event_id"], ttl_ms=3_600_000)
+        spark, streams.stream_rate_limit(rows, routing.RateLimits(per_hour=2), tie=["event_id"])
     ).select("event_id", "channel")
 
 

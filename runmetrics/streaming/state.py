@@ -24,6 +24,12 @@ def use_rocksdb(df: DataFrame) -> None:
         conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _time_mode(ttl_ms: int | None) -> str:
+    """Expiry needs the processing time clock. It also keeps a query running without new
+    data, so a query with expiry never ends by itself under an available-now trigger."""
+    return "None" if ttl_ms is None else "ProcessingTime"
+
+
 class NewestRows(StatefulProcessor):
     """Keeps the newest n rows of a key and emits them whenever they change."""
 
@@ -70,7 +76,7 @@ def retain_newest(
 
     out = StructType([*schema.fields, StructField("position", IntegerType())])
     return stream.mapInPandas(thin, schema).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=NewestRows(schema, order, n, ttl_ms), outputStructType=out, outputMode="Update", timeMode="ProcessingTime"
+        statefulProcessor=NewestRows(schema, order, n, ttl_ms), outputStructType=out, outputMode="Update", timeMode=_time_mode(ttl_ms)
     )
 
 
@@ -124,7 +130,7 @@ def admit(
             raise ValueError("every span must be a multiple of the shorter ones")
     keys, order, schema = list(keys), list(order), stream.schema
     (shortest, room), (longest, _) = limits[0], limits[-1]
-    second, slot = "__second", "__slot"
+    second, slot = "clock_second", "clock_slot"
     timed = stream.withColumn(second, F.unix_seconds(at)).withColumn(slot, F.floor(F.col(second) / longest))
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,5 +140,5 @@ def admit(
 
     return timed.mapInPandas(thin, timed.schema).groupBy(*keys, slot).transformWithStateInPandas(
         statefulProcessor=Admission(schema, order, second, limits, ttl_ms), outputStructType=schema, outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode=_time_mode(ttl_ms),
     )
