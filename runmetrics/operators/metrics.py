@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.status import is_failed, success_rate, utilization
 from ..functions.times import next_period, period_start
-from .windows import running_sum, top_n_per_key
+from .windows import running_sums, top_n_per_key
 
 RETENTION_LIMIT = 10_000  # fixed value: records kept by default
 RETENTION_DAYS = 30  # fixed value: days kept by default
@@ -154,13 +154,29 @@ def failure_patterns(tasks: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def breakdown(runs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """By workflow, by task type and by hour in one tall table (section, key, measures)."""
-    none = F.lit(None)
-    by_workflow = performance_by_workflow(runs).select(
-        F.lit("workflow").alias("section"), F.col("workflow_name").alias("key"),
-        F.col("total_runs").alias("total"), F.col("successful_runs").alias("successful"),
-        F.col("failed_runs").alias("failed"), "avg_duration_ms", "success_rate",
-        none.cast("double").alias("avg_retry_count"), none.cast("long").alias("tasks_executed"),
+    """By workflow, by task type and by hour in one tall table (section, key, measures).
+
+    The two views of the runs are grouping sets of one aggregation. For hours,
+    ``successful`` counts the completed runs.
+    """
+    none, by_name = F.lit(None), F.grouping("workflow_name") == 0
+    keyed = runs.withColumn("hour", period_start("start_time", "hourly"))
+    grouped = keyed.groupingSets([["workflow_name"], ["hour"]], "workflow_name", "hour").agg(
+        by_name.alias("by_name"),
+        F.count("*").alias("total"),
+        F.count_if(F.col("status") == "success").alias("ok"),
+        F.count_if(F.col("status") == "failed").alias("bad"),
+        F.count("end_time").alias("completed"),
+        F.avg("duration_ms").alias("avg_duration_ms"),
+        F.sum("total_tasks").alias("tasks"),
+    )
+    of_runs = grouped.select(
+        F.when(F.col("by_name"), "workflow").otherwise("hour").alias("section"),
+        F.when(F.col("by_name"), F.col("workflow_name")).otherwise(F.date_format("hour", "yyyy-MM-dd HH:mm:ss")).alias("key"),
+        "total", F.when(F.col("by_name"), F.col("ok")).otherwise(F.col("completed")).alias("successful"),
+        F.when(F.col("by_name"), F.col("bad")).alias("failed"), "avg_duration_ms",
+        F.when(F.col("by_name"), success_rate("ok", "total")).alias("success_rate"),
+        none.cast("double").alias("avg_retry_count"), F.when(~F.col("by_name"), F.col("tasks")).alias("tasks_executed"),
     )
     by_type = performance_by_task_type(tasks).select(
         F.lit("task_type").alias("section"), F.col("task_type").alias("key"),
@@ -168,14 +184,7 @@ def breakdown(runs: DataFrame, tasks: DataFrame) -> DataFrame:
         F.col("failed_executions").alias("failed"), "avg_duration_ms", "success_rate", "avg_retry_count",
         none.cast("long").alias("tasks_executed"),
     )
-    by_hour = hourly_metrics(runs).select(
-        F.lit("hour").alias("section"), F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("key"),
-        F.col("workflows_started").alias("total"), F.col("workflows_completed").alias("successful"),
-        none.cast("long").alias("failed"), F.col("avg_workflow_duration_ms").alias("avg_duration_ms"),
-        none.cast("double").alias("success_rate"), none.cast("double").alias("avg_retry_count"),
-        "tasks_executed",
-    )
-    return by_workflow.unionByName(by_type).unionByName(by_hour)
+    return of_runs.unionByName(by_type)
 
 
 def history(
@@ -260,7 +269,7 @@ def concurrency_points(tasks: DataFrame, keys: Sequence[str], block: str = "day"
         ).alias("e"),
     ).select(*keys, "e.at", "e.delta").filter(F.col("at").isNotNull())
     points = events.groupBy(*keys, "at").agg(F.sum("delta").alias("delta"))
-    return running_sum(points, keys, "at", "delta", F.date_trunc(block, F.col("at")), "running")
+    return running_sums(points, keys, "at", {"running": "delta"}, F.date_trunc(block, F.col("at")))
 
 
 def concurrency_profile(tasks: DataFrame, capacity: int, keys: Sequence[str] = ("workflow_name",)) -> DataFrame:

@@ -94,21 +94,26 @@ def _optional(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
-def failed_task_digest(tasks: DataFrame, k: int = SHOWN_FAILURES, key: str = "run_id", ordinal: str = "ordinal") -> DataFrame:
-    """First k failures of every run as text, with the number of those left out."""
+def _first_failures(tasks: DataFrame, k: int, key: str, ordinal: str) -> DataFrame:
+    """(key, lines): the first k failures of every run, in order. At most k rows per run are gathered."""
     failed = tasks.filter(st.is_failed("status"))
-    counts = failed.groupBy(key).agg(F.count("*").alias("failures"))
     line = fill(FAILURE_LINE, task="task_id", type="task_type", error=F.coalesce("error", F.lit(UNKNOWN_ERROR)))
     first = top_n_per_key(failed.select(key, F.col(ordinal).alias("o"), line.alias("line")), [key], [F.col("o")], k)
-    # At most k rows per run are gathered.
-    lines = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "line"))).alias("l"))
-    return counts.join(lines, key).select(
-        key, "failures",
-        F.concat(
-            F.lit(FAILURES_HEADING),
-            F.array_join(F.transform("l", lambda e: e["line"]), ""),
-            _when(F.col("failures") > k, fill(MORE_FAILURES, more=F.col("failures") - k)),
-        ).alias("digest"),
+    gathered = F.array_sort(F.collect_list(F.struct("o", "line")))
+    return first.groupBy(key).agg(F.transform(gathered, lambda e: e["line"]).alias("lines"))
+
+
+def _digest(lines: Column, failures: Column, k: int) -> Column:
+    return F.concat(
+        F.lit(FAILURES_HEADING), F.array_join(lines, ""), _when(failures > k, fill(MORE_FAILURES, more=failures - k))
+    )
+
+
+def failed_task_digest(tasks: DataFrame, k: int = SHOWN_FAILURES, key: str = "run_id", ordinal: str = "ordinal") -> DataFrame:
+    """First k failures of every run as text, with the number of those left out."""
+    counts = tasks.filter(st.is_failed("status")).groupBy(key).agg(F.count("*").alias("failures"))
+    return counts.join(_first_failures(tasks, k, key, ordinal), key).select(
+        key, "failures", _digest(F.col("lines"), F.col("failures"), k).alias("digest")
     )
 
 
@@ -145,8 +150,12 @@ def _run_summaries(rows: DataFrame, template: str, at: Column | None) -> DataFra
 
 def report_run_summary(runs: DataFrame, tasks: DataFrame, template: str = "default", at: Column | None = None) -> DataFrame:
     """Summary report of every run; ``runs`` as made by ``run_facts``."""
-    failures = failed_task_digest(tasks).select("run_id", "digest")
-    return _run_summaries(runs.join(failures, "run_id", "left"), template, at)
+    first = _first_failures(tasks, SHOWN_FAILURES, "run_id", "ordinal")
+    # The counters of the run already say how many failures there are.
+    failures = F.col("failed_tasks") + F.col("cancelled_tasks")
+    digest = _digest(F.col("lines"), failures, SHOWN_FAILURES)
+    rows = runs.join(first, "run_id", "left").withColumn("digest", _when(F.col("lines").isNotNull(), digest))
+    return _run_summaries(rows, template, at)
 
 
 def report_nested_summary(nested: DataFrame, template: str = "default", at: Column | None = None) -> DataFrame:
@@ -157,12 +166,7 @@ def report_nested_summary(nested: DataFrame, template: str = "default", at: Colu
                     error=F.coalesce(task["error"], F.lit(UNKNOWN_ERROR)))
 
     failed = F.filter("tasks", lambda task: st.is_failed(task["status"]))
-    left_out = F.size(failed) - SHOWN_FAILURES
-    digest = F.concat(
-        F.lit(FAILURES_HEADING),
-        F.array_join(F.transform(F.slice(failed, 1, SHOWN_FAILURES), line), ""),
-        _when(left_out > 0, fill(MORE_FAILURES, more=left_out)),
-    )
+    digest = _digest(F.transform(F.slice(failed, 1, SHOWN_FAILURES), line), F.size(failed), SHOWN_FAILURES)
     rows = nested.select("*", *nested_summary("tasks")).withColumn("digest", _when(F.size(failed) > 0, digest))
     return _run_summaries(rows, template, at)
 

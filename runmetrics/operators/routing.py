@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.maps import tags_match
 from ..functions.status import is_failed, is_successful
 from ..functions.times import whole_seconds
-from .windows import trailing_count
+from .windows import trailing_counts
 
 # Names of the built-in channels.
 CHANNELS = ("email", "slack", "file", "terminal")
@@ -187,19 +187,17 @@ def rate_limited(reports: DataFrame, limits: RateLimits, keys: Sequence[str] = (
 
     A report is allowed when the reports of its key in the last minute, hour and day, its
     own second included, are within the limits. Reports are counted per second first, so
-    a key with most of the reports is one short row per second; the count is then taken
-    in time blocks that overlap by the span.
+    a key with most of the reports is one short row per second.
     """
-    keys = list(keys)
+    keys, spans = list(keys), limits.spans()
+    if not spans:
+        return reports.withColumn("allowed", F.lit(True))
     stamped = reports.withColumn("__second", F.unix_seconds(F.col(at)))
     ticks = stamped.groupBy(*keys, "__second").agg(F.count("*").alias("__n"))
-    counted = ticks
-    for span, _ in limits.spans():
-        counted = trailing_count(counted, keys, "__second", "__n", span, f"last_{span}s")
+    counted = trailing_counts(ticks, keys, "__second", "__n", [span for span, _ in spans])
     allowed = F.lit(True)
-    for span, limit in limits.spans():
+    for span, limit in spans:
         allowed = allowed & (F.col(f"last_{span}s") <= limit)
-    names = [f"last_{span}s" for span, _ in limits.spans()]
-    return stamped.join(counted.drop("__n"), [*keys, "__second"]).select(
-        *reports.columns, *names, allowed.alias("allowed")
+    return stamped.join(counted, [*keys, "__second"]).select(
+        *reports.columns, *[f"last_{span}s" for span, _ in spans], allowed.alias("allowed")
     )

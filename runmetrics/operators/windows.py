@@ -7,11 +7,12 @@ and trailing counts, the helpers here split the rows of a key over several tasks
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SPLITS = 64
+BLOCK_SECONDS = 86_400
 
 
 def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -36,47 +37,55 @@ def _hashable(df: DataFrame, name: str) -> bool:
     return "map<" not in df.schema[name].dataType.simpleString()
 
 
-def running_sum(
-    points: DataFrame, keys: Sequence[str], order: str, value: str, block: Column, out: str
+def running_sums(
+    points: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, str], block: Column
 ) -> DataFrame:
-    """Running sum of ``value`` per key along ``order``, in two levels.
+    """Running sums per key along ``order``, in two levels.
 
-    ``block`` cuts the order axis into contiguous blocks (it must never decrease along
-    ``order``). Rows are summed within their block, block totals are summed per key, and
-    the two are joined, so no task sees more than one block or the list of block totals.
+    ``sums`` maps a new column to the column it adds up; ``points`` has one row per (key,
+    order). ``block`` cuts the order axis into contiguous blocks and must never decrease
+    along it. Rows are summed within their block, block totals are summed per key, and the
+    two are joined, so no task sees more than one block or the list of block totals.
     """
     keys = list(keys)
-    blocked = points.withColumn("__block", block)
-    totals = blocked.groupBy(*keys, "__block").agg(F.sum(value).alias("__total"))
+    # Both sides of the join below carry this filter, so the points are computed once and reused.
+    blocked = points.withColumn("__block", block).filter("__block is not null")
+    totals = blocked.groupBy(*keys, "__block").agg(*[F.sum(c).alias(f"__total_{out}") for out, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "__block", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset")
+        *keys, "__block",
+        *[F.coalesce(F.sum(f"__total_{out}").over(before), F.lit(0)).alias(f"__offset_{out}") for out in sums],
     )
     within = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        blocked.withColumn("__within", F.sum(value).over(within))
-        .join(offsets, [*keys, "__block"])
-        .withColumn(out, F.col("__within") + F.col("__offset"))
-        .drop("__block", "__within", "__offset")
+    local = blocked.select("*", *[F.sum(c).over(within).alias(f"__within_{out}") for out, c in sums.items()])
+    return local.join(offsets, [*keys, "__block"]).select(
+        *points.columns, *[(F.col(f"__within_{out}") + F.col(f"__offset_{out}")).alias(out) for out in sums]
     )
 
 
-def trailing_count(
-    ticks: DataFrame, keys: Sequence[str], second: str, count: str, span: int, out: str
+def trailing_counts(
+    ticks: DataFrame, keys: Sequence[str], second: str, count: str, spans: Sequence[int]
 ) -> DataFrame:
-    """Sum of ``count`` over the last ``span`` seconds, for rows unique per (keys, second).
+    """Sums of ``count`` over the last ``span`` seconds, one column ``last_<span>s`` per span.
 
-    The time axis is cut into blocks of ``span`` seconds. A row is also copied to the next
-    block, where it only counts for later rows, so each block is complete on its own.
+    ``ticks`` has one row per (keys, second). A count enters the sum at its second and
+    leaves it ``span`` seconds later, so every sum is a running sum over entries and
+    exits: linear in the ticks, however many of them a span holds.
     """
     keys = list(keys)
-    own = F.floor(F.col(second) / span)
-    spread = ticks.withColumn("__own", own).withColumn(
-        "__block", F.explode(F.array(F.col("__own"), F.col("__own") + 1))
-    )
-    trailing = Window.partitionBy(*keys, "__block").orderBy(second).rangeBetween(-(span - 1), 0)
-    return (
-        spread.withColumn(out, F.sum(count).over(trailing))
-        .filter(F.col("__own") == F.col("__block"))
-        .drop("__own", "__block")
+    names = [f"in_{span}" for span in spans]
+    entry = F.struct(F.col(second).alias("s"), F.lit(True).alias("tick"), *[F.col(count).alias(n) for n in names])
+    exits = [
+        F.struct(
+            (F.col(second) + span).alias("s"), F.lit(False).alias("tick"),
+            *[(-F.col(count) if other == span else F.lit(0).cast("long")).alias(n) for other, n in zip(spans, names)],
+        )
+        for span in spans
+    ]
+    moves = ticks.select(*keys, F.explode(F.array(entry, *exits)).alias("m")).select(*keys, "m.*")
+    points = moves.groupBy(*keys, F.col("s").alias(second)).agg(
+        F.bool_or("tick").alias("tick"), *[F.sum(n).alias(n) for n in names]
     )
+    sums = {f"last_{span}s": n for span, n in zip(spans, names)}
+    summed = running_sums(points, keys, second, sums, F.floor(F.col(second) / BLOCK_SECONDS))
+    return summed.filter("tick").select(*keys, second, *sums)
