@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,23 +16,48 @@ from .windows import top_n_per_key
 LARGE_FILE = 1 << 30
 
 
-def file_inventory(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Path, length and modification time of every file below a folder; contents are not read."""
+def _files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("path", "length", "modificationTime")
+    return reader.load(path)
 
 
-def file_contents(spark: SparkSession, path: str, glob: str | None = None, max_length: int = LARGE_FILE) -> DataFrame:
+def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Paths of empty files, which a scan passes over: listed, but not among the scanned."""
+    listed = [re.sub("^file:///", "file:/", unquote(p)) for p in files.inputFiles()]
+    names = spark.createDataFrame([(p,) for p in listed], "path string")
+    return names.join(files.select("path"), "path", "left_anti")
+
+
+def file_inventory(spark: SparkSession, path: str, glob: str | None = None, with_empty: bool = True) -> DataFrame:
+    """Path, length and modification time of every file below a folder; contents are not read.
+
+    Empty files have no modification time here. Finding them takes the list of names once
+    more from the file index; ``with_empty=False`` saves that for trees known to have none.
+    """
+    files = _files(spark, path, glob)
+    found = files.select("path", "length", "modificationTime")
+    if not with_empty:
+        return found
+    empty = _empty_files(spark, files).select(
+        "path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime")
+    )
+    return found.unionByName(empty)
+
+
+def file_contents(
+    spark: SparkSession, path: str, glob: str | None = None, max_length: int = LARGE_FILE, with_empty: bool = True
+) -> DataFrame:
     """Files with their bytes. A file is one value, so larger ones are listed without content."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path)
+    files = _files(spark, path, glob)
     small = files.filter(F.col("length") <= max_length).select("path", "length", "content")
     large = files.filter(F.col("length") > max_length).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large)
+    found = small.unionByName(large)
+    if not with_empty:
+        return found
+    empty = _empty_files(spark, files).select("path", F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content"))
+    return found.unionByName(empty)
 
 
 def manifest(files: DataFrame, algorithm: str = "SHA256", as_base64: bool = False) -> DataFrame:
