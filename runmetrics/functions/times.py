@@ -85,7 +85,7 @@ def parse_time(text: Column | str) -> Column:
         t.rlike(r"^[+-]?\d+$"), F.timestamp_seconds(t.try_cast("bigint"))
     ).when(
         t.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"),
-        F.try_to_timestamp(t),
+        F.try_to_timestamp(F.upper(t)),
     )
 
 

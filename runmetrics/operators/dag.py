@@ -26,9 +26,9 @@ def dag_edges(definitions: DataFrame, key: str = "workflow", task: str = "task")
 
 
 def known_edges(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
-    """Edges whose both ends are defined."""
-    src, dst = nodes.select(key, F.col("task").alias("src")), nodes.select(key, F.col("task").alias("dst"))
-    return edges.join(src, [key, "src"], "left_semi").join(dst, [key, "dst"], "left_semi").select(key, "src", "dst")
+    """Edges that start at a defined task."""
+    src = nodes.select(key, F.col("task").alias("src"))
+    return edges.join(src, [key, "src"], "left_semi").select(key, "src", "dst")
 
 
 def unknown_dependencies(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
@@ -42,11 +42,11 @@ def self_dependencies(edges: DataFrame, key: str = "workflow") -> DataFrame:
     return edges.filter(F.col("src") == F.col("dst")).select(key, F.col("src").alias("task"))
 
 
-def _peel(edges: DataFrame, key: str, inward: bool) -> list[DataFrame]:
-    """Edges left after removing the free end tasks 0, 1, 2, ... times.
+def _peel(edges: DataFrame, key: str, inward: bool) -> tuple[list[DataFrame], bool]:
+    """Edges left after removing the free end tasks 0, 1, 2, ... times, and whether some stay for ever.
 
     A task is free once nothing points at it (``inward``) or it points at nothing. The
-    list ends when no edge is left or, with a cycle, when a round removes none.
+    rounds end when no edge is left or, with a cycle, when a round removes none.
     """
     blocked, free = ("dst", "src") if inward else ("src", "dst")
     left = cut_lineage(edges.select(key, "src", "dst").distinct())
@@ -56,10 +56,10 @@ def _peel(edges: DataFrame, key: str, inward: bool) -> list[DataFrame]:
         left = cut_lineage(left.join(held, [key, free], "left_semi").select(key, "src", "dst"))
         remaining = left.count()
         if remaining == size:
-            break
+            return rounds, True
         rounds.append(left)
         size = remaining
-    return rounds
+    return rounds, False
 
 
 def dag_levels(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
@@ -68,24 +68,26 @@ def dag_levels(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> Dat
     A task stays blocked as long as an edge into it is left, so its level is the number
     of rounds in which it was still blocked.
     """
-    rounds = _peel(known_edges(nodes, edges, key), key, inward=True)
-    stuck = rounds[-1].select(key, F.col("dst").alias("task")).distinct()
+    rounds, cyclic = _peel(known_edges(nodes, edges, key), key, inward=True)
     steps = [
-        left.select(key, F.col("dst").alias("task"), F.lit(level).alias("lvl"))
+        left.select(key, F.col("dst").alias("task"), F.lit(level).alias("lvl"), F.lit(False).alias("defined"))
         for level, left in enumerate(rounds, start=1)
     ]
-    tasks = nodes.select(key, "task")
-    survived = reduce(DataFrame.unionByName, steps, tasks.withColumn("lvl", F.lit(0)))
-    levels = survived.groupBy(key, "task").agg(F.max("lvl").alias("lvl"))
-    return levels.join(stuck.withColumn("__stuck", F.lit(True)), [key, "task"], "left").select(
-        key, "task", F.when(F.col("__stuck").isNull(), F.col("lvl")).alias("lvl")
+    tasks = nodes.select(key, "task").withColumns({"lvl": F.lit(0), "defined": F.lit(True)})
+    survived = reduce(DataFrame.unionByName, steps, tasks).groupBy(key, "task").agg(
+        F.max("lvl").alias("lvl"), F.bool_or("defined").alias("defined")
     )
+    # Whoever is still blocked in the last round of a graph with cycles has no level.
+    level = F.when(F.col("lvl") < len(rounds), F.col("lvl")) if cyclic else F.col("lvl")
+    return survived.filter("defined").select(key, "task", level.alias("lvl"))
 
 
 def dag_cycles(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
     """Tasks on a cycle or between two cycles: what peeling from both ends cannot remove."""
-    core = _peel(known_edges(nodes, edges, key), key, inward=True)[-1]
-    core = _peel(core, key, inward=False)[-1]
+    rounds, cyclic = _peel(known_edges(nodes, edges, key), key, inward=True)
+    if cyclic:
+        rounds, _ = _peel(rounds[-1], key, inward=False)
+    core = rounds[-1]
     ends = [core.select(key, F.col(c).alias("task")) for c in ("src", "dst")]
     return ends[0].unionByName(ends[1]).distinct()
 

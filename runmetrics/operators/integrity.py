@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.digest import digest, reduction_percent
@@ -14,6 +18,7 @@ from ..functions.text import checksum_line, glob_match
 from .windows import top_n_per_key
 
 LARGE_FILE = 1 << 30
+CHUNK = 8 << 20
 
 
 def _files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
@@ -71,6 +76,42 @@ def manifest(files: DataFrame, algorithm: str = "SHA256", as_base64: bool = Fals
     )
 
 
+def _chunked_digests(batches: Iterator[pd.DataFrame], algorithm: str, as_base64: bool) -> Iterator[pd.DataFrame]:
+    """Digest files piece by piece, whatever their size."""
+
+    def one(path: str) -> str:
+        uri = re.sub("^file:/+", "file:///", path)
+        filesystem, name = fs.FileSystem.from_uri(quote(uri, safe="/:"))
+        state = hashlib.new(algorithm.lower())
+        with filesystem.open_input_stream(unquote(name)) as stream:
+            while piece := stream.read(CHUNK):
+                state.update(piece)
+        return base64.b64encode(state.digest()).decode() if as_base64 else state.hexdigest()
+
+    for batch in batches:
+        yield batch.assign(checksum=[one(p) for p in batch["path"]])
+
+
+def file_manifest(
+    spark: SparkSession, path: str, algorithm: str = "SHA256", as_base64: bool = False, glob: str | None = None,
+    max_length: int = LARGE_FILE,
+) -> DataFrame:
+    """Digests of all files below a folder.
+
+    Files up to ``max_length`` are one value each and digested by Spark. Larger ones are
+    read in pieces by the task that owns them, spread one by one over the tasks.
+    """
+    whole = manifest(file_contents(spark, path, glob, max_length).filter("content is not null"), algorithm, as_base64)
+    large = file_inventory(spark, path, glob, with_empty=False).filter(F.col("length") > max_length)
+    spread = large.select("path", F.col("length").alias("file_size")).repartition("path")
+    in_pieces = spread.mapInPandas(
+        lambda batches: _chunked_digests(batches, algorithm, as_base64), "path string, file_size long, checksum string"
+    )
+    return whole.unionByName(
+        in_pieces.withColumns({"algorithm": F.lit(algorithm.upper()), "base64_encoded": F.lit(as_base64)})
+    )
+
+
 def checksum_lines(manifest_rows: DataFrame) -> DataFrame:
     return manifest_rows.select(checksum_line("checksum", "path").alias("value"))
 

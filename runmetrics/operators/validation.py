@@ -63,8 +63,8 @@ def config_issues(definitions: DataFrame, task_types: Sequence[str] | None = TAS
 
 def duplicate_names(definitions: DataFrame) -> DataFrame:
     """Display names used by more than one task of a workflow; unnamed tasks go by their id."""
-    shown = definitions.select("workflow", F.coalesce("name", "task").alias("name"))
-    return shown.groupBy("workflow", "name").agg(F.count("*").alias("uses")).filter("uses > 1")
+    shown = definitions.select("workflow", F.coalesce("name", "task").alias("name"), F.col("ordinal").cast("int").alias("ordinal"))
+    return shown.groupBy("workflow", "name").agg(F.count("*").alias("uses"), F.min("ordinal").alias("ordinal")).filter("uses > 1")
 
 
 def workflow_issues(workflows: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -135,8 +135,8 @@ def definition_issues(
         placed.select(*ISSUE_COLUMNS),
         config_issues(definitions, task_types),
         workflow_issues(workflows, definitions),
-        _issue(duplicate_names(definitions), ERROR, "duplicate",
-               F.concat(F.lit("Duplicate task name: "), F.col("name")), task=False),
+        _issue(duplicate_names(definitions).withColumn("task", F.lit(None).cast("string")), ERROR, "duplicate",
+               F.concat(F.lit("Duplicate task name: "), F.col("name"))),
         _issue(dag.workflows_without_root(nodes, edges), WARNING, "no_root",
                F.lit("No root tasks found - all tasks have dependencies"), task=False),
     ]

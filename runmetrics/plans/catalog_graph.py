@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import dag, validation
+from ..session import cut_lineage
 from . import tables as t
 from .oracle import add, rounded
 
@@ -17,7 +18,8 @@ def _levels(spark, sf):
 
 
 def _declared(spark, sf):
-    definitions = t.declared_tasks(spark, sf)
+    # Definitions are a stored table in use; here they are derived, so derive them once.
+    definitions = cut_lineage(t.declared_tasks(spark, sf).select("workflow", "task", "depends_on"))
     return definitions.select("workflow", "task"), dag.dag_edges(definitions)
 
 
@@ -176,8 +178,8 @@ add(
 
 
 def _issues(spark, sf):
-    workflows = t.declared_workflows(spark, sf)
-    return workflows, validation.definition_issues(workflows, t.declared_tasks(spark, sf))
+    workflows, definitions = t.declared_workflows(spark, sf), cut_lineage(t.declared_tasks(spark, sf))
+    return workflows, validation.definition_issues(workflows, definitions)
 
 
 add(
@@ -214,7 +216,7 @@ add(
 add(
     "A15_duplicate_names",
     lambda spark, sf: validation.duplicate_names(t.declared_tasks(spark, sf)),
-    """select workflow, coalesce(name, task) as name, count(*) as uses from declared
+    """select workflow, coalesce(name, task) as name, count(*) as uses, min(ordinal) as ordinal from declared
        group by workflow, coalesce(name, task) having count(*) > 1""",
     ("declared",),
 )

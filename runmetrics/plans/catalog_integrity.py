@@ -32,7 +32,7 @@ add(
 )
 add(
     "S5_file_digests",
-    lambda spark, sf: integrity.manifest(integrity.file_contents(spark, sf, "*.parquet"), "sha256").select(
+    lambda spark, sf: integrity.file_manifest(spark, sf, "sha256", glob="*.parquet").select(
         F.element_at(F.split("path", "/"), -1).alias("name"), "algorithm", "checksum", "file_size"
     ),
 )

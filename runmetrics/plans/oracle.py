@@ -185,7 +185,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     from declared_edges e join declared d on d.workflow = e.workflow and d.task = e.dst where e.src = e.dst
   union all select l.workflow, l.task, d.ordinal, 'warning', 'unreachable', concat('Task ''', l.task, ''' is unreachable')
     from declared_lost l join declared d on d.workflow = l.workflow and d.task = l.task
-  union all select workflow, null, -1, 'error', 'duplicate', concat('Duplicate task name: ', coalesce(name, task))
+  union all select workflow, null, min(ordinal), 'error', 'duplicate', concat('Duplicate task name: ', coalesce(name, task))
     from declared group by workflow, coalesce(name, task) having count(*) > 1
   union all select workflow, null, -1, 'warning', 'no_root', 'No root tasks found - all tasks have dependencies'
     from declared group by workflow having min(len(deps)) > 0

@@ -73,3 +73,16 @@ def test_file_digests_and_manifest_round_trip(spark, tmp_path):
     assert rows(integrity.checksum_lines(made))[0][0].endswith("/x.txt")
     again = made.filter("file_size > 0").withColumn("checksum", F.lit("other"))
     assert [r[0] for r in rows(integrity.verify_manifest(again, made), "result")] == ["mismatch", "missing"]
+
+
+def test_large_files_are_digested_in_pieces(spark, tmp_path):
+    import hashlib
+
+    content = bytes(range(256)) * 5000
+    (tmp_path / "big file.bin").write_bytes(content)
+    (tmp_path / "small.bin").write_bytes(b"abc")
+    for as_base64 in (False, True):
+        whole = integrity.file_manifest(spark, str(tmp_path), "sha512", as_base64)
+        split = integrity.file_manifest(spark, str(tmp_path), "sha512", as_base64, max_length=100)
+        assert rows(split, *whole.columns) == rows(whole)
+    assert hashlib.md5(content).hexdigest() in {r.checksum for r in integrity.file_manifest(spark, str(tmp_path), "md5", max_length=100).collect()}
