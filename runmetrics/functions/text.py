@@ -15,6 +15,13 @@ LISTING_MARKER = "... [truncated]"
 MESSAGE_LIMIT, TEMPLATE_MESSAGE_LIMIT = 1500, 1000
 MESSAGE_MARKER = "...\n\n_(Content truncated)_"
 
+# Labels and messages.
+STDOUT_LABEL, STDERR_LABEL = "STDOUT:\n", "STDERR:\n"
+BAD_PAIR = "Invalid variable format '%s'. Expected 'key=value'"
+NESTED_BRACES = "nested template expressions not allowed"
+EXTRA_BRACE = "unmatched closing brace"
+OPEN_BRACES = "unmatched template braces"
+
 upper = F.upper
 lower = F.lower
 
@@ -49,9 +56,9 @@ def combine_streams(out: Column | str, err: Column | str) -> Column:
     """Merge standard output and error into one labelled text; null when both are empty."""
     o, e = F.nullif(col(out), F.lit("")), F.nullif(col(err), F.lit(""))
     return (
-        F.when(o.isNotNull() & e.isNotNull(), F.concat(F.lit("STDOUT:\n"), o, F.lit("\nSTDERR:\n"), e))
+        F.when(o.isNotNull() & e.isNotNull(), F.concat(F.lit(STDOUT_LABEL), o, F.lit("\n" + STDERR_LABEL), e))
         .when(o.isNotNull(), o)
-        .when(e.isNotNull(), F.concat(F.lit("STDERR:\n"), e))
+        .when(e.isNotNull(), F.concat(F.lit(STDERR_LABEL), e))
     )
 
 
@@ -76,8 +83,7 @@ def key_value_map(array: Column | str) -> Column:
     bad = F.filter(col(array), lambda e: ~F.contains(e, F.lit("=")))
     checked = F.when(
         F.size(bad) > 0,
-        F.raise_error(F.concat(F.lit("Invalid variable format '"), F.element_at(bad, 1),
-                               F.lit("'. Expected 'key=value'"))),
+        F.raise_error(F.format_string(BAD_PAIR, F.element_at(bad, 1))),
     ).otherwise(col(array))
 
     def key(e: Column) -> Column:
@@ -101,20 +107,16 @@ def brace_error(c: Column | str) -> Column:
 
     Only the braces are folded over, so long texts without templates cost one scan.
     """
-    # The three messages.
-    nested, closing, unmatched = (
-        "nested template expressions not allowed", "unmatched closing brace", "unmatched template braces",
-    )
     braces = F.regexp_replace(col(c), "[^{}]", "")
     start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("error"))
 
     def step(acc: Column, ch: Column) -> Column:
         depth = acc["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-        error = F.coalesce(acc["error"], F.when(depth > 2, nested).when(depth < 0, closing))
+        error = F.coalesce(acc["error"], F.when(depth > 2, NESTED_BRACES).when(depth < 0, EXTRA_BRACE))
         return F.struct(depth.alias("depth"), error.alias("error"))
 
     folded = F.aggregate(F.split(braces, ""), start, step)
-    return F.when(col(c).isNotNull(), F.coalesce(folded["error"], F.when(folded["depth"] != 0, unmatched)))
+    return F.when(col(c).isNotNull(), F.coalesce(folded["error"], F.when(folded["depth"] != 0, OPEN_BRACES)))
 
 
 def checksum_line(digest: Column | str, path: Column | str) -> Column:

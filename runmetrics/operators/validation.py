@@ -11,8 +11,27 @@ from ..functions.text import brace_error, destination_parts
 from ..session import cut_lineage
 from . import dag
 
-# Task types that can be run.
-TASK_TYPES = ("command", "compress", "checksum", "email", "slack", "s3", "template", "file")
+# Task types that can be run, and the texts of the findings.
+TASK_TYPES = ("command", "compress", "checksum", "archive", "file", "s3", "email", "slack", "template")
+MISSING_NAME = "Missing required field: name"
+EMPTY_WORKFLOW = "Empty workflow: no tasks defined"
+DUPLICATE_NAME = "Duplicate task name: %s"
+UNKNOWN_DEPENDENCY = "Task '%s' depends on unknown task '%s'"
+CYCLE = "Circular dependency detected in tasks: [\"%s\"]"
+SELF_DEPENDENCY = "Task '%s' depends on itself"
+NO_ROOT = "No root tasks found - all tasks have dependencies"
+UNREACHABLE = "Task '%s' is unreachable"
+INVALID_CONFIG = "Invalid task configuration for '%s': %s"
+NULL_CONFIG = "task config cannot be null"
+NO_ATTEMPTS = "max_attempts must be greater than 0"
+NO_BACKOFF = "backoff_multiplier must be greater than 0"
+UNSUPPORTED_TYPE = "Unsupported task type '%s' in task '%s'"
+INVALID_TEMPLATE = "Invalid template syntax in 'tasks.%s.when': %s"
+INVALID_OUTPUT = "Invalid output configuration: "
+EMPTY_DESTINATION = "destination cannot be empty"
+NOT_A_URL = "Invalid output destination URL"
+NO_BUCKET = "S3 URL must include bucket name as host"
+UNSUPPORTED_SCHEME = "Unsupported output scheme: "
 
 ERROR, WARNING = "error", "warning"
 ISSUE_COLUMNS = ("workflow", "task", "ordinal", "severity", "kind", "message")
@@ -30,16 +49,16 @@ def _issue(df: DataFrame, severity: str, kind: str, message: Column, task: bool
 def config_issues(definitions: DataFrame, task_types: Sequence[str] | None = TASK_TYPES) -> DataFrame:
     """Checks that need one row only, all in one pass: the first failing one is reported."""
     reason = (
-        F.when(F.col("config").isNull(), "task config cannot be null")
-        .when(F.col("max_attempts") == 0, "max_attempts must be greater than 0")
-        .when(F.col("backoff_multiplier") <= 0, "backoff_multiplier must be greater than 0")
+        F.when(F.col("config").isNull(), NULL_CONFIG)
+        .when(F.col("max_attempts") == 0, NO_ATTEMPTS)
+        .when(F.col("backoff_multiplier") <= 0, NO_BACKOFF)
     )
-    text = F.format_string("Invalid task configuration for '%s': %s", F.col("task"), reason)
+    text = F.format_string(INVALID_CONFIG, F.col("task"), reason)
     kind = F.when(reason.isNotNull(), "config")
     if task_types is not None:
         unsupported = F.col("config").isNotNull() & ~F.col("task_type").isin(*task_types)
         text = F.when(
-            unsupported, F.format_string("Unsupported task type '%s' in task '%s'", F.col("task_type"), F.col("task"))
+            unsupported, F.format_string(UNSUPPORTED_TYPE, F.col("task_type"), F.col("task"))
         ).otherwise(text)
         kind = F.when(unsupported, "task_type").otherwise(kind)
     problem = brace_error("when")
@@ -50,7 +69,7 @@ def config_issues(definitions: DataFrame, task_types: Sequence[str] | None = TAS
                 problem.isNotNull(),
                 F.struct(
                     F.lit("template").alias("kind"),
-                    F.format_string("Invalid template syntax in 'tasks.%s.when': %s", F.col("task"), problem).alias("message"),
+                    F.format_string(INVALID_TEMPLATE, F.col("task"), problem).alias("message"),
                 ),
             ),
         )
@@ -72,22 +91,22 @@ def workflow_issues(workflows: DataFrame, definitions: DataFrame) -> DataFrame:
     name, url = F.trim("workflow_name"), F.col("output_destination")
     scheme, host = destination_parts(url)
     bad_output = (
-        F.when(F.trim(F.coalesce(url, F.lit(""))) == "", "destination cannot be empty")
-        .when(scheme == "", "Invalid output destination URL")
-        .when((scheme == "s3") & (host == ""), "S3 URL must include bucket name as host")
-        .when(~scheme.isin("file", "s3"), F.concat(F.lit("Unsupported output scheme: "), scheme))
+        F.when(F.trim(F.coalesce(url, F.lit(""))) == "", EMPTY_DESTINATION)
+        .when(scheme == "", NOT_A_URL)
+        .when((scheme == "s3") & (host == ""), NO_BUCKET)
+        .when(~scheme.isin("file", "s3"), F.concat(F.lit(UNSUPPORTED_SCHEME), scheme))
     )
     found = F.array_compact(
         F.array(
             F.when(
                 F.coalesce(name, F.lit("")) == "",
-                F.struct(F.lit("name").alias("kind"), F.lit("Missing required field: name").alias("message")),
+                F.struct(F.lit("name").alias("kind"), F.lit(MISSING_NAME).alias("message")),
             ),
             F.when(
                 bad_output.isNotNull(),
                 F.struct(
                     F.lit("output").alias("kind"),
-                    F.concat(F.lit("Invalid output configuration: "), bad_output).alias("message"),
+                    F.concat(F.lit(INVALID_OUTPUT), bad_output).alias("message"),
                 ),
             ),
         )
@@ -98,7 +117,7 @@ def workflow_issues(workflows: DataFrame, definitions: DataFrame) -> DataFrame:
         F.lit(ERROR).alias("severity"), "kind", "message",
     )
     empty = workflows.join(definitions.select("workflow"), "workflow", "left_anti")
-    return on_row.unionByName(_issue(empty, ERROR, "empty", F.lit("Empty workflow: no tasks defined"), task=False))
+    return on_row.unionByName(_issue(empty, ERROR, "empty", F.lit(EMPTY_WORKFLOW), task=False))
 
 
 def definition_issues(
@@ -122,13 +141,13 @@ def definition_issues(
 
     on_graph = [
         graph_issue(dag.unknown_dependencies(nodes, edges), ERROR, "unknown_dependency",
-                    F.format_string("Task '%s' depends on unknown task '%s'", task, F.col("dependency"))),
+                    F.format_string(UNKNOWN_DEPENDENCY, task, F.col("dependency"))),
         graph_issue(dag.dag_cycles(nodes, edges), ERROR, "cycle",
-                    F.format_string("Circular dependency detected in tasks: [\"%s\"]", task)),
+                    F.format_string(CYCLE, task)),
         graph_issue(dag.self_dependencies(edges), ERROR, "self_dependency",
-                    F.format_string("Task '%s' depends on itself", task)),
+                    F.format_string(SELF_DEPENDENCY, task)),
         graph_issue(dag.dag_unreachable(nodes, edges), WARNING, "unreachable",
-                    F.format_string("Task '%s' is unreachable", task)),
+                    F.format_string(UNREACHABLE, task)),
     ]
     placed = reduce(DataFrame.unionByName, on_graph).join(places, ["workflow", "task"])
     parts = [
@@ -136,9 +155,9 @@ def definition_issues(
         config_issues(definitions, task_types),
         workflow_issues(workflows, definitions),
         _issue(duplicate_names(definitions).withColumn("task", F.lit(None).cast("string")), ERROR, "duplicate",
-               F.concat(F.lit("Duplicate task name: "), F.col("name"))),
+               F.format_string(DUPLICATE_NAME, F.col("name"))),
         _issue(dag.workflows_without_root(nodes, edges), WARNING, "no_root",
-               F.lit("No root tasks found - all tasks have dependencies"), task=False),
+               F.lit(NO_ROOT), task=False),
     ]
     return reduce(DataFrame.unionByName, parts)
 
