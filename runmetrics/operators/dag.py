@@ -42,18 +42,21 @@ def self_dependencies(edges: DataFrame, key: str = "workflow") -> DataFrame:
     return edges.filter(F.col("src") == F.col("dst")).select(key, F.col("src").alias("task"))
 
 
-def _peel(edges: DataFrame, key: str, inward: bool) -> tuple[list[DataFrame], bool]:
-    """Edges left after removing the free end tasks 0, 1, 2, ... times, and whether some stay for ever.
+def _held(edges: DataFrame, key: str, end: str, by: str) -> DataFrame:
+    """Edges whose ``end`` task is the ``by`` task of some edge."""
+    others = edges.select(key, F.col(by).alias(end)).distinct()
+    return edges.join(others, [key, end], "left_semi").select(key, "src", "dst")
 
-    A task is free once nothing points at it (``inward``) or it points at nothing. The
-    rounds end when no edge is left or, with a cycle, when a round removes none.
+
+def _peel(edges: DataFrame, key: str) -> tuple[list[DataFrame], bool]:
+    """Edges left after removing the tasks nothing points at 0, 1, 2, ... times, and whether some stay for ever.
+
+    The rounds end when no edge is left or, with a cycle, when a round removes none.
     """
-    blocked, free = ("dst", "src") if inward else ("src", "dst")
     left = cut_lineage(edges.select(key, "src", "dst").distinct())
     rounds, size = [left], left.count()
     while size:
-        held = left.select(key, F.col(blocked).alias(free)).distinct()
-        left = cut_lineage(left.join(held, [key, free], "left_semi").select(key, "src", "dst"))
+        left = cut_lineage(_held(left, key, "src", "dst"))
         remaining = left.count()
         if remaining == size:
             return rounds, True
@@ -68,7 +71,7 @@ def dag_levels(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> Dat
     A task stays blocked as long as an edge into it is left, so its level is the number
     of rounds in which it was still blocked.
     """
-    rounds, cyclic = _peel(known_edges(nodes, edges, key), key, inward=True)
+    rounds, cyclic = _peel(known_edges(nodes, edges, key), key)
     steps = [
         left.select(key, F.col("dst").alias("task"), F.lit(level).alias("lvl"), F.lit(False).alias("defined"))
         for level, left in enumerate(rounds, start=1)
@@ -83,11 +86,16 @@ def dag_levels(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> Dat
 
 
 def dag_cycles(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
-    """Tasks on a cycle or between two cycles: what peeling from both ends cannot remove."""
-    rounds, cyclic = _peel(known_edges(nodes, edges, key), key, inward=True)
-    if cyclic:
-        rounds, _ = _peel(rounds[-1], key, inward=False)
-    core = rounds[-1]
+    """Tasks on a cycle or between two cycles.
+
+    Every round removes the edges that start at a task nothing points at or end at a task
+    that points at nothing; what is left when a round removes none is on or between cycles.
+    """
+    core = cut_lineage(known_edges(nodes, edges, key).distinct())
+    size, before = core.count(), -1
+    while size and size != before:
+        core = cut_lineage(_held(_held(core, key, "src", "dst"), key, "dst", "src"))
+        size, before = core.count(), size
     ends = [core.select(key, F.col(c).alias("task")) for c in ("src", "dst")]
     return ends[0].unionByName(ends[1]).distinct()
 
