@@ -62,3 +62,24 @@ def per_text(make: Callable[[], Callable[[list], Iterable]], fields: list[tuple[
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(begin, end - begin) for c in carry), *columns], names)
 
     return work
+
+
+class Memory:
+    """Results of words seen before, in two generations: when the young one is full it becomes the old one."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def results(self, words: set, compute: Callable[[list], Iterable]) -> dict:
+        """A table that has the results of ``words``; ``compute`` makes those that aren't known."""
+        missing = words.difference(self.young)
+        if len(self.young) + len(missing) > self.most:
+            self.old, self.young = self.young, {}
+            missing = words
+        old = self.old
+        again = {word: old[word] for word in missing if word in old}
+        self.young.update(again)
+        new = list(missing.difference(again))
+        if new:
+            self.young.update(zip(new, compute(new)))
+        return self.young

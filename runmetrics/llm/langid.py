@@ -217,7 +217,7 @@ class Labeller:
         split = [text.split() for text in texts]
         if not langs:
             return [(UNDECIDED, 0.0, "")] * len(texts)
-        self._learn({word for words in split for word in words})
+        self._learn(set().union(*split))
         counts = np.fromiter(map(len, split), np.int64, len(split))
         begins = np.cumsum(counts) - counts
         known = self.known.__getitem__

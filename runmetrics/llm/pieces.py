@@ -7,8 +7,8 @@ covers is written as its UTF-8 bytes and costs ``UNKNOWN`` below the lowest scor
 The search keeps the best sum and the backpointer of each end position. A piece has at most ``longest`` characters, so
 only the last ``longest`` positions can be extended. Whenever the backpointer paths of all of them meet in one
 boundary, the ids before it are committed and forgotten. Where no piece of the vocabulary has a ``▁`` behind another
-character, all paths meet at each blank, so words are encoded for themselves and those seen before are looked up; that
-table is emptied when it has ``REMEMBERED`` entries.
+character, all paths meet at each blank, so words are encoded for themselves and those seen before are looked up, in a
+table of at most two generations of ``REMEMBERED`` words.
 
 Decoding joins the pieces, reads byte pieces as UTF-8, and drops the first blank; texts that hold ``▁`` themselves come
 back with a blank there. Null texts count as empty: no ids. Repeated rows give repeated results, an empty table none;
@@ -17,9 +17,11 @@ other columns take no part.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -27,12 +29,14 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from .common import per_text
+from .common import Memory, per_text
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN = 10.0
 REMEMBERED = 300_000
+_SCORE = 0  # the key of a node's score in the trie, beside characters
+_NOWHERE = float("-inf")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -46,10 +50,18 @@ class Vocabulary:
         self.texts = {i: piece for piece, (i, _) in pieces.items()}
         self.byte_of = {i: byte for byte, i in enumerate(byte_ids)}
         self.separate = not any(BLANK in piece.lstrip(BLANK) for piece in pieces)
-        self.known: dict[str, bytes] = {}
+        self.memory = Memory(REMEMBERED)
+        self.trie: dict = {}
+        for piece, (_, score) in pieces.items():
+            node = self.trie
+            for character in piece:
+                node = node.setdefault(character, {})
+            node[_SCORE] = score
 
     @classmethod
+    @functools.cache
     def load(cls, path: str | None = None) -> Vocabulary:
+        """The vocabulary of a model file; a Python worker loads it once."""
         model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(MODEL))
         count, byte_ids, pieces = model.get_piece_size(), [0] * 256, {}
         for i in range(count):
@@ -64,61 +76,71 @@ class Vocabulary:
         at = self.pieces.get(piece)
         return [at[0]] if at else [self.byte_ids[byte] for byte in piece.encode()]
 
-    def _path(self, text: str, back: list[int], begin: int, base: int, end: int) -> list[int]:
-        """Ids of the best path from ``begin`` to ``end``; ``back`` starts at position ``base``."""
+    def _path(self, text: str, back: list[int], base: int, end: int) -> list[int]:
+        """Ids of the best path from ``base``, where ``back`` begins, to ``end``."""
         cuts = [end]
-        while cuts[-1] > begin:
+        while cuts[-1] > base:
             cuts.append(back[cuts[-1] - base])
         cuts.reverse()
         return [i for a, b in zip(cuts, cuts[1:]) for i in self._ids(text[a:b])]
 
     def search(self, text: str) -> list[int]:
         """Ids of the best segmentation of ``text``."""
-        find, longest, unknown = self.pieces.get, self.longest, self.unknown
+        root, unknown, count = self.trie, self.unknown, len(text)
         ids: list[int] = []
         base = 0  # the last committed boundary; positions before it are forgotten
-        best, back = [0.0], [0]
-        check = 2 * longest
-        for end in range(1, len(text) + 1):
-            top, come = best[end - 1 - base] + unknown, end - 1
-            for begin in range(max(base, end - longest), end):
-                piece = find(text[begin:end])
-                if piece is not None and best[begin - base] + piece[1] > top:
-                    top, come = best[begin - base] + piece[1], begin
-            best.append(top)
-            back.append(come)
-            if end - base >= check:
-                met = self._meeting(back, base, end)
+        best, back = [0.0], [0]  # from ``base`` on
+        check = 2 * self.longest
+        for begin in range(count):
+            if begin - base >= check:
+                met = self._meeting(back, base, begin)
                 if met > base:
-                    ids += self._path(text, back, base, base, met)
+                    ids += self._path(text, back, base, met)
                     best, back, base = best[met - base:], back[met - base:], met
-                    back[0] = met
-                check = end - base + longest
-        return ids + self._path(text, back, base, base, len(text))
-
-    def _meeting(self, back: list[int], base: int, end: int) -> int:
-        """The last boundary on the paths of all positions that can still be extended."""
-        heads = set(range(max(base, end - self.longest + 1), end + 1))
+                check = begin - base + self.longest
+            own = best[begin - base]
+            at = begin - base + 1
+            if at == len(best):
+                best.append(own + unknown)
+                back.append(begin)
+            elif own + unknown > best[at]:
+                best[at], back[at] = own + unknown, begin
+            node = root
+            for character in text[begin:begin + self.longest]:
+                node = node.get(character)
+                if node is None:
+                    break
+                while at >= len(best):
+                    best.append(_NOWHERE)
+                    back.append(begin)
+                score = node.get(_SCORE)
+                # sums that are equal keep the earlier begin, the longer piece
+                if score is not None and own + score > best[at]:
+                    best[at], back[at] = own + score, begin
+                at += 1
+        return ids + self._path(text, back, base, count)
+
+    def _meeting(self, back: list[int], base: int, begin: int) -> int:
+        """The last boundary on the paths to all positions from ``begin`` on."""
+        heads = set(range(begin, base + len(back)))
         while len(heads) > 1:
             last = max(heads)
             heads.discard(last)
-            heads.add(max(base, back[last - base]))
+            heads.add(back[last - base])
         return heads.pop()
 
     def units(self, text: str) -> list[str]:
+        """The parts of a text that are encoded for themselves, each without the ``▁`` that it begins with."""
         if not text:
             return []
+        if self.separate and text[0] != " " and "  " not in text and BLANK not in text:
+            return text.split(" ")
         text = BLANK + text.replace(" ", BLANK)
-        return _UNIT.findall(text) if self.separate else [text]
+        return [unit[1:] for unit in _UNIT.findall(text)] if self.separate else [text[1:]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.units(text) for text in texts]
-        missing = {unit for units in split for unit in units}.difference(self.known)
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = {unit for units in split for unit in units}
-        self.known.update((unit, np.array(self.search(unit), "<u4").tobytes()) for unit in missing)
-        known = self.known.__getitem__
+        known = self.memory.results(set().union(*split), lambda units: [array("I", self.search(BLANK + unit)).tobytes() for unit in units]).__getitem__
         return [np.frombuffer(b"".join(map(known, units)), "<u4") for units in split]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -3,7 +3,7 @@
 A batch of pre-tokens is one array of symbols with the number of its sequence beside each. In every round each
 sequence applies its pair of lowest rank at all its places at once (of overlapping places every second, from the left),
 and sequences without a mergeable pair leave the arrays. What remains of a sequence are its tokens. Counts of
-pre-tokens seen before are looked up; that table is emptied when it has ``REMEMBERED`` entries.
+pre-tokens seen before are looked up, in a table of at most two generations of ``REMEMBERED``.
 
 Null texts count as empty: no bytes, no tokens. Texts of any length are counted whole. Repeated rows give repeated
 results, an empty table none; other columns take no part.
@@ -11,12 +11,14 @@ results, an empty table none; other columns take no part.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Splitter
-from .common import per_text
+from .common import Memory, per_text
 
 LIMIT = 1024
 REMEMBERED = 500_000
@@ -42,7 +44,7 @@ class PairMerges:
         made = np.array([vocabulary[a + b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
-        self.known: dict[str, int] = {}
+        self.memory = Memory(REMEMBERED)
 
     def surviving(self, words: list[bytes]) -> np.ndarray:
         """The number of symbols left of each non-empty word."""
@@ -76,20 +78,20 @@ class PairMerges:
 
     def count(self, texts: list[str]) -> list[int]:
         split = [self.splitter.split(text) for text in texts]
-        missing = list({word for words, _ in split for word in words}.difference(self.known))
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = list({word for words, _ in split for word in words})
-        if missing:
-            self.known.update(zip(missing, self.surviving([word.encode() for word in missing]).tolist()))
-        known = self.known.__getitem__
+        known = self.memory.results(set().union(*(words for words, _ in split)), lambda words: self.surviving([word.encode() for word in words]).tolist()).__getitem__
         return [sum(map(known, words)) + special for words, special in split]
 
 
+@functools.cache
+def load(path: str | None = None) -> PairMerges:
+    """The merges of a vocabulary file; a Python worker loads them once."""
+    return PairMerges(path)
+
+
 def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
     def make():
-        merges = PairMerges(path)
+        merges = load(path)
         return lambda texts: [(len(text.encode()), n, n > limit) for text, n in zip(texts, merges.count(texts))]
 
     fields = [("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())]
