@@ -113,7 +113,10 @@ def format_trees(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     paths = chosen.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("height"))
     for power in range(len(steps) - 1, -1, -1):
         up = steps[power].select("tree", F.col("id").alias("node"), "up")
-        paths = paths.unionByName(paths.join(up, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + (1 << power)).alias("height")))
+        here = F.struct("node", "height")
+        there = F.struct(F.col("up").alias("node"), (F.col("height") + (1 << power)).alias("height"))
+        paths = paths.join(up, ["tree", "node"], "left").select("tree", "leaf", F.explode(F.array(here, there)).alias("at")).select(
+            "tree", "leaf", "at.node", "at.height").filter(F.col("node").isNotNull())
     turns = written(paths, "paths").join(nodes.select("tree", F.col("id").alias("node"), "role", "text"), ["tree", "node"])
     made = turns.select("tree", "leaf", F.struct((-F.col("height")).alias("at"), segments(F.col("role"), F.col("text")).alias("of")).alias("turn"))
     whole_path = made.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
