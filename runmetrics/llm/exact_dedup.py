@@ -46,31 +46,35 @@ def entries(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         F.sha2("norm", 256).alias("text_sha256"))
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
-    """Slots of the directory over distinct hashes ``h``, as (slot, bucket), and the global depth.
+def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, list[int]]:
+    """The buckets over distinct hashes ``h``, as (depth, slot, bucket), and the depths that occur.
 
-    Starts with as many slots as the number of hashes asks for and doubles while a bucket is overfull. A bucket that
-    was split later has fewer slots; ``bucket`` is the smallest hash prefix of its slots at the global depth.
+    Starts with as many slots as the number of hashes asks for and doubles while a bucket is overfull, so a bucket's
+    depth is the number of leading bits that its hashes share, its slot these bits, and ``bucket`` their place in the
+    order of hashes. Slots that point to the same bucket are one row: the table grows with the buckets alone.
     """
     total = keys.count()
     depth = max(0, math.ceil(math.log2(max(1, 2 * total / capacity))))
-    leaves, rest = [], keys.select("h")
+    depths, buckets, rest = [], None, keys.select("h")
     while True:
         sizes = written(rest.groupBy(prefix("h", depth).alias("slot")).agg(F.count("*").alias("n")), "directory")
         last = depth >= HASH_BITS - 2
-        leaves.append((depth, sizes if last else sizes.filter(F.col("n") <= capacity)))
+        full = sizes if last else sizes.filter(F.col("n") <= capacity)
+        level = full.select(F.lit(depth).alias("depth"), "slot", F.shiftleft("slot", HASH_BITS - 1 - depth).alias("bucket"))
+        buckets = level if buckets is None else buckets.unionByName(level)
+        depths.append(depth)
         overfull = sizes.filter(F.col("n") > capacity)
         if last or overfull.isEmpty():
-            break
+            return buckets, depths
         rest = rest.withColumn("slot", prefix("h", depth)).join(overfull.select("slot"), "slot", "left_semi").select("h")
         depth += 1
-    slots = None
-    for local, sizes in leaves:
-        span = 1 << (depth - local)
-        first = F.shiftleft(F.col("slot"), depth - local)
-        part = sizes.select(F.explode(F.sequence(first, first + F.lit(span - 1).cast("long"))).alias("slot"), first.alias("bucket"))
-        slots = part if slots is None else slots.unionByName(part)
-    return slots, depth
+
+
+def owned(rows: DataFrame, buckets: DataFrame, depths: list[int]) -> DataFrame:
+    """``rows`` (with ``h``) and the bucket of each: looked up under its leading bits at every depth, found at one."""
+    places = F.array(*(F.struct(F.lit(d).alias("depth"), prefix("h", d).alias("slot")) for d in depths))
+    looked = rows.withColumn("place", F.explode(places)).withColumns({"depth": F.col("place.depth"), "slot": F.col("place.slot")})
+    return looked.join(buckets, ["depth", "slot"]).drop("place", "depth", "slot")
 
 
 def _bit(h: Column) -> tuple[Column, Column]:
@@ -101,14 +105,13 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256, and the bucket that owns it."""
     index = written(entries(docs, id_column, text_column), "index")
     hashes = written(index.groupBy("h").agg(F.count("*").alias("n")), "hashes")
-    slots, depth = directory(hashes, capacity)
+    buckets, depths = directory(hashes, capacity)
     chained = written(chains(docs, hashes.filter("n > 1"), text_column), "chains")
     best = F.min(F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("without_id"), "doc_id", "row_id"))
     members = index.join(chained, ["h", "text_sha256"], "left").withColumn("chain", F.coalesce("chain", F.lit(0)))
     summed = (members.groupBy("h", "chain", F.pmod("row_id", F.lit(SALTS)).alias("salt"))
-              .agg(best.alias("best"), F.count("*").alias("n")).withColumn("slot", prefix("h", depth)))
-    owned = summed.join(slots, "slot").repartitionByRange("bucket", "h")
-    classes = owned.groupBy("bucket", "h", "chain").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
+              .agg(best.alias("best"), F.count("*").alias("n")))
+    classes = owned(summed, buckets, depths).repartitionByRange("bucket", "h").groupBy("bucket", "h", "chain").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
     return members.join(classes, ["h", "chain"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"),
         "text_sha256", "bucket")

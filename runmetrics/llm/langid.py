@@ -34,8 +34,8 @@ PENALTY = 6.0
 SCRIPT_SHARE = 0.01
 LEAST_SCORE = 0.3
 UNDECIDED = "und"
-REMEMBERED = 400_000
-RUN = 6_000_000
+REMEMBERED = 250_000
+RUN = 4_000_000
 
 # First characters of the Unicode ranges of scripts.
 SCRIPTS = (
