@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from runmetrics.llm import langid, licenses, packing, pieces, simhash, token_counts
@@ -206,7 +207,10 @@ def test_packing(spark, documents, edge, library):
     sequences, total = check_packing(documents, packing.pack(documents.repartition(11)).collect(), tokens)
     sizes = [n for r in documents.collect() for _, n in packing.cut(len(tokens.ids(r.text or "")), 1024)]
     at_once = len(packing.best_fit(np.array(sizes), 1024)[2])
-    assert total == sum(sizes) and sequences <= at_once * 1.01 + 1
+    assert total == sum(sizes) and sequences <= at_once * 1.03 + 1
+    larger = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")
+    packed = packing.pack(larger).agg(F.count_distinct("sequence_id"), F.sum("length")).first()
+    assert packed[0] <= 1.002 * packed[1] / 1024 + 1
     check_packing(edge, packing.pack(edge).collect(), tokens)
     assert packing.pack(edge.limit(0)).count() == 0
 
