@@ -1,20 +1,19 @@
 """Dependency graphs of many workflows at once.
 
 Nodes are rows (key, task), edges rows (key, src, dst) where dst depends on src. The
-iterative operators run one Spark job per graph level and write every step to the shared
-checkpoint folder. Work is spread by (key, task), never by key alone, so a workflow
+iterative operators run one Spark job per graph level and write what each round finds to
+the shared folder, each task once or as often as it is told of a freed dependency. Work is spread by (key, task), never by key alone, so a workflow
 holding a third of all tasks is shared by all executors. Nothing lists pairs of tasks of
 a workflow: questions about pairs take the pairs, or one source task per row, as input.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F, types as T
 
-from ..functions.status import is_failed
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_dir
 from .results import critical_tasks
 
 
@@ -42,62 +41,106 @@ def self_dependencies(edges: DataFrame, key: str = "workflow") -> DataFrame:
     return edges.filter(F.col("src") == F.col("dst")).select(key, F.col("src").alias("task"))
 
 
-def _held(edges: DataFrame, key: str, end: str, by: str) -> DataFrame:
-    """Edges whose ``end`` task is the ``by`` task of some edge."""
-    others = edges.select(key, F.col(by).alias(end)).distinct()
-    return edges.join(others, [key, end], "left_semi").select(key, "src", "dst")
+class _Rounds:
+    """The rounds of a loop, each written once to the shared folder and read together as one table.
 
+    ``add`` writes the next round and returns how many of its rows fulfil ``counted``, from the same job.
+    """
 
-def _peel(edges: DataFrame, key: str) -> tuple[list[DataFrame], bool]:
-    """Edges left after removing the tasks nothing points at 0, 1, 2, ... times, and whether some stay for ever.
+    def __init__(self, df: DataFrame, counted: str = "true"):
+        self.spark, self.counted, self.last = df.sparkSession, counted, -1
+        self.path = f"{shared_dir(self.spark).rstrip('/')}/rounds-{uuid.uuid4().hex}"
+        self.schema = df.schema
 
-    The rounds end when no edge is left or, with a cycle, when a round removes none.
-    """
-    left = cut_lineage(edges.select(key, "src", "dst").distinct())
-    rounds, size = [left], left.count()
-    while size:
-        left = cut_lineage(_held(left, key, "src", "dst"))
-        remaining = left.count()
-        if remaining == size:
-            return rounds, True
-        rounds.append(left)
-        size = remaining
-    return rounds, False
+    def add(self, df: DataFrame) -> int:
+        self.last += 1
+        seen = Observation()
+        df.observe(seen, F.count_if(F.expr(self.counted)).alias("n")).write.parquet(f"{self.path}/round={self.last}")
+        return seen.get["n"]
+
+    def latest(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/round={self.last}")
+
+    def all(self) -> DataFrame:
+        schema = T.StructType([*self.schema.fields, T.StructField("round", T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.path)
 
 
 def dag_levels(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
     """Execution batch of every task, from 0; null for tasks on or behind a cycle.
 
-    A task stays blocked as long as an edge into it is left, so its level is the number
-    of rounds in which it was still blocked.
+    A round takes the tasks freed in the last one and tells their dependents. It writes the tasks it frees, which are
+    those of the next level, and those it told whose other dependencies are open; all others aren't touched.
     """
-    rounds, cyclic = _peel(known_edges(nodes, edges, key), key)
-    steps = [
-        left.select(key, F.col("dst").alias("task"), F.lit(level).alias("lvl"), F.lit(False).alias("defined"))
-        for level, left in enumerate(rounds, start=1)
-    ]
-    tasks = nodes.select(key, "task").withColumns({"lvl": F.lit(0), "defined": F.lit(True)})
-    survived = reduce(DataFrame.unionByName, steps, tasks).groupBy(key, "task").agg(
-        F.max("lvl").alias("lvl"), F.bool_or("defined").alias("defined")
-    )
-    # Whoever is still blocked in the last round of a graph with cycles has no level.
-    level = F.when(F.col("lvl") < len(rounds), F.col("lvl")) if cyclic else F.col("lvl")
-    return survived.filter("defined").select(key, "task", level.alias("lvl"))
+    known = cut_lineage(known_edges(nodes, edges, key).distinct())
+    needs = cut_lineage(known.groupBy(key, F.col("dst").alias("task")).agg(F.count("*").alias("need")))
+    told = nodes.select(key, "task").distinct().join(needs, [key, "task"], "left_anti").select(
+        key, "task", F.lit(0).cast("long").alias("got"), F.lit(True).alias("free"))
+    rounds = _Rounds(told, "free")
+    step = known.withColumnRenamed("src", "task")
+    while rounds.add(told):
+        last = rounds.latest()
+        tells = last.filter("free").join(step, [key, "task"]).select(key, F.col("dst").alias("task"), F.lit(1).cast("long").alias("got"))
+        sums = tells.unionByName(last.filter("not free").select(key, "task", "got")).groupBy(key, "task").agg(F.sum("got").alias("got"))
+        told = sums.join(needs, [key, "task"]).select(key, "task", "got", (F.col("got") == F.col("need")).alias("free"))
+    freed = rounds.all().filter("free").select(key, "task", F.col("round").alias("lvl"))
+    return nodes.select(key, "task").join(freed, [key, "task"], "left")
+
+
+def _held(edges: DataFrame, key: str, end: str, by: str) -> DataFrame:
+    """Edges whose ``end`` task is the ``by`` task of some edge."""
+    others = edges.select(key, F.col(by).alias(end)).distinct()
+    return edges.join(others, [key, end], "left_semi").select(key, "src", "dst")
+
+
+def _trimmed(edges: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Edges that start at no task without dependencies and end at no task without dependents, and their number."""
+    rounds = _Rounds(edges)
+    size, before = rounds.add(edges), -1
+    while size and size != before:
+        left = rounds.latest()
+        size, before = rounds.add(_held(_held(left, key, "src", "dst"), key, "dst", "src")), size
+    return rounds.latest(), size
+
+
+def _named(edges: DataFrame, key: str) -> DataFrame:
+    """For every task the smallest task that leads to it (``first``) and that it leads to (``last``), itself included."""
+    ends = edges.select(key, F.explode(F.array("src", "dst")).alias("task")).distinct()
+    labels = ends.select(key, "task", F.col("task").alias("first"), F.col("task").alias("last"), F.lit(True).alias("changed"))
+    rounds = _Rounds(labels, "changed")
+    smaller = lambda c: F.coalesce(F.col(f"__{c}") < F.col(c), F.lit(False))
+    while rounds.add(labels):
+        own = rounds.latest()
+        moved = own.filter("changed")
+        down = moved.select(key, F.col("task").alias("src"), "first").join(edges, [key, "src"]).select(
+            key, F.col("dst").alias("task"), "first", F.lit(None).cast(own.schema["last"].dataType).alias("last"))
+        up = moved.select(key, F.col("task").alias("dst"), "last").join(edges, [key, "dst"]).select(
+            key, F.col("src").alias("task"), F.lit(None).cast(own.schema["first"].dataType).alias("first"), "last")
+        heard = down.unionByName(up).groupBy(key, "task").agg(F.min("first").alias("__first"), F.min("last").alias("__last"))
+        labels = own.join(heard, [key, "task"], "left").select(
+            key, "task", F.least("first", "__first").alias("first"), F.least("last", "__last").alias("last"),
+            (smaller("first") | smaller("last")).alias("changed"))
+    return rounds.latest().select(key, "task", "first", "last")
 
 
 def dag_cycles(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
-    """Tasks on a cycle or between two cycles.
+    """Tasks on a cycle: those that lead to themselves. Tasks between two cycles are on none.
 
-    Every round removes the edges that start at a task nothing points at or end at a task
-    that points at nothing; what is left when a round removes none is on or between cycles.
+    Trimming leaves cycles and what lies between them. The two ends of an edge on a cycle are led to by the same tasks
+    and lead to the same ones, so edges whose ends differ in the smallest of these are on no cycle and are dropped.
+    When nothing more can be dropped, the smallest task of each connected rest leads to all of it and back.
     """
-    core = cut_lineage(known_edges(nodes, edges, key).distinct())
-    size, before = core.count(), -1
-    while size and size != before:
-        core = cut_lineage(_held(_held(core, key, "src", "dst"), key, "dst", "src"))
-        size, before = core.count(), size
-    ends = [core.select(key, F.col(c).alias("task")) for c in ("src", "dst")]
-    return ends[0].unionByName(ends[1]).distinct()
+    core, size = _trimmed(known_edges(nodes, edges, key).distinct(), key)
+    while size:
+        names = _named(core, key)
+        start = names.select(key, F.col("task").alias("src"), F.struct("first", "last").alias("__from"))
+        end = names.select(key, F.col("task").alias("dst"), F.struct("first", "last").alias("__to"))
+        kept = core.join(start, [key, "src"]).join(end, [key, "dst"]).filter(F.col("__from") == F.col("__to")).select(key, "src", "dst")
+        core, left = _trimmed(kept, key)
+        if left == size:
+            break
+        size = left
+    return core.select(key, F.explode(F.array("src", "dst")).alias("task")).distinct()
 
 
 def neighbours(edges: DataFrame, direction: str = "dependents", key: str = "workflow") -> DataFrame:
@@ -146,29 +189,38 @@ def dag_reach(edges: DataFrame, sources: DataFrame, key: str = "workflow", label
     found for every label on its own.
     """
     ids = [key] + ([label] if label else [])
+    return _reached(edges, sources.select(*ids, "task").distinct(), [*ids, "task"], key)
+
+
+def _reached(edges: DataFrame, start: DataFrame, ids: list[str], key: str, still_open=lambda found, df: df) -> DataFrame:
+    """Rows ``ids`` found from ``start`` along the edges; ``still_open`` keeps the rows that need to go on."""
     step = cut_lineage(edges.select(key, F.col("src").alias("task"), "dst").distinct())
-    frontier = cut_lineage(sources.select(*ids, "task").distinct())
-    found = [frontier]
-    while not frontier.isEmpty():
-        seen = reduce(DataFrame.unionByName, found)
-        onward = frontier.join(step, [key, "task"]).select(*ids, F.col("dst").alias("task")).distinct()
-        frontier = cut_lineage(onward.join(seen, [*ids, "task"], "left_anti"))
-        found.append(frontier)
-    return reduce(DataFrame.unionByName, found)
+    rounds = _Rounds(start)
+    more = rounds.add(start)
+    while more:
+        found = rounds.all().drop("round")
+        onward = still_open(found, rounds.latest()).join(step, [key, "task"]).select(*ids[:-1], F.col("dst").alias("task")).distinct()
+        more = rounds.add(onward.join(found, ids, "left_anti"))
+    return rounds.all().drop("round")
 
 
 def has_dependency_path(edges: DataFrame, pairs: DataFrame, key: str = "workflow") -> DataFrame:
     """For rows (key, task, other): does ``task`` depend on ``other``, directly or not?
 
-    A task counts as depending on itself.
+    A task counts as depending on itself. The search starts at each ``other`` and goes on only while some task asked
+    for it isn't found, so pairs that are answered soon cost little.
     """
-    start = pairs.select(key, F.col("other").alias("task"), F.col("other").alias("origin")).distinct()
-    reached = dag_reach(edges, start, key, label="origin").select(
-        key, "task", F.col("origin").alias("other"), F.lit(True).alias("__hit")
-    )
+    asked = cut_lineage(pairs.select(key, "task", F.col("other").alias("origin")).distinct())
+    start = asked.filter(F.col("task") != F.col("origin")).select(key, "origin", F.col("origin").alias("task")).distinct()
+
+    def still_open(found: DataFrame, frontier: DataFrame) -> DataFrame:
+        unanswered = asked.filter(F.col("task") != F.col("origin")).join(found, [key, "origin", "task"], "left_anti").select(key, "origin").distinct()
+        return frontier.join(unanswered, [key, "origin"], "left_semi")
+
+    reached = _reached(edges, start, [key, "origin", "task"], key, still_open).select(
+        key, "task", F.col("origin").alias("other"), F.lit(True).alias("__hit"))
     return pairs.join(reached, [key, "task", "other"], "left").select(
-        *pairs.columns, F.coalesce("__hit", F.lit(False)).alias("depends")
-    )
+        *pairs.columns, (F.coalesce("__hit", F.lit(False)) | (F.col("task") == F.col("other"))).alias("depends"))
 
 
 def dag_unreachable(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:

@@ -130,13 +130,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   union
   select r.workflow, r.src, k.dst from declared_reach r join declared_known k on k.workflow = r.workflow and k.src = r.dst"""),
     "declared_cyclic": (("declared", "declared_reach"), """
-  with looped as (select distinct workflow, src as task from declared_reach where src = dst)
-  select d.workflow, d.task from declared d
-  where exists (select 1 from looped l where l.workflow = d.workflow and l.task = d.task)
-     or (exists (select 1 from looped l join declared_reach r on r.workflow = l.workflow and r.src = l.task
-                 where l.workflow = d.workflow and r.dst = d.task)
-         and exists (select 1 from looped l join declared_reach r on r.workflow = l.workflow and r.dst = l.task
-                 where l.workflow = d.workflow and r.src = d.task))"""),
+  select distinct workflow, src as task from declared_reach where src = dst"""),
     "declared_lost": (("declared", "declared_edges", "declared_reach"), """
   with roots as (select workflow, task from declared d where len(deps) = 0)
   select d.workflow, d.task from declared d

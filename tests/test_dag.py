@@ -1,3 +1,4 @@
+import os
 import random
 
 from frames import rows
@@ -34,7 +35,7 @@ def test_diamond(spark):
 
 def test_cycles(spark):
     n, e = _graph(spark, "abxyzr", [("a", "b"), ("b", "a"), ("b", "x"), ("x", "y"), ("y", "z"), ("z", "y"), ("r", "a")])
-    assert rows(dag.dag_cycles(n, e), "task") == [("a",), ("b",), ("x",), ("y",), ("z",)]
+    assert rows(dag.dag_cycles(n, e), "task") == [("a",), ("b",), ("y",), ("z",)]
     levels = dict(rows(dag.dag_levels(n, e).fillna(-1, "lvl"), "task", "lvl"))
     assert levels == {"r": 0, "a": -1, "b": -1, "x": -1, "y": -1, "z": -1}
     n, e = _graph(spark, "abc", [("a", "b"), ("b", "a"), ("b", "c")])
@@ -100,3 +101,37 @@ def test_declared_definitions_hold_every_mistake(spark):
     kinds = {r.kind for r in validation.config_issues(defs).select("kind").distinct().collect()}
     assert kinds == {"config", "task_type", "template"}
     assert defs.filter(F.size("depends_on") == 0).count() > 0
+
+
+def test_cycles_equal_brute_force(spark):
+    rnd = random.Random(9)
+    for size, links in ((12, 14), (30, 40), (60, 75)):
+        names = [f"t{i:03d}" for i in range(size)]
+        edges = sorted({(rnd.choice(names), rnd.choice(names)) for _ in range(links)})
+        reach = {a: {b for x, b in edges if x == a} for a in names}
+        for _ in names:
+            reach = {a: found.union(*(reach[b] for b in found)) if found else found for a, found in reach.items()}
+        n, e = _graph(spark, names, edges)
+        assert rows(dag.dag_cycles(n, e), "task") == sorted((a,) for a in names if a in reach[a])
+
+
+def _written(spark, name):
+    from runmetrics.session import shared_dir
+    import glob
+    paths = sorted(glob.glob(f"{shared_dir(spark)}/{name}-*"), key=os.path.getmtime)
+    return spark.read.parquet(paths[-1])
+
+
+def test_rounds_write_each_task_once(spark):
+    names = [f"t{i:03d}" for i in range(60)]
+    n, e = _graph(spark, names, list(zip(names, names[1:])))
+    assert rows(dag.dag_levels(n, e), "lvl") == [(i,) for i in range(60)]
+    assert _written(spark, "rounds").count() == 60
+    wide = spark.range(20000)
+    n = wide.select(F.lit("w").alias("workflow"), F.col("id").cast("string").alias("task"))
+    e = wide.filter("id > 0").select(F.lit("w").alias("workflow"), F.lit("0").alias("src"), F.col("id").cast("string").alias("dst"))
+    assert rows(dag.dag_levels(n, e).groupBy("lvl").count()) == [(0, 1), (1, 19999)]
+    assert _written(spark, "rounds").count() == 20000
+    self_pairs = n.limit(20).withColumn("other", F.col("task"))
+    assert dag.has_dependency_path(e, self_pairs).filter("depends").count() == 20
+    assert _written(spark, "rounds").count() == 0
