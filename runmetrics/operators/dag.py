@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, Window, functions as F, types as T
 
-from ..session import cut_lineage, shared_dir
+from ..session import shared_dir, stored
 from .results import critical_tasks
 
 
@@ -72,17 +72,17 @@ def dag_levels(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> Dat
     A round takes the tasks freed in the last one and tells their dependents. It writes the tasks it frees, which are
     those of the next level, and those it told whose other dependencies are open; all others aren't touched.
     """
-    known = cut_lineage(known_edges(nodes, edges, key).distinct())
-    needs = cut_lineage(known.groupBy(key, F.col("dst").alias("task")).agg(F.count("*").alias("need")))
-    told = nodes.select(key, "task").distinct().join(needs, [key, "task"], "left_anti").select(
-        key, "task", F.lit(0).cast("long").alias("got"), F.lit(True).alias("free"))
+    known = known_edges(nodes, edges, key).distinct()
+    of_each = Window.partitionBy(key, "dst")
+    step = stored(known.select(key, F.col("src").alias("task"), "dst", F.count("*").over(of_each).alias("need")), "steps")
+    told = nodes.select(key, "task").distinct().join(step.select(key, F.col("dst").alias("task")), [key, "task"], "left_anti").select(
+        key, "task", *[F.lit(0).cast("long").alias(c) for c in ("got", "need")], F.lit(True).alias("free"))
     rounds = _Rounds(told, "free")
-    step = known.withColumnRenamed("src", "task")
     while rounds.add(told):
         last = rounds.latest()
-        tells = last.filter("free").join(step, [key, "task"]).select(key, F.col("dst").alias("task"), F.lit(1).cast("long").alias("got"))
-        sums = tells.unionByName(last.filter("not free").select(key, "task", "got")).groupBy(key, "task").agg(F.sum("got").alias("got"))
-        told = sums.join(needs, [key, "task"]).select(key, "task", "got", (F.col("got") == F.col("need")).alias("free"))
+        tells = last.filter("free").drop("need").join(step, [key, "task"]).select(key, F.col("dst").alias("task"), F.lit(1).cast("long").alias("got"), "need")
+        sums = tells.unionByName(last.filter("not free").drop("free")).groupBy(key, "task").agg(F.sum("got").alias("got"), F.max("need").alias("need"))
+        told = sums.withColumn("free", F.col("got") == F.col("need"))
     freed = rounds.all().filter("free").select(key, "task", F.col("round").alias("lvl"))
     return nodes.select(key, "task").join(freed, [key, "task"], "left")
 
@@ -93,10 +93,13 @@ def _held(edges: DataFrame, key: str, end: str, by: str) -> DataFrame:
     return edges.join(others, [key, end], "left_semi").select(key, "src", "dst")
 
 
-def _trimmed(edges: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """Edges that start at no task without dependencies and end at no task without dependents, and their number."""
+def _trimmed(edges: DataFrame, key: str, before: int = -1) -> tuple[DataFrame, int]:
+    """Edges that start at no task without dependencies and end at no task without dependents, and their number.
+
+    ``before`` of them are known to be trimmed; when there are as many, none was dropped since.
+    """
     rounds = _Rounds(edges)
-    size, before = rounds.add(edges), -1
+    size = rounds.add(edges)
     while size and size != before:
         left = rounds.latest()
         size, before = rounds.add(_held(_held(left, key, "src", "dst"), key, "dst", "src")), size
@@ -136,7 +139,7 @@ def dag_cycles(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> Dat
         start = names.select(key, F.col("task").alias("src"), F.struct("first", "last").alias("__from"))
         end = names.select(key, F.col("task").alias("dst"), F.struct("first", "last").alias("__to"))
         kept = core.join(start, [key, "src"]).join(end, [key, "dst"]).filter(F.col("__from") == F.col("__to")).select(key, "src", "dst")
-        core, left = _trimmed(kept, key)
+        core, left = _trimmed(kept, key, size)
         if left == size:
             break
         size = left
@@ -194,7 +197,7 @@ def dag_reach(edges: DataFrame, sources: DataFrame, key: str = "workflow", label
 
 def _reached(edges: DataFrame, start: DataFrame, ids: list[str], key: str, still_open=lambda found, df: df) -> DataFrame:
     """Rows ``ids`` found from ``start`` along the edges; ``still_open`` keeps the rows that need to go on."""
-    step = cut_lineage(edges.select(key, F.col("src").alias("task"), "dst").distinct())
+    step = stored(edges.select(key, F.col("src").alias("task"), "dst").distinct(), "steps")
     rounds = _Rounds(start)
     more = rounds.add(start)
     while more:
@@ -210,7 +213,7 @@ def has_dependency_path(edges: DataFrame, pairs: DataFrame, key: str = "workflow
     A task counts as depending on itself. The search starts at each ``other`` and goes on only while some task asked
     for it isn't found, so pairs that are answered soon cost little.
     """
-    asked = cut_lineage(pairs.select(key, "task", F.col("other").alias("origin")).distinct())
+    asked = stored(pairs.select(key, "task", F.col("other").alias("origin")).distinct(), "pairs")
     start = asked.filter(F.col("task") != F.col("origin")).select(key, "origin", F.col("origin").alias("task")).distinct()
 
     def still_open(found: DataFrame, frontier: DataFrame) -> DataFrame:

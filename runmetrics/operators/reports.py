@@ -171,6 +171,40 @@ def report_nested_summary(nested: DataFrame, template: str = "default", at: Colu
     return _run_summaries(rows, template, at)
 
 
+def report_nested_detailed(nested: DataFrame, template: str = "default", at: Column | None = None) -> DataFrame:
+    """The detailed report of runs that carry their tasks, row by row; the run's entries are as long as its tasks are."""
+
+    def entry(task: Column) -> Column:
+        def has(name: str) -> bool:
+            return name in names
+
+        def value(name: str, kind: str = "string") -> Column:
+            return task[name] if has(name) else F.lit(None).cast(kind)
+
+        return fill(
+            TASK_ENTRY, icon=st.icon(task["status"], st.TASK_DETAIL_ICONS), task=task["task_id"], type=task["task_type"], status=task["status"],
+            started=F.coalesce(clock_text(value("start_time", "timestamp")), F.lit("")),
+            completed=_line("- **Completed:** {{x}}\n", clock_text(value("end_time", "timestamp"))),
+            duration=_line("- **Duration:** {{x}} seconds\n", value("duration_ms", "long"), seconds_text(value("duration_ms", "long"), 2)),
+            retries=_when(F.coalesce(value("retry_count", "int"), F.lit(0)) > 0, fill("- **Retries:** {{n}}\n", n=value("retry_count", "int"))),
+            output=_fenced("Output", value("output")), error=_fenced("Error", value("error")),
+            metadata=_metadata_lines("\n**Metadata:**\n", value("metadata", "map<string,string>"), "- {{key}}: {{value}}\n"),
+        )
+
+    names = set(nested.schema["tasks"].dataType.elementType.names)
+    rows = nested.select("*", *nested_summary("tasks"))
+    head = _detailed_head()
+    foot = _metadata_lines("## Workflow Metadata\n", _optional(nested, "metadata", "map<string,string>"), "- {{key}}: {{value}}\n")
+    content = F.concat(head, F.array_join(F.transform(F.coalesce("tasks", F.array().cast(nested.schema["tasks"].dataType)), entry), ""), F.coalesce(foot, F.lit("")))
+    title = fill("Detailed Workflow Report: {{n}} - {{s}}", n="workflow_name", s="status")
+    metadata = _metadata("detailed", template, workflow_name=F.col("workflow_name"), run_id=F.col("run_id"), task_count=F.col("total_tasks"))
+    keys = [c for c in ("run_id", "route") if c in rows.columns]
+    return _reports(rows, keys, "detailed", title, content, metadata, F.current_timestamp() if at is None else at)
+
+
+NESTED_GENERATORS = {"summary": report_nested_summary, "detailed": report_nested_detailed}
+
+
 def report_task_summary(tasks: DataFrame, template: str = "default", at: Column | None = None) -> DataFrame:
     """Summary report of every task; long outputs are shown up to 200 characters."""
     content = fill(
@@ -273,18 +307,22 @@ def _last_ordinal(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("run_id").agg(F.max("ordinal").cast("long").alias("last"))
 
 
-def report_run_detailed(
-    runs: DataFrame, tasks: DataFrame, filters: Filters = Filters(), template: str = "default",
-    at: Column | None = None, per_page: int = 500,
-) -> DataFrame:
-    """Detailed report of every run, in numbered pages; most runs have one."""
-    text = fill(
+def _detailed_head() -> Column:
+    return fill(
         RUN_DETAILED, name="workflow_name", run="run_id", status="status", started=clock_text("start_time"),
         completed=_line("- **Completed:** {{x}}\n", clock_text("end_time")),
         duration=_line("- **Duration:** {{x}} seconds\n", F.col("duration_ms"), seconds_text("duration_ms", 2)),
         total="total_tasks", ok="successful_tasks", rate=fixed_text("success_rate", 1), bad="failed_tasks",
         skipped="skipped_tasks", heading=_when(F.col("total_tasks") > 0, F.lit(DETAILS_HEADING)),
     )
+
+
+def report_run_detailed(
+    runs: DataFrame, tasks: DataFrame, filters: Filters = Filters(), template: str = "default",
+    at: Column | None = None, per_page: int = 500,
+) -> DataFrame:
+    """Detailed report of every run, in numbered pages; most runs have one."""
+    text = _detailed_head()
     foot = None
     if "metadata" in runs.columns:
         lines = _metadata_lines("## Workflow Metadata\n", F.col("metadata"), "- {{key}}: {{value}}\n")

@@ -178,13 +178,19 @@ def apply_when(tasks: DataFrame, conditions: Mapping[str, str], by: str = "task_
 def critical_tasks(tasks: DataFrame, definitions: DataFrame, continue_on_error: bool | None = None) -> DataFrame:
     """Failures that stop their run.
 
-    A failed required task always does. ``continue_on_error=False`` makes every failure
-    critical; ``None`` (no error handling configured) and ``True`` leave it at required ones.
+    A failed required task always does. Where ``continue_on_error`` is false every failure is
+    critical; null (no error handling configured) and true leave it at required ones. It is a
+    column of ``definitions``, a value for each workflow; the argument overrides it for all.
     """
     failed = tasks.filter(is_failed("status"))
     if continue_on_error is False:
         return failed
     required = definitions.filter(F.coalesce(F.col("required"), F.lit(True))).select("workflow_name", "task_id")
+    if continue_on_error is None and "continue_on_error" in definitions.columns:
+        strict = definitions.filter(~F.col("continue_on_error")).select("workflow_name").distinct().withColumn("__strict", F.lit(True))
+        needed = required.distinct().withColumn("__required", F.lit(True))
+        known = failed.join(strict, "workflow_name", "left").join(needed, ["workflow_name", "task_id"], "left")
+        return known.filter("__strict or __required").select(*failed.columns)
     return failed.join(required, ["workflow_name", "task_id"], "left_semi")
 
 

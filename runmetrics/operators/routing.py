@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.maps import tags_match
 from ..functions.status import is_failed, is_successful
 from ..functions.times import whole_seconds
-from .windows import trailing_counts
+from .windows import join_null_safe, trailing_counts
 
 # Names of the built-in channels.
 CHANNELS = ("email", "slack", "file", "terminal")
@@ -97,7 +97,7 @@ def _matching(df: DataFrame, tests: Sequence[tuple[Route, Column]]) -> DataFrame
 
 
 def runs_triggering(runs: DataFrame, routes: Sequence[Route]) -> DataFrame:
-    """Finished runs with every route they trigger, one row per (run, route)."""
+    """Finished runs with every route they trigger, one row per (run, route). Runs still going trigger nothing."""
     tests = []
     for r in routes:
         if not (r.enabled and r.trigger_on_workflow_completion):
@@ -108,7 +108,8 @@ def runs_triggering(runs: DataFrame, routes: Sequence[Route]) -> DataFrame:
         if r.filters.workflow_status is not None:
             test = test & F.col("status").isin(*_canonical(r.filters.workflow_status))
         tests.append((r, test))
-    return _matching(runs, tests)
+    going = F.coalesce(F.col("status").isin("running", "pending"), F.lit(False))
+    return _matching(runs.filter(~going), tests)
 
 
 def tasks_triggering(tasks: DataFrame, routes: Sequence[Route]) -> DataFrame:
@@ -198,6 +199,7 @@ def rate_limited(reports: DataFrame, limits: RateLimits, keys: Sequence[str] = (
     allowed = F.lit(True)
     for span, limit in spans:
         allowed = allowed & (F.col(f"last_{span}s") <= limit)
-    return stamped.join(counted, [*keys, "__second"]).select(
+    # Null keys are a key like any other; a report without a time is kept, undecided.
+    return join_null_safe(stamped, counted, [*keys, "__second"]).select(
         *reports.columns, *[f"last_{span}s" for span, _ in spans], allowed.alias("allowed")
     )

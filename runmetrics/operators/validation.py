@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import brace_error, destination_parts
-from ..session import cut_lineage
+from ..session import stored
 from . import dag
+from .windows import join_null_safe, running_sums
 
 # Task types that can be run, and the texts of the findings.
 TASK_TYPES = ("command", "compress", "checksum", "archive", "file", "s3", "email", "slack", "template")
@@ -25,7 +26,7 @@ INVALID_CONFIG = "Invalid task configuration for '%s': %s"
 NULL_CONFIG = "task config cannot be null"
 NO_ATTEMPTS = "max_attempts must be greater than 0"
 NO_BACKOFF = "backoff_multiplier must be greater than 0"
-UNSUPPORTED_TYPE = "Unsupported task type '%s' in task '%s'"
+UNSUPPORTED_TYPE = "Unsupported task type '%s' in task '%s'. Supported types: [%s]"
 INVALID_TEMPLATE = "Invalid template syntax in 'tasks.%s.when': %s"
 INVALID_OUTPUT = "Invalid output configuration: "
 EMPTY_DESTINATION = "destination cannot be empty"
@@ -58,7 +59,7 @@ def config_issues(definitions: DataFrame, task_types: Sequence[str] | None = TAS
     if task_types is not None:
         unsupported = F.col("config").isNotNull() & ~F.col("task_type").isin(*task_types)
         text = F.when(
-            unsupported, F.format_string(UNSUPPORTED_TYPE, F.col("task_type"), F.col("task"))
+            unsupported, F.format_string(UNSUPPORTED_TYPE, F.col("task_type"), F.col("task"), F.lit(", ".join(f'"{t}"' for t in task_types)))
         ).otherwise(text)
         kind = F.when(unsupported, "task_type").otherwise(kind)
     problem = brace_error("when")
@@ -130,8 +131,8 @@ def definition_issues(
     backoff_multiplier, when, config).
     """
     # The graph checks read both many times over, so they are computed once.
-    places = cut_lineage(definitions.select("workflow", "task", F.col("ordinal").cast("int").alias("ordinal")))
-    edges = cut_lineage(dag.dag_edges(definitions))
+    places = stored(definitions.select("workflow", "task", F.col("ordinal").cast("int").alias("ordinal")), "places")
+    edges = stored(dag.dag_edges(definitions), "edges")
     nodes = places.select("workflow", "task")
     task = F.col("task")
 
@@ -177,13 +178,24 @@ def validate_definitions(workflows: DataFrame, issues: DataFrame) -> DataFrame:
     )
 
 
-def validation_messages(issues: DataFrame, tasks_per_page: int = 1000) -> DataFrame:
-    """The messages as arrays, a page of tasks per row.
+def validation_messages(issues: DataFrame, per_page: int = 1000) -> DataFrame:
+    """The messages as arrays, a page of ``per_page`` messages per row.
 
-    A workflow of any size is listed whole, but no row holds more than one page of it;
-    ordinary workflows have a single page.
+    A workflow of any size is listed whole, but no row holds more than one page of it, also
+    when one task has most of its messages; ordinary workflows have a single page.
     """
-    page = F.greatest(F.floor(F.col("ordinal") / tasks_per_page), F.lit(0)).alias("page")
+    ordinal = F.coalesce("ordinal", F.lit(-1))
+    counts = issues.groupBy("workflow", ordinal.alias("ordinal")).agg(F.count("*").alias("__n"))
+    sums = running_sums(counts, ["workflow"], "ordinal", {"__upto": "__n"}, F.floor(F.col("ordinal") / 1000))
+    # A task's messages are spread by their text and numbered within each part, so that no task sorts all of them.
+    spread = issues.withColumns({"ordinal": ordinal, "__part": F.pmod(F.xxhash64("message"), F.lit(64))})
+    parts = spread.groupBy("workflow", "ordinal", "__part").agg(F.count("*").alias("__p"))
+    part_sums = running_sums(parts, ["workflow", "ordinal"], "__part", {"__parts": "__p"}, F.col("__part"))
+    within = Window.partitionBy("workflow", "ordinal", "__part").orderBy("kind", "message")
+    numbered = join_null_safe(spread.withColumn("__at", F.row_number().over(within)), part_sums, ["workflow", "ordinal", "__part"])
+    placed = join_null_safe(numbered, sums, ["workflow", "ordinal"])
+    issues = placed.withColumn("__place", F.col("__upto") - F.col("__n") + F.col("__parts") - F.col("__p") + F.col("__at") - 1)
+    page = F.floor(F.col("__place") / per_page).alias("page")
 
     def messages(severity: str) -> Column:
         picked = F.collect_list(F.when(F.col("severity") == severity, F.struct("ordinal", "kind", "message")))

@@ -9,8 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stored
+
 SPLITS = 64
 BLOCK_SECONDS = 86_400
 
@@ -37,6 +41,13 @@ def _hashable(df: DataFrame, name: str) -> bool:
     return "map<" not in df.schema[name].dataType.simpleString()
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on ``keys`` in which null equals null; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    match = reduce(Column.__and__, [left[k].eqNullSafe(renamed[f"__right_{k}"]) for k in keys]) if keys else F.lit(True)
+    return left.join(renamed, match, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def running_sums(
     points: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, str], block: Column
 ) -> DataFrame:
@@ -48,8 +59,8 @@ def running_sums(
     two are joined, so no task sees more than one block or the list of block totals.
     """
     keys = list(keys)
-    # Both sides of the join below carry this filter, so the points are computed once and reused.
-    blocked = points.withColumn("__block", block).filter("__block is not null")
+    # Both sides of the join below read the points; stored, they are computed once.
+    blocked = stored(points.withColumn("__block", block), "points")
     totals = blocked.groupBy(*keys, "__block").agg(*[F.sum(c).alias(f"__total_{out}") for out, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -58,9 +69,12 @@ def running_sums(
     )
     within = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = blocked.select("*", *[F.sum(c).over(within).alias(f"__within_{out}") for out, c in sums.items()])
-    return local.join(offsets, [*keys, "__block"]).select(
+    joined = join_null_safe(local.filter("__block is not null"), offsets, [*keys, "__block"]).select(
         *points.columns, *[(F.col(f"__within_{out}") + F.col(f"__offset_{out}")).alias(out) for out in sums]
     )
+    # Points without a place on the axis are kept; nothing can be said about their sums.
+    placeless = blocked.filter("__block is null").select(*points.columns, *[F.lit(None).cast(joined.schema[out].dataType).alias(out) for out in sums])
+    return joined.unionByName(placeless)
 
 
 def trailing_counts(

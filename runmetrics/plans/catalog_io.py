@@ -354,15 +354,17 @@ def _run_reports(spark, sf):
     orders = streams.read_run_stream(spark, sf, t.SCHEMAS["orders"], glob="orders.parquet")
     made = streams.stream_run_reports(t.nested_runs_of(orders), ROUTES, at=utc("2024-05-06"))
     return _appended(spark, made).select(
-        "run_id", "route", "title", F.regexp_extract("content", r"- Total: (\d+)", 1).alias("total"),
-        F.size(F.split("content", "\n- task_")).alias("shown"),
+        "run_id", "route", "title", F.regexp_extract("content", r"- (?:Total|\*\*Total Tasks):(?:\*\*)? (\d+)", 1).alias("total"),
+        F.size(F.split("content", r"\n(?:- |### \S+ )task_")).alias("shown"),
     )
 
 
 add(
     "T6_stream_run_reports", _run_reports,
-    """select n.run_id, r.route, concat('Workflow Summary: ', workflow_name, ' - ', n.status) as title, cast(o_custkey % 5 as varchar) as total,
-              cast(1 + coalesce(failed, 0) as int) as shown
+    """select n.run_id, r.route,
+              concat(case r.route when 'broken runs' then 'Detailed Workflow Report: ' else 'Workflow Summary: ' end, workflow_name, ' - ', n.status) as title,
+              cast(o_custkey % 5 as varchar) as total,
+              cast(1 + case r.route when 'broken runs' then o_custkey % 5 else coalesce(failed, 0) end as int) as shown
        from nested n
        join (select run_id, 'all runs' as route from nested union all select run_id, 'broken runs' from nested
              where status in ('failed','partial_success') and workflow_name in ('wf_1','wf_2','wf_3')) r on r.run_id = n.run_id

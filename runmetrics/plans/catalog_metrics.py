@@ -76,7 +76,7 @@ _TASK_SIDE = """count(*) as total_tasks, count(*) filter (status = 'success') as
 
 
 def _execution(spark, sf):
-    out = metrics.execution_metrics(t.facts(spark, sf), t.task_runs(spark, sf, False), _day(START), _day(END))
+    out = metrics.execution_metrics(*t.facts_and_tasks(spark, sf, False), _day(START), _day(END))
     plain = [c for c in out.columns if c not in _EXECUTION and not c.startswith("period_")]
     return out.select(*plain, *rounded(*_EXECUTION), ts("period_start").alias("period_start"), ts("period_end").alias("period_end"))
 
@@ -91,7 +91,7 @@ add(
 
 
 def _series(spark, sf, period):
-    return metrics.period_series(t.facts(spark, sf), t.task_runs(spark, sf, False), period)
+    return metrics.period_series(*t.facts_and_tasks(spark, sf, False), period)
 
 
 def _series_rows(spark, sf, period):
@@ -123,7 +123,7 @@ add(
         lambda out: out.select(
             *[c for c in out.columns if not c.endswith("_rate")], *rounded("workflow_success_rate", "task_success_rate")
         )
-    )(metrics.running_totals(t.facts(spark, sf), t.task_runs(spark, sf, False))),
+    )(metrics.running_totals(*t.facts_and_tasks(spark, sf, False))),
     """select r.*, t.* from
          (select count(*) as total_workflows, count(*) filter (status in ('success','partial_success')) as successful_workflows,
                  count(*) filter (status = 'failed') as failed_workflows,
@@ -206,7 +206,7 @@ add(
     "A13_breakdown",
     lambda spark, sf: (
         lambda out: out.withColumns({c: F.round(c, 6) for c in ("avg_duration_ms", "success_rate", "avg_retry_count")})
-    )(metrics.breakdown(t.facts(spark, sf), _typed_tasks(spark, sf))),
+    )(metrics.breakdown(*t.facts_and_tasks(spark, sf))),
     f"""select 'workflow' as section, workflow_name as key, total_runs as total, successful_runs as successful, failed_runs as failed,
               avg_duration_ms, success_rate, null::double as avg_retry_count, null::bigint as tasks_executed
        from ({_BY_WORKFLOW.format(where='')}) w

@@ -53,7 +53,7 @@ add(
 _RUN_ICON = "case status when 'success' then '✅' when 'failed' then '❌' when 'cancelled' then '⚠️' else 'ℹ️' end"
 add(
     "R5_run_summary",
-    lambda spark, sf: _pick(reports.report_run_summary(t.facts(spark, sf), t.task_runs(spark, sf), at=_at()), "run_id"),
+    lambda spark, sf: _pick(reports.report_run_summary(*t.facts_and_tasks(spark, sf), at=_at()), "run_id"),
     f"""select f.run_id, 'summary' as report_type, concat('Workflow Summary: ', workflow_name, ' - ', status) as title,
               concat({_RUN_ICON}, ' **Workflow Summary**', {_NL}, {_NL}, '**Workflow:** ', workflow_name, {_NL}, '**Run ID:** ',
                 cast(f.run_id as varchar), {_NL}, '**Status:** ', status, {_took('duration_ms')}, {_NL}, '**Started:** ',
@@ -82,7 +82,7 @@ add(
 
 
 def _monthly(spark, sf):
-    series = metrics.period_series(t.facts(spark, sf), t.task_runs(spark, sf, False), "monthly")
+    series = metrics.period_series(*t.facts_and_tasks(spark, sf, False), "monthly")
     return series.withColumn("period_end", F.add_months("period_start", 1).cast("timestamp"))
 
 
@@ -139,7 +139,7 @@ add(
     "R8_run_detailed",
     lambda spark, sf: _pick(
         reports.report_run_detailed(
-            t.facts(spark, sf), t.task_runs(spark, sf),
+            *t.facts_and_tasks(spark, sf),
             routing.Filters(task_status=["Success", "Failed", "Timeout"], max_duration_seconds=45), at=_at()),
         "run_id", "page"),
     f"""select f.run_id, cast(0 as bigint) as page, 'detailed' as report_type, concat('Detailed Workflow Report: ', workflow_name, ' - ', status) as title,
@@ -192,7 +192,7 @@ add(
 _LIST_ICON = "case when status = 'success' then '✓' when status = 'skipped' then '⊘' else '✗' end"
 add(
     "R11_format_text",
-    lambda spark, sf: reports.format_text(t.facts(spark, sf), t.task_runs(spark, sf), successful=True, failed=True),
+    lambda spark, sf: reports.format_text(*t.facts_and_tasks(spark, sf), successful=True, failed=True),
     f"""select f.run_id, cast(0 as bigint) as page,
               concat('Workflow: ', workflow_name, ' (', cast(f.run_id as varchar), ')', {_NL}, 'Status: ', status, {_NL}, 'Started: ',
                 strftime(start_time, {UTC_TEXT}), {_NL}, {_done('Completed: ')},
@@ -234,7 +234,7 @@ add(
 
 
 def _payloads(spark, sf):
-    made = reports.report_run_summary(t.facts(spark, sf), t.task_runs(spark, sf), at=_at())
+    made = reports.report_run_summary(*t.facts_and_tasks(spark, sf), at=_at())
     body = reports.report_payload(made)
     return body.select(
         "run_id", F.get_json_object("message", "$.text").alias("text"),
@@ -282,7 +282,7 @@ add(
 
 
 def _generated(spark, sf):
-    run, tasks = t.facts(spark, sf), t.task_runs(spark, sf)
+    run, tasks = t.facts_and_tasks(spark, sf)
     made = [
         reports.generate_reports("summary", "run", runs=run, tasks=tasks, at=_at()),
         reports.generate_reports("detailed", "run", runs=run, tasks=tasks, at=_at()),
@@ -327,7 +327,7 @@ add(
 
 
 def _layout(spark, sf):
-    made = reports.report_run_summary(t.facts(spark, sf), t.task_runs(spark, sf), at=F.current_timestamp())
+    made = reports.report_run_summary(*t.facts_and_tasks(spark, sf), at=F.current_timestamp())
     made = made.join(t.runs(spark, sf).select("run_id", "start_time"), "run_id").withColumn("generated_at", F.col("start_time"))
     return writers.partition_layout(made, "{type} {title}_{timestamp}.txt").select(
         "run_id", "report_type", "date", "file_name", reports.report_subject("[{type}] {title} at {generated_at}").alias("subject")

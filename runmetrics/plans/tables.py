@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.results import latest_per_task, run_facts
-from ..session import configure
+from ..session import configure, stored
 
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -98,6 +98,12 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     return run_facts(runs(spark, sf), task_runs(spark, sf, typed=False))
 
 
+def facts_and_tasks(spark: SparkSession, sf: str, typed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Run facts and task results from one upsert, as jobs have them: the results are stored once and read by both."""
+    tasks = stored(task_runs(spark, sf, typed), "task-results")
+    return run_facts(runs(spark, sf), tasks), tasks
+
+
 def named_tasks(spark: SparkSession, sf: str, typed: bool = True) -> DataFrame:
     """Task results with the name of their workflow."""
     names = runs(spark, sf).select("run_id", "workflow_name")
@@ -132,6 +138,7 @@ def workflow_tasks(spark: SparkSession, sf: str) -> DataFrame:
         F.when(n % 4 != 0, n % 5).alias("max_attempts"),
         F.when(n % 4 != 0, (n * 250).cast("long")).alias("initial_delay_ms"),
         F.when(n % 4 != 0, F.lit(1.0) + n / F.lit(2.0)).alias("backoff_multiplier"),
+        F.when(F.col("workflow_name").endswith("3"), False).when(F.col("workflow_name").endswith("4"), True).alias("continue_on_error"),
     )
 
 

@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schema
 from ..functions.status import normalize_status
 from ..functions.times import duration_between, parse_time
 
 
+# Holds the text of a document that can't be read.
+REJECTED = "_rejected"
+
+
 def read_raw_runs(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Result files as written, with the fields of both written forms.
 
     ``multiline`` reads one document per file; without it every line is a document and
     large files are split over tasks. Compressed files are read by their extension.
     """
-    return spark.read.schema(schema.RAW_RUN).option("multiLine", multiline).json(path)
+    fields = StructType([*schema.RAW_RUN.fields, StructField(REJECTED, StringType())])
+    return spark.read.schema(fields).option("multiLine", multiline).option("columnNameOfCorruptRecord", REJECTED).json(path)
+
+
+def rejected_runs(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """(file, text) of the documents that can't be read as a run."""
+    raw = read_raw_runs(spark, path, multiline).withColumn("file", F.input_file_name())
+    # All columns are read here: a scan of the rejected text alone would not parse the rest.
+    return raw.filter(F.col(REJECTED).isNotNull() & (F.col("workflow_name").isNull() | F.lit(True))).select("file", F.col(REJECTED).alias("text"))
 
 
 def _duration_ms(parts: Column, seconds: Column) -> Column:
@@ -54,8 +66,8 @@ def normalize_runs(raw: DataFrame) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Runs of either written form, canonical, tasks nested."""
-    return normalize_runs(read_raw_runs(spark, path, multiline))
+    """Runs of either written form, canonical, tasks nested. Unreadable documents are left to ``rejected_runs``."""
+    return normalize_runs(read_raw_runs(spark, path, multiline).filter(F.col(REJECTED).isNull()))
 
 
 def read_definitions(spark: SparkSession, path: str, fmt: str = "json", multiline: bool = True) -> DataFrame:

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from ..session import PROVIDER, ROCKSDB
 
 
-def use_rocksdb(df: DataFrame) -> None:
-    """State of this kind needs the RocksDB store."""
-    conf = df.sparkSession.conf
-    if "RocksDB" not in conf.get("spark.sql.streaming.stateStore.providerClass", ""):
-        conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+def need_rocksdb(df: DataFrame) -> None:
+    """State of this kind needs the RocksDB store; the session's setting isn't changed here."""
+    if "RocksDB" not in df.sparkSession.conf.get(PROVIDER, ""):
+        raise RuntimeError(f"set {PROVIDER} to {ROCKSDB} before starting this query")
 
 
 def _time_mode(ttl_ms: int | None) -> str:
@@ -66,7 +66,7 @@ def retain_newest(
     stream: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, ttl_ms: int | None = None
 ) -> DataFrame:
     """The newest n rows of every key, emitted again in every batch that changes them."""
-    use_rocksdb(stream)
+    need_rocksdb(stream)
     keys, order, schema = list(keys), list(order), stream.schema
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +123,7 @@ def admit(
     limit of the shortest span cannot be admitted and are left out before the shuffle.
     The state is keyed by the longest slot too, which spreads a busy key over time.
     """
-    use_rocksdb(stream)
+    need_rocksdb(stream)
     limits = sorted(limits)
     for (short, _), (long, _) in zip(limits, limits[1:]):
         if long % short:

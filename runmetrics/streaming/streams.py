@@ -10,7 +10,8 @@ from pyspark.sql.types import StructType
 
 from ..functions.status import is_failed, success_rate
 from ..operators import reports, routing
-from ..sources.writers import fan_out
+from ..operators.windows import join_null_safe
+from ..sources.writers import SINKS, fan_out
 from .state import admit, retain_newest
 
 
@@ -89,9 +90,17 @@ def stream_failures(tasks: DataFrame, template: str = "default", at: Column | No
 
 
 def stream_run_reports(nested: DataFrame, routes: Sequence[routing.Route], at: Column | None = None) -> DataFrame:
-    """Summary reports of finished runs, one per triggered route."""
-    finished = nested.filter(F.col("status") != "running")
-    return reports.report_nested_summary(routing.runs_triggering(finished, routes), at=at)
+    """Reports of finished runs, one per triggered route, by the generator that the route names."""
+    made = None
+    for generator in sorted({r.generator_type for r in routes}):
+        if generator not in reports.NESTED_GENERATORS:
+            raise ValueError(f"generator {generator!r} cannot report nested runs; generators: {sorted(reports.NESTED_GENERATORS)}")
+        own = [r for r in routes if r.generator_type == generator]
+        part = reports.NESTED_GENERATORS[generator](routing.runs_triggering(nested, own), at=at)
+        made = part if made is None else made.unionByName(part)
+    if made is None:
+        raise ValueError("no routes")
+    return made
 
 
 def stream_rate_limit(
@@ -127,14 +136,16 @@ def read_updates(spark: SparkSession, path: str, schema: StructType, keys: Seque
     rows = spark.read.schema(fields.add("batch", "long")).parquet(path)
     newest = F.max("batch").alias("batch")
     last = rows.groupBy(*keys).agg(newest)
-    return rows.join(last, [*keys, "batch"]).drop("batch")
+    return join_null_safe(rows, last, [*keys, "batch"]).drop("batch")
 
 
 def stream_fan_out(df: DataFrame, destinations: Sequence[tuple[str, str]], checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Send every batch to several (sink, folder) destinations, computing it once."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        fan_out(batch, [(sink, f"{target}/batch={batch_id}") for sink, target in destinations])
+        # a batch that is run again replaces its own folders, also where the sink would append
+        replacing = {**SINKS, "append": SINKS["parquet"]}
+        fan_out(batch, [(sink, f"{target}/batch={batch_id}") for sink, target in destinations], replacing)
 
     writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

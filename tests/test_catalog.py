@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from runmetrics.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = (
@@ -16,7 +17,7 @@ SAMPLE = (
     "F7_format_time F15_duration_text F17_brace_error R1_render R2_render_map R5_run_summary R8_run_detailed R11_format_text "
     "S2_read_formatted_runs S4_read_definitions S10_fan_out T2_stream_period T8_stream_rate_limit"
 ).split()
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("RUN_ALL") else SAMPLE
+NAMES = sorted(catalog.ORACLE) if os.environ.get("RUN_ALL") else SAMPLE
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +32,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 
 def test_every_query_but_a_few_has_sql():
-    rows_only = set(entry.queries()) - set(entry.oracle_sql())
+    rows_only = set(catalog.QUERIES) - set(catalog.ORACLE)
     assert rows_only == {"F9_uuid", "F11_sha512", "S5_file_inventory", "S5_file_digests"}
 
 

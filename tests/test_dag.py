@@ -91,9 +91,17 @@ def test_definition_checks(spark):
         ("cycle", "b"), ("cycle", "d"), ("self_dependency", "d"), ("duplicate", None), ("output", None), ("no_root", None)], key=str)
     assert found["none"] == [("empty", None)] and "good" not in found
     assert rows(validation.validate_definitions(flows, issues), "workflow", "is_valid") == [("bad", False), ("good", True), ("none", False)]
-    pages = validation.validation_messages(issues, tasks_per_page=2)
+    pages = validation.validation_messages(issues, per_page=2)
     assert sum(len(r.errors) + len(r.warnings) for r in pages.collect()) == issues.count()
-    assert pages.filter("workflow = 'bad'").count() == 2
+    assert sorted(len(r.errors) + len(r.warnings) for r in pages.filter("workflow = 'bad'").collect()) == [1, 2, 2, 2, 2, 2, 2]
+
+
+def test_findings_of_one_task_fill_several_pages(spark):
+    issues = spark.range(5000).select(F.lit("w").alias("workflow"), F.lit("t").alias("task"), F.lit(0).alias("ordinal"), F.lit("error").alias("severity"),
+                                      F.lit("unknown_dependency").alias("kind"), F.col("id").cast("string").alias("message"))
+    pages = validation.validation_messages(issues).collect()
+    assert sorted((r.page, len(r.errors)) for r in pages) == [(i, 1000) for i in range(5)]
+    assert len({m for r in pages for m in r.errors}) == 5000
 
 
 def test_declared_definitions_hold_every_mistake(spark):

@@ -86,3 +86,9 @@ def test_large_files_are_digested_in_pieces(spark, tmp_path):
         split = integrity.file_manifest(spark, str(tmp_path), "sha512", as_base64, max_length=100)
         assert rows(split, *whole.columns) == rows(whole)
     assert hashlib.md5(content).hexdigest() in {r.checksum for r in integrity.file_manifest(spark, str(tmp_path), "md5", max_length=100).collect()}
+
+
+def test_unreadable_lines_are_told_apart(spark, tmp_path):
+    (tmp_path / "runs.json").write_text(json.dumps(DUMPED) + "\n{not json\n" + json.dumps(FORMATTED) + "\n")
+    assert readers.read_runs(spark, str(tmp_path), multiline=False).count() == 2
+    assert [r.text for r in readers.rejected_runs(spark, str(tmp_path), multiline=False).collect()] == ["{not json"]

@@ -122,3 +122,9 @@ def test_failures_and_run_reports(spark, tmp_path):
     made = streams.stream_run_reports(streams.read_run_stream(spark, str(tmp_path / "n"), nested.schema), [route])
     streams.write_append(made, str(tmp_path / "o2"), str(tmp_path / "c2")).awaitTermination()
     assert "- a (command): E\n" in spark.read.parquet(str(tmp_path / "o2")).first().content
+    routes = [route, routing.Route("long", "detailed", trigger_on_workflow_completion=True)]
+    made = streams.stream_run_reports(streams.read_run_stream(spark, str(tmp_path / "n"), nested.schema), routes)
+    streams.write_append(made, str(tmp_path / "o3"), str(tmp_path / "c3")).awaitTermination()
+    found = {r.route: (r.title, r.content) for r in spark.read.parquet(str(tmp_path / "o3")).collect()}
+    assert found["all"][0].startswith("Workflow Summary") and found["long"][0].startswith("Detailed Workflow Report")
+    assert "- **Total Tasks:** 2\n" in found["long"][1] and " a (command)\n" in found["long"][1] and " b (command)\n" in found["long"][1]

@@ -53,3 +53,20 @@ def test_rotation_by_count_size_and_age(spark):
     assert rows(out, "path", "too_large", "too_old", "too_many") == [
         ("f0", False, True, True), ("f1", False, False, True), ("f2", False, False, False), ("f3", False, False, False),
         ("f4", False, False, False), ("f5", True, False, False)]
+
+
+def test_null_keys_and_times_are_kept(spark):
+    import datetime as dt
+
+    from runmetrics.operators import routing
+    at = dt.datetime(2024, 1, 1)
+    reports = spark.createDataFrame([(1, "a", at), (2, None, at), (3, None, at), (4, "a", None), (5, None, None)], "id int, channel string, generated_at timestamp")
+    found = {r.id: (r.last_60s, r.allowed) for r in routing.rate_limited(reports, routing.RateLimits(per_minute=1)).collect()}
+    assert found == {1: (1, True), 2: (2, False), 3: (2, False), 4: (None, None), 5: (None, None)}
+
+
+def test_running_runs_trigger_nothing(spark):
+    from runmetrics.operators import routing
+    runs = spark.createDataFrame([(1, "wf", "running"), (2, "wf", "success"), (3, None, None)], "run_id int, workflow_name string, status string")
+    found = routing.runs_triggering(runs, [routing.Route("all", trigger_on_workflow_completion=True)])
+    assert sorted(r.run_id for r in found.collect()) == [2, 3]
