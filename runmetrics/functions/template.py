@@ -114,12 +114,7 @@ def fill(template: str, **values: Column | str) -> Column:
     return F.concat(*pieces)
 
 
-def render_data(template: Column | str, variables: Column | str) -> Column:
-    """Templates that are data: ``{{name}}`` filled from a map column in one pass.
-
-    Values are not scanned again, so a value that looks like a template stays as it is.
-    """
-    expression = r"\{\{\s*([^{}]*?)\s*\}\}"
+def _filled(template: Column | str, variables: Column | str, expression: str) -> Column:
     t, names_to_values = col(template), col(variables)
     between = F.split(t, expression)
     names = F.regexp_extract_all(t, F.lit(expression), F.lit(1))
@@ -130,6 +125,24 @@ def render_data(template: Column | str, variables: Column | str) -> Column:
     return F.array_join(filled, "")
 
 
+def render_data(template: Column | str, variables: Column | str) -> Column:
+    """Templates that are data: ``{{name}}`` filled from a map column in one pass.
+
+    Values are not scanned again, so a value that looks like a template stays as it is.
+    """
+    return _filled(template, variables, r"\{\{\s*([^{}]*?)\s*\}\}")
+
+
+def render_json(document: Column | str, variables: Column | str) -> Column:
+    """Fill the templates in all keys and texts of a JSON document, however deep; other values stay as they are.
+
+    In JSON two opening braces stand side by side only inside a text, so the document is filled as it is written, with
+    the values escaped as JSON texts. Text that isn't JSON is filled alike; null stays null.
+    """
+    escaped = F.transform_values(col(variables), lambda _, v: F.regexp_extract(F.to_json(F.array(v)), r'(?s)^\["(.*)"\]$', 1))
+    return _filled(document, escaped, r'\{\{\s*([^{}"\\]*?)\s*\}\}')
+
+
 def render_map(config: Column | str, variables: Column | str) -> Column:
     """Fill the templates in all keys and values of a map."""
     values = F.transform_values(col(config), lambda _, v: render_data(v, variables))

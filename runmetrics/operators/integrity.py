@@ -10,15 +10,19 @@ from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.digest import digest, reduction_percent
 from ..functions.text import checksum_line, glob_match
+from ..session import stored
 from .windows import top_n_per_key
 
 LARGE_FILE = 1 << 30
 CHUNK = 8 << 20
+LISTED = 10_000  # rows of a listing in a batch
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:/")
 
 
 def _files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
@@ -28,41 +32,74 @@ def _files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     return reader.load(path)
 
 
-def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Paths of empty files, which a scan passes over: listed, but not among the scanned."""
-    listed = [re.sub("^file:///", "file:/", unquote(p)) for p in files.inputFiles()]
-    names = spark.createDataFrame([(p,) for p in listed], "path string")
-    return names.join(files.select("path"), "path", "left_anti")
+def _opened(path: str) -> tuple[fs.FileSystem, str, str]:
+    """The file system of a path as Spark writes it, the path in it, and what stands before it in Spark's form.
+
+    Raises for a scheme that pyarrow doesn't know.
+    """
+    scheme, _, rest = path.partition(":")
+    if not _SCHEME.match(path):
+        scheme, rest = "file", path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/"), "file:"
+    uri = f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}"
+    filesystem, name = fs.FileSystem.from_uri(quote(uri, safe="/:@?=&"))
+    name = unquote(name)
+    return filesystem, name, path[: len(path) - len(name)] if path.endswith(name) else f"{scheme}://"
+
+
+def _hidden(name: str) -> bool:
+    """Names that a scan passes over."""
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name and name not in ("_metadata", "_common_metadata"))
 
 
-def file_inventory(spark: SparkSession, path: str, glob: str | None = None, with_empty: bool = True) -> DataFrame:
+def _folder_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            filesystem, name, before = _opened(path)
+            here = filesystem.get_file_info(name)
+            if here.type == fs.FileType.NotFound:
+                raise FileNotFoundError(path)
+            found = [here] if here.type == fs.FileType.File else filesystem.get_file_info(fs.FileSelector(name))
+            found = [info for info in found if not _hidden(info.base_name)]
+            for at in range(0, len(found), LISTED):
+                part = found[at:at + LISTED]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([before + info.path for info in part], pa.string()), pa.array([info.size or 0 for info in part], pa.int64()),
+                     pa.array([info.mtime for info in part], pa.timestamp("us", "UTC")), pa.array([info.type == fs.FileType.Directory for info in part], pa.bool_())],
+                    ["path", "length", "modificationTime", "is_folder"])
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """All files below a folder, empty ones too: level by level, each folder listed by the task that owns it."""
+    folders, files = spark.createDataFrame([(path,)], "path string"), None
+    while True:
+        level = stored(folders.repartition("path").mapInArrow(_folder_entries, "path string, length long, modificationTime timestamp, is_folder boolean"), "listing")
+        # to the millisecond, as a scan tells it
+        found = level.filter("not is_folder").select("path", "length", F.timestamp_millis(F.unix_millis("modificationTime")).alias("modificationTime"))
+        files = found if files is None else files.unionByName(found)
+        folders = level.filter("is_folder").select("path")
+        if folders.isEmpty():
+            return files
+
+
+def file_inventory(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Path, length and modification time of every file below a folder; contents are not read.
 
-    Empty files have no modification time here. Finding them takes the list of names once
-    more from the file index; ``with_empty=False`` saves that for trees known to have none.
+    Folders are listed by the executors, level by level, and each level is written to the shared folder.
     """
-    files = _files(spark, path, glob)
-    found = files.select("path", "length", "modificationTime")
-    if not with_empty:
-        return found
-    empty = _empty_files(spark, files).select(
-        "path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime")
-    )
-    return found.unionByName(empty)
+    files = _listed(spark, path)
+    return files.filter(glob_match("path", [glob])) if glob else files
 
 
-def file_contents(
-    spark: SparkSession, path: str, glob: str | None = None, max_length: int = LARGE_FILE, with_empty: bool = True
-) -> DataFrame:
+def file_contents(spark: SparkSession, path: str, glob: str | None = None, max_length: int = LARGE_FILE) -> DataFrame:
     """Files with their bytes. A file is one value, so larger ones are listed without content."""
     files = _files(spark, path, glob)
     small = files.filter(F.col("length") <= max_length).select("path", "length", "content")
     large = files.filter(F.col("length") > max_length).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    found = small.unionByName(large)
-    if not with_empty:
-        return found
-    empty = _empty_files(spark, files).select("path", F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content"))
-    return found.unionByName(empty)
+    # a scan passes over empty files
+    empty = file_inventory(spark, path, glob).filter("length = 0").select("path", "length", F.lit("").cast("binary").alias("content"))
+    return small.unionByName(large).unionByName(empty)
 
 
 def manifest(files: DataFrame, algorithm: str = "SHA256", as_base64: bool = False) -> DataFrame:
@@ -80,10 +117,9 @@ def _chunked_digests(batches: Iterator[pd.DataFrame], algorithm: str, as_base64:
     """Digest files piece by piece, whatever their size."""
 
     def one(path: str) -> str:
-        uri = re.sub("^file:/+", "file:///", path)
-        filesystem, name = fs.FileSystem.from_uri(quote(uri, safe="/:"))
+        filesystem, name, _ = _opened(path)
         state = hashlib.new(algorithm.lower())
-        with filesystem.open_input_stream(unquote(name)) as stream:
+        with filesystem.open_input_stream(name) as stream:
             while piece := stream.read(CHUNK):
                 state.update(piece)
         return base64.b64encode(state.digest()).decode() if as_base64 else state.hexdigest()
@@ -102,7 +138,7 @@ def file_manifest(
     read in pieces by the task that owns them, spread one by one over the tasks.
     """
     whole = manifest(file_contents(spark, path, glob, max_length).filter("content is not null"), algorithm, as_base64)
-    large = file_inventory(spark, path, glob, with_empty=False).filter(F.col("length") > max_length)
+    large = _files(spark, path, glob).filter(F.col("length") > max_length)
     spread = large.select("path", F.col("length").alias("file_size")).repartition("path")
     in_pieces = spread.mapInPandas(
         lambda batches: _chunked_digests(batches, algorithm, as_base64), "path string, file_size long, checksum string"

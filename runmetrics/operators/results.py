@@ -175,6 +175,41 @@ def apply_when(tasks: DataFrame, conditions: Mapping[str, str], by: str = "task_
     )
 
 
+def condition_holds(condition: Column, columns: Sequence[str]) -> Column:
+    """Whether a condition, a struct of texts (field, comparison, value), holds for the row; null where it can't be told.
+
+    ``columns`` are those that conditions may name. Numbers are compared as numbers, anything else as text. An unknown
+    field or comparison can't be told, as can't a null on either side.
+    """
+    value = F.try_element_at(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))]), condition["field"])
+    number, limit = value.try_cast("double"), condition["value"].try_cast("double")
+    both = number.isNotNull() & limit.isNotNull()
+    order = F.when(both, F.signum(number - limit).cast("int")).otherwise(
+        F.when(value < condition["value"], -1).when(value > condition["value"], 1).when(value == condition["value"], 0))
+    tests = {"=": order == 0, "!=": order != 0, "<": order < 0, "<=": order <= 0, ">": order > 0, ">=": order >= 0}
+    holds = F.lit(None).cast("boolean")
+    for comparison, test in tests.items():
+        holds = F.when(condition["comparison"] == comparison, test).otherwise(holds)
+    return holds
+
+
+def apply_conditions(tasks: DataFrame, definitions: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Skip results whose definition has a condition that does not hold for them.
+
+    ``definitions`` has one row a task (workflow_name, task_id, when), ``when`` as in ``condition_holds`` or null for
+    none. Like ``apply_when``, with conditions that are data: each workflow has its own, and any number of them.
+    """
+    conditions = definitions.filter(F.col("when").isNotNull()).select("workflow_name", "task_id", F.col("when").alias("__when"))
+    known = tasks.join(conditions, ["workflow_name", "task_id"], "left")
+    skip = F.col("__when").isNotNull() & ~F.coalesce(condition_holds(F.col("__when"), columns), F.lit(False))
+    error = F.col("error") if "error" in tasks.columns else F.lit(None).cast("string")
+    marked = known.withColumn("__skip", skip)
+    others = [F.col(c) for c in tasks.columns if c not in ("status", "error")]
+    return marked.select(
+        *others, F.when(F.col("__skip"), "skipped").otherwise(F.col("status")).alias("status"),
+        F.when(F.col("__skip"), CONDITION_NOT_MET).otherwise(error).alias("error"))
+
+
 def critical_tasks(tasks: DataFrame, definitions: DataFrame, continue_on_error: bool | None = None) -> DataFrame:
     """Failures that stop their run.
 

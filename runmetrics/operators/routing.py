@@ -53,6 +53,17 @@ class Route:
     template_file: str | None = None
 
 
+@dataclass(frozen=True)
+class Switches:
+    """Which completions are reported at all."""
+
+    workflow_completion_reports: bool = True
+    task_completion_reports: bool = True
+
+    def of(self, data: str) -> bool:
+        return self.workflow_completion_reports if data == "run" else self.task_completion_reports
+
+
 def _canonical(names: Iterable[str]) -> list[str]:
     return ["".join("_" + c.lower() if c.isupper() and i else c.lower() for i, c in enumerate(n)) for n in names]
 

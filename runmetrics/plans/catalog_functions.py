@@ -69,6 +69,11 @@ scalar(
     "F9_uuid", "customer", "c_custkey",
     lambda: {"out": F.uuid()}, None,
 )
+scalar(
+    "F9_uuid_form", "customer", "c_custkey",
+    lambda: {"well_formed": F.uuid().rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")},
+    "true as well_formed",
+)
 scalar("F10_sha256", "documents", "doc_id", lambda: {"out": dg.digest("text", "sha256")}, "sha256(text) as out")
 scalar("F11_sha512", "documents", "doc_id", lambda: {"out": dg.digest("text", "sha512")}, None)
 scalar("F12_md5", "pages", "page_id", lambda: {"out": dg.digest("html", "md5")}, "md5(html) as out")
@@ -261,6 +266,23 @@ add(
 )
 
 
+def _rendered_json(spark, sf):
+    deep = F.struct(F.struct(F.lit("{{absent}}!").alias("deep"), F.lit("{{ open").alias("text")).alias("b"))
+    listed = F.array(F.struct(F.lit("x {{ segment }}").alias("{{name}}"), c("c_nationkey").alias("n")))
+    rows = t.load(spark, sf, "customer").select(
+        "c_custkey", F.to_json(F.struct(F.lit("{{name}}").alias("a"), listed.alias("list"), deep.alias("o"))).alias("document"),
+        F.create_map(F.lit("name"), c("c_name"), F.lit("segment"), F.concat(F.lit('"'), "c_mktsegment", F.lit("\\"))).alias("vars"),
+    )
+    return rows.select("c_custkey", tp.render_json("document", "vars").alias("out"))
+
+
+add(
+    "R2_render_json", _rendered_json,
+    r"""select c_custkey, concat('{"a":"', c_name, '","list":[{"', c_name, '":"x \"', c_mktsegment, '\\","n":', cast(c_nationkey as varchar),
+              '}],"o":{"b":{"deep":"!","text":"{{ open"}}}') as out from customer""",
+)
+
+
 def _context(spark, sf):
     rows = t.nested_runs(spark, sf).select(
         "run_id", "workflow_name", F.struct(F.col("status"), F.size("tasks").alias("count")).alias("workflow"),

@@ -374,6 +374,28 @@ add(
 )
 
 
+def _template_reports(spark, sf):
+    configure(spark)
+    orders = streams.read_run_stream(spark, sf, t.SCHEMAS["orders"], glob="orders.parquet")
+    routes = [
+        routing.Route("short", "template", trigger_on_workflow_completion=True, variables={"team": "data"},
+                      template_content="{{team}} {{workflow_name}} {{status}} {{workflow.summary.total_tasks}} {{workflow.duration_ms}}"),
+        routing.Route("summaries", trigger_on_workflow_completion=True, filters=routing.Filters(workflow_names=["wf_1"])),
+    ]
+    made = streams.stream_run_reports(t.nested_runs_of(orders), routes, utc("2024-05-06"))
+    return _appended(spark, made).select("run_id", "route", "title", F.when(F.col("route") == "short", F.col("content")).alias("content"))
+
+
+add(
+    "T6_stream_template_reports", _template_reports,
+    """select run_id, 'short' as route, concat('short - ', workflow_name, ' - Workflow ', status, ' Report') as title,
+              concat('data ', workflow_name, ' ', status, ' ', cast(o_custkey % 5 as varchar), ' ', cast(o_custkey % 90 * 60000 as varchar)) as content from nested
+       union all
+       select run_id, 'summaries', concat('Workflow Summary: ', workflow_name, ' - ', status), null from nested where workflow_name = 'wf_1'""",
+    ("nested",),
+)
+
+
 def _stream_fanned(spark, sf):
     path = scratch(spark)
     rows = _completions(spark, sf).select("event_id", "task_type", "status")

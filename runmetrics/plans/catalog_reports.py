@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.times import utc
-from ..operators import metrics, reports, routing
+from ..operators import metrics, reports, route_reports, routing
 from ..sources import writers
 from . import tables as t
 from .oracle import add, sql_ts
@@ -311,6 +311,80 @@ add(
 )
 
 
+DIGEST = routing.Route(
+    "digest", "template", trigger_on_workflow_completion=True, variables={"team": "data", "title": "Nightly", "status": "hidden"},
+    template_content="{{team}} {{env}} {{date}}\n{{workflow_name}} {{status}} {{workflow.summary.successful_tasks}}/{{total_tasks}}{{workflow.nothing}} {{template_name}}")
+RUN_ROUTES = (
+    DIGEST,
+    routing.Route("broken runs", "template", trigger_on_workflow_completion=True, filters=routing.Filters(workflow_status=["Failed"])),
+    routing.Route("failed tasks", "detailed", trigger_on_workflow_completion=True,
+                  filters=routing.Filters(workflow_status=["Failed"], task_status=["Failed"])),
+    routing.Route("few", "summary", trigger_on_workflow_completion=True, filters=routing.Filters(workflow_names=["wf_1", "wf_2"])),
+)
+NAMED = {"broken runs": "{{env}} {{run_id}} {{metrics.failed_tasks}}"}
+
+
+def _routed(spark, sf):
+    run, tasks = t.facts_and_tasks(spark, sf)
+    made = route_reports.report_routes("run", run, RUN_ROUTES, tasks, NAMED, {"env": "prod", "team": "nobody"}, _at())
+    entries = F.size(F.split("content", "\n### ")) - 1
+    return made.select(
+        "run_id", "route", "page", "title", F.when(F.col("report_type") == "detailed", entries.cast("string"))
+        .when(F.col("report_type") == "summary", F.col("metadata")["template"]).otherwise(F.col("content")).alias("content"))
+
+
+add(
+    "R16_route_reports", _routed,
+    f"""select *, cast(0 as bigint) as page from (
+         select run_id, 'digest' as route, 'Nightly' as title, concat('data prod {AT[:10]}', {_NL}, workflow_name, ' ', status, ' ',
+                cast(successful_tasks as varchar), '/', cast(total_tasks as varchar), ' digest') as content from facts where status <> 'running'
+         union all select run_id, 'broken runs', concat('broken runs - ', workflow_name, ' - Workflow ', status, ' Report'),
+                concat('prod ', cast(run_id as varchar), ' ', cast(failed_tasks as varchar)) from facts where status = 'failed'
+         union all select run_id, 'failed tasks', concat('Detailed Workflow Report: ', workflow_name, ' - ', status),
+                cast((select count(*) from tasks t where t.run_id = f.run_id and t.status = 'failed') as varchar) from facts f where status = 'failed'
+         union all select run_id, 'few', concat('Workflow Summary: ', workflow_name, ' - ', status), 'few' from facts
+                where status <> 'running' and workflow_name in ('wf_1', 'wf_2')) x""",
+    ("facts", "tasks"),
+)
+
+
+def _routed_tasks(spark, sf):
+    routes = (
+        routing.Route("alerts", "template", trigger_on_task_failure=True,
+                      template_content="{{upper task_id}} {{task.duration_ms}} {{workflow_context.workflow_name}} {{error}}|{{output}}"),
+        routing.Route("slow", "summary", trigger_on_task_failure=True, filters=routing.Filters(task_status=["Timeout"], min_duration_seconds=30)),
+    )
+    return route_reports.report_routes("task", _named(spark, sf), routes, at=_at()).select(
+        "run_id", "task_id", "route", "title", F.when(F.col("route") == "alerts", F.col("content")).alias("content"))
+
+
+add(
+    "R16_task_route_reports", _routed_tasks,
+    """select run_id, task_id, 'alerts' as route, concat('alerts - ', workflow_name, ' - Task ', status, ' Report') as title,
+              concat(upper(task_id), ' ', coalesce(cast(duration_ms as varchar), ''), ' ', workflow_name, ' ', coalesce(error, ''), '|') as content
+       from named_typed where status in ('failed','timeout','cancelled')
+       union all
+       select run_id, task_id, 'slow', concat('Task Summary: ', task_id, ' in ', workflow_name, ' - ', status), null
+       from named_typed where status = 'timeout' and coalesce(duration_ms // 1000 >= 30, true)""",
+    ("named_typed",),
+)
+
+
+def _period_template(spark, sf):
+    route = routing.Route("trend", "template", period="monthly", template_content="{{period}} {{total_workflows}} {{metrics.failed_tasks}} {{generated_at}}")
+    rows = _monthly(spark, sf).withColumn("route", F.lit("trend"))
+    made = reports.generate_reports("template", "period", rows=rows, routes=[route], texts=route_reports.route_texts([route]), period="monthly", at=_at())
+    return made.select(F.date_format("period_start", "yyyy-MM").alias("period"), "title", "content")
+
+
+add(
+    "R16_period_template", _period_template,
+    f"""select strftime(p, '%Y-%m') as period, 'trend - Monthly Metrics Report' as title,
+              concat('Monthly ', cast(total_workflows as varchar), ' ', cast(tbad as varchar), ' {AT.replace(' ', 'T')}.000Z') as content from {_SERIES} s""",
+    ("facts", "tasks"),
+)
+
+
 def _owners(runs, **_):
     return runs.select("run_id", F.lit("owners").alias("report_type"), F.concat(F.lit("Owner of "), "workflow_name").alias("title"))
 

@@ -199,6 +199,30 @@ add(
                        when 'task_6' then status = 'success' and l_suppkey % 3 = 1 else true end, false) as ok from tasks) x""",
     ("tasks",),
 )
+
+
+def _conditions(spark, sf):
+    def when(field, comparison, value):
+        return F.struct(F.lit(field).alias("field"), F.lit(comparison).alias("comparison"), value.alias("value"))
+
+    n, number = F.col("ordinal"), F.substring("workflow_name", 4, 9).cast("long")
+    made = t.workflow_tasks(spark, sf).withColumn(
+        "when",
+        F.when(n == 2, when("retry_count", ">", F.lit("2"))).when(n == 3, when("nobody", "=", F.lit("1")))
+        .when(n == 4, when("duration_ms", ">=", (number * 600).cast("string"))).when(n == 6, when("status", "!=", F.lit("success"))))
+    named = t.named_tasks(spark, sf, False)
+    return results.apply_conditions(named, made, ["retry_count", "duration_ms", "status"]).select("run_id", "task_id", "status", "error")
+
+
+add(
+    "P20_apply_conditions", _conditions,
+    """select run_id, task_id, case when ok then status else 'skipped' end as status,
+              case when ok then error else 'Condition not met' end as error
+       from (select *, coalesce(case task_id when 'task_2' then retry_count > 2 when 'task_3' then false
+                       when 'task_4' then duration_ms >= cast(substr(workflow_name, 4) as bigint) * 600
+                       when 'task_6' then status <> 'success' else true end, false) as ok from named_tasks) x""",
+    ("named_tasks",),
+)
 add(
     "P21_critical_runs",
     lambda spark, sf: results.critical_runs(t.named_tasks(spark, sf, False), t.workflow_tasks(spark, sf)),

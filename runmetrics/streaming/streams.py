@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.status import is_failed, success_rate
 from ..operators import reports, routing
+from ..operators.route_reports import report_nested_routes
 from ..operators.windows import join_null_safe
 from ..sources.writers import SINKS, fan_out
 from .state import admit, retain_newest
@@ -89,18 +90,12 @@ def stream_failures(tasks: DataFrame, template: str = "default", at: Column | No
     return reports.report_task_summary(tasks.filter(is_failed("status")), template, at)
 
 
-def stream_run_reports(nested: DataFrame, routes: Sequence[routing.Route], at: Column | None = None) -> DataFrame:
-    """Reports of finished runs, one per triggered route, by the generator that the route names."""
-    made = None
-    for generator in sorted({r.generator_type for r in routes}):
-        if generator not in reports.NESTED_GENERATORS:
-            raise ValueError(f"generator {generator!r} cannot report nested runs; generators: {sorted(reports.NESTED_GENERATORS)}")
-        own = [r for r in routes if r.generator_type == generator]
-        part = reports.NESTED_GENERATORS[generator](routing.runs_triggering(nested, own), at=at)
-        made = part if made is None else made.unionByName(part)
-    if made is None:
-        raise ValueError("no routes")
-    return made
+def stream_run_reports(
+    nested: DataFrame, routes: Sequence[routing.Route], at: Column | None = None, named: Mapping[str, str] | None = None,
+    variables: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Reports of finished runs, one per triggered route, by the generator and template that the route names."""
+    return report_nested_routes(nested, routes, named, variables, at)
 
 
 def stream_rate_limit(

@@ -127,3 +127,28 @@ def test_period_bounds(spark):
         assert tuple(got) == bounds
     approx, _ = times.period_bounds("monthly", as_of, approx_month=True)
     assert value(spark, F.date_format(approx, "yyyy-MM-dd")) == "2024-01-31"
+
+
+def test_json_templates_stay_json(spark):
+    import json
+
+    document = {"{{k}}": ["{{v}}", {"deep": {"x": "a {{ v }} {{none}}"}}, 1, None, True], "open": "{{ v", "close": "}}", "plain": "{v}"}
+    values = {"k": 'ke"y', "v": 'l1\n\\ "q" {{k}} ß'}
+    row = spark.createDataFrame([(json.dumps(document), values), (None, values), ("{}", {})], "d string, v map<string,string>")
+    out = [r.o for r in row.select(template.render_json("d", "v").alias("o")).collect()]
+    v = values["v"]
+    assert json.loads(out[0]) == {'ke"y': [v, {"deep": {"x": f"a {v} "}}, 1, None, True], "open": "{{ v", "close": "}}", "plain": "{v}"}
+    assert out[1:] == [None, "{}"]
+
+
+def test_uuids_are_unique(spark):
+    made = spark.range(5000).select(F.uuid().alias("u"))
+    assert made.distinct().count() == 5000
+
+
+def test_sha512_of_whole_texts(spark):
+    import hashlib
+
+    texts = ["", "abc", "ß" * 70_000]
+    made = spark.createDataFrame([(x,) for x in texts], "t string").select(digest.digest("t", "sha512").alias("d"))
+    assert [r.d for r in made.collect()] == [hashlib.sha512(x.encode()).hexdigest() for x in texts]

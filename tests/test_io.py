@@ -1,5 +1,7 @@
 import json
+import os
 
+import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
@@ -92,3 +94,28 @@ def test_unreadable_lines_are_told_apart(spark, tmp_path):
     (tmp_path / "runs.json").write_text(json.dumps(DUMPED) + "\n{not json\n" + json.dumps(FORMATTED) + "\n")
     assert readers.read_runs(spark, str(tmp_path), multiline=False).count() == 2
     assert [r.text for r in readers.rejected_runs(spark, str(tmp_path), multiline=False).collect()] == ["{not json"]
+
+
+def test_listing_has_times_of_empty_files_and_skips_hidden_ones(spark, tmp_path):
+    (tmp_path / "a" / "b c").mkdir(parents=True)
+    (tmp_path / "a" / "b c" / "empty.log").write_text("")
+    (tmp_path / "a" / "full.log").write_text("abc")
+    (tmp_path / "a" / "_SUCCESS").write_text("")
+    (tmp_path / ".hidden").mkdir()
+    (tmp_path / ".hidden" / "x.log").write_text("x")
+    os.utime(tmp_path / "a" / "b c" / "empty.log", (1_000_000_000, 1_000_000_000))
+    found = integrity.file_inventory(spark, str(tmp_path))
+    assert [r.path.rsplit("/", 1)[1] for r in found.orderBy("path").collect()] == ["empty.log", "full.log"]
+    scanned = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path", "length", "modificationTime")
+    assert rows(found.filter("length > 0")) == rows(scanned)
+    old = integrity.rotation_plan(found.withColumn("folder", F.lit("f")), integrity.Rotation(max_age_days=1), F.current_timestamp())
+    assert {r.path.rsplit("/", 1)[1]: r.rotate for r in old.collect()} == {"empty.log": True, "full.log": False}
+    assert integrity.file_inventory(spark, f"file:{tmp_path}/a/full.log").count() == 1
+    assert integrity.file_inventory(spark, str(tmp_path), "*.txt").count() == 0
+
+
+def test_listing_refuses_what_it_cannot_open(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)unrecognized filesystem"):
+        integrity.file_inventory(spark, "nowhere://bucket/x")
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        integrity.file_inventory(spark, str(tmp_path / "missing"))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runmetrics.functions.times import utc
-from runmetrics.operators import metrics, output, reports, results, routing
+from runmetrics.operators import metrics, output, reports, results, route_reports, routing
 
 AT = "2024-05-06 07:08:09"
 
@@ -86,3 +86,34 @@ def test_routes_deliver_to_enabled_channels(spark):
     route = routing.Route("a", channels=(routing.Channel("file", "/x"), routing.Channel("email", "y", enabled=False)))
     made = spark.createDataFrame([("a", 1), ("b", 2)], "route string, id int")
     assert rows(routing.route_reports(made, [route, routing.Route("b")]), "id", "channel", "target") == [(1, "file", "/x")]
+
+
+def _routes(**changes):
+    return [routing.Route("t", "template", trigger_on_workflow_completion=True, **changes)]
+
+
+def test_routes_choose_template_variables_and_title(spark):
+    facts, t = _facts(spark, [task("r", "a", "success"), task("r", "b", "failed")])
+    own = _routes(template_content="{{a}} {{b}} {{status}} {{workflow.summary.total_tasks}}{{absent}}", variables={"a": "1", "status": "x", "title": "T"})
+    made = route_reports.report_routes("run", facts, own, t, {"t": "unused"}, {"a": "0", "b": "2", "title": "U"}, utc(AT)).first()
+    assert (made.content, made.title, made.report_type, made.route) == ("1 2 partial_success 2", "T", "template", "t")
+    assert made.metadata["template_var_a"] == "1" and made.metadata["data_type"] == "workflow_completion"
+    named = route_reports.report_routes("run", facts, _routes(template_file="/f"), t, {"t": "named"}, at=utc(AT), read=lambda path: "file " + path)
+    filed = route_reports.report_routes("run", facts, _routes(template_file="/f"), t, at=utc(AT), read=lambda path: "file " + path)
+    assert named.first().content == "named" and filed.first().content == "file /f"
+    assert named.first().title == "t - wf - Workflow partial_success Report"
+    with pytest.raises(ValueError, match="no template content found for route 't'"):
+        route_reports.report_routes("run", facts, _routes(), t)
+    with pytest.raises(ValueError, match="no routes"):
+        route_reports.report_routes("run", facts, [], t)
+
+
+def test_routes_make_their_kind_of_report(spark):
+    facts, t = _facts(spark, [task("r", "a", "success"), task("r", "b", "failed", 1), task("s", "c", "running", seconds=None)])
+    routes = [*_routes(template_content="x"), routing.Route("d", "detailed", trigger_on_workflow_completion=True, filters=routing.Filters(task_status=["Failed"])),
+              routing.Route("s", "summary", trigger_on_workflow_completion=True)]
+    made = route_reports.report_routes("run", facts, routes, t, at=utc(AT))
+    assert rows(made, "run_id", "route", "report_type") == [("r", "d", "detailed"), ("r", "s", "summary"), ("r", "t", "template")]
+    assert "### ❌ b" in made.filter("route = 'd'").first().content and " a (" not in made.filter("route = 'd'").first().content
+    off = route_reports.report_routes("run", facts, routes, t, at=utc(AT), switches=routing.Switches(workflow_completion_reports=False))
+    assert off.count() == 0

@@ -149,3 +149,16 @@ def test_concurrency(spark):
         task("r", "e", "success", seconds=0, start=at(3))])
     out = metrics.concurrency_profile(t, 4)
     assert rows(out, "peak_running", "current_running", "peak_utilization") == [(2, 1, 50.0)]
+
+
+def test_conditions_are_data_of_each_workflow(spark):
+    t = tasks(spark, [task("r", "a", "success", retry=10, workflow="w"), task("s", "a", "success", retry=9, workflow="v"), task("s", "b", "failed", workflow="v", error="E")])
+    made = spark.createDataFrame(
+        [("w", "a", ("retry_count", ">", "9")), ("v", "a", ("retry_count", ">", "9")), ("v", "b", None)],
+        "workflow_name string, task_id string, when struct<field:string,comparison:string,value:string>")
+    out = results.apply_conditions(t, made, ["retry_count", "status", "output"])
+    assert rows(out, "run_id", "task_id", "status", "error") == [("r", "a", "success", None), ("s", "a", "skipped", "Condition not met"), ("s", "b", "failed", "E")]
+    for condition, holds in ((("status", "=", "success"), True), (("status", "!=", "success"), False), (("status", "<", "t"), True), (("nothing", "=", "1"), None),
+                             (("status", "like", "s"), None), (("output", "=", "x"), None), (("retry_count", "<=", None), None), (("retry_count", ">=", "10.0"), True)):
+        row = t.filter("run_id = 'r'").withColumn("w", F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(("field", "comparison", "value"), condition)]))
+        assert row.select(results.condition_holds(F.col("w"), ["retry_count", "status", "output"]).alias("h")).first().h is holds, condition
