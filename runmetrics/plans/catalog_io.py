@@ -149,12 +149,18 @@ def _report_files(spark, sf):
     made = reports.report_task_summary(t.named_tasks(spark, sf), at=utc("2024-05-06 07:08:09"))
     writers.write_reports(made, path)
     back = spark.read.option("wholetext", False).text(path)
-    return back.filter("value like '**Status:**%'").groupBy("report_type", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("reports"))
+    lines = back.filter("value like '**Workflow:**%' or value like '**Status:**%'")
+    return lines.groupBy("report_type", F.col("date").cast("string").alias("date"), "value").agg(F.count("*").alias("lines"))
 
 
 add(
     "S8_write_reports", _report_files,
-    "select 'summary' as report_type, '2024-05-06' as date, count(*) as reports from named_typed", ("named_typed",),
+    """select 'summary' as report_type, '2024-05-06' as date, value, count(*) as lines from (
+         select concat('**Workflow:** ', workflow_name, ' (', cast(run_id as varchar), ')') as value from named_typed
+         union all select concat('**Status:** ', status, case when duration_ms is not null
+                then concat(' (took ', printf('%.1f', duration_ms / 1000.0::double), 's)') else '' end) from named_typed) x
+       group by value""",
+    ("named_typed",),
 )
 
 
@@ -165,16 +171,17 @@ def _modes(spark, sf):
     writers.write(nations, f"{path}/a", "append")
     writers.write(nations, f"{path}/b")
     writers.write(nations, f"{path}/b", "overwrite")
-    for part in ("n_nationkey < 100", "n_regionkey = 1"):
-        writers.write(nations.filter(part), f"{path}/c", keep_previous=True)
-    parts = [spark.read.parquet(f"{path}/{n}").select(F.lit(n).alias("folder"), *(["version"] if n == "c" else [F.lit(0).alias("version")])) for n in "abc"]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("folder", "version").agg(F.count("*").alias("rows"))
+    for made in (nations, nations.withColumn("n_name", F.lower("n_name"))):
+        writers.write(made, f"{path}/c", keep_previous=True)
+    names = ["n_nationkey", "n_name", "n_regionkey"]
+    parts = [spark.read.parquet(f"{path}/{n}").select(F.lit(n).alias("folder"), *names, *(["version"] if n == "c" else [F.lit(0).alias("version")])) for n in "abc"]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 add(
     "S9_write_modes", _modes,
-    """select 'a' as folder, 0 as version, 2 * count(*) as "rows" from nation union all select 'b', 0, count(*) from nation
-       union all select 'c', 1, count(*) from nation union all select 'c', 2, count(*) from nation where n_regionkey = 1""",
+    """select folder, n_nationkey, case when version = 2 then lower(n_name) else n_name end as n_name, n_regionkey, version
+       from nation, (values ('a', 0), ('a', 0), ('b', 0), ('c', 1), ('c', 2)) w(folder, version)""",
 )
 
 
@@ -186,16 +193,14 @@ def _fanned(spark, sf):
              "csv": spark.read.schema(rows.schema).option("header", True).csv(f"{path}/csv")}
     out = None
     for kind, back in kinds.items():
-        part = back.groupBy(F.lit(kind).alias("sink"), "status").agg(F.count("*").alias("runs"), F.sum("total_tasks").alias("tasks"))
+        part = back.select(F.lit(kind).alias("sink"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 add(
     "S10_fan_out", _fanned,
-    """select sink, status, count(*) as runs, cast(sum(total_tasks) as bigint) as tasks
-       from facts, (select unnest(['json','parquet','csv']) as sink) s group by sink, status""",
-    ("facts",),
+    "select sink, run_id, status, total_tasks from facts, (select unnest(['json','parquet','csv']) as sink) s", ("facts",),
 )
 
 
@@ -220,8 +225,8 @@ for _name in ("S13_compressed_output", "S14_decompressed_input"):
     add(
         _name,
         lambda spark, sf: _compressed(spark, sf),
-        """select codec, count(*) as events, cast(sum(event_id) as bigint) as ids
-       from events, (select unnest(['bzip2','gzip','deflate']) as codec) s group by codec""",
+        """select codec, suffix, event_id, event_type
+       from events, (values ('bzip2', 'bz2'), ('gzip', 'gz'), ('deflate', 'deflate')) c(codec, suffix)""",
     )
 
 
@@ -232,7 +237,8 @@ def _compressed(spark, sf):
     for codec in ("bzip2", "gzip", "deflate"):
         writers.write(rows, f"{path}/{codec}", fmt="json", compression=codec)
         back = spark.read.schema(rows.schema).json(f"{path}/{codec}")
-        part = back.groupBy(F.lit(codec).alias("codec")).agg(F.count("*").alias("events"), F.sum("event_id").alias("ids"))
+        suffix = F.element_at(F.split(F.input_file_name(), r"\."), -1)
+        part = back.select(F.lit(codec).alias("codec"), suffix.alias("suffix"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
