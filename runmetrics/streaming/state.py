@@ -17,7 +17,6 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from ..session import PROVIDER, ROCKSDB
 
 
-
 def need_rocksdb(df: DataFrame) -> None:
     """State of this kind needs the RocksDB store; the session's setting isn't changed here."""
     if "RocksDB" not in df.sparkSession.conf.get(PROVIDER, ""):
@@ -83,11 +82,15 @@ def retain_newest(
 class Admission(StatefulProcessor):
     """Admits rows of a key while every clock slot they fall in has room."""
 
-    def __init__(self, schema: StructType, order: Sequence[str], second: str, limits: Sequence[tuple[int, int]], ttl_ms: int | None):
+    def __init__(
+        self, schema: StructType, order: Sequence[str], second: str, limits: Sequence[tuple[int, int]], ttl_ms: int | None,
+        expires: bool = False,
+    ):
         self.schema, self.order, self.second = schema, list(order), second
-        self.limits, self.ttl_ms = list(limits), ttl_ms
+        self.limits, self.ttl_ms, self.expires = list(limits), ttl_ms, expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         slot = StructType([StructField("span", LongType()), StructField("slot", LongType())])
         self.used = handle.getMapState("used", slot, StructType([StructField("n", LongType())]), self.ttl_ms)
 
@@ -107,23 +110,36 @@ class Admission(StatefulProcessor):
             admitted.append(fits)
         for slot, count in used.items():
             self.used.updateValue(slot, (count,))
+        if self.expires:
+            # the key's longest slot; once the watermark is past its end no more rows come
+            longest = self.limits[-1][0]
+            self.handle.registerTimer((int(batch[self.second].iloc[0]) // longest + 1) * longest * 1000)
         yield batch[admitted][self.schema.names]
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.used.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
 def admit(
     stream: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], limits: Sequence[tuple[int, int]],
-    ttl_ms: int | None = None,
+    ttl_ms: int | None = None, late: str | None = None,
 ) -> DataFrame:
     """Rows within the (span seconds, limit) limits, counted per clock slot in arrival order.
 
     Slots of a longer span contain whole slots of the shorter ones, so rows beyond the
     limit of the shortest span cannot be admitted and are left out before the shuffle.
     The state is keyed by the longest slot too, which spreads a busy key over time.
+
+    With ``late`` (an interval) the state of a slot is dropped by event time, when rows are that much past its end; rows
+    that come later than that are left out, so are rows without a time. The query still ends with its data.
     """
     need_rocksdb(stream)
+    if late is not None and ttl_ms is not None:
+        raise ValueError("state expires by event time (late) or by the clock (ttl_ms), not by both")
     limits = sorted(limits)
     for (short, _), (long, _) in zip(limits, limits[1:]):
         if long % short:
@@ -138,7 +154,10 @@ def admit(
             ordered = batch.sort_values(order, kind="stable")
             yield ordered[ordered.groupby([*[ordered[k] for k in keys], ordered[second] // shortest], dropna=False).cumcount() < room]
 
-    return timed.mapInPandas(thin, timed.schema).groupBy(*keys, slot).transformWithStateInPandas(
-        statefulProcessor=Admission(schema, order, second, limits, ttl_ms), outputStructType=schema, outputMode="Append",
-        timeMode=_time_mode(ttl_ms),
+    thinned = timed.mapInPandas(thin, timed.schema)
+    if late is not None:
+        thinned = thinned.filter(F.col(at).isNotNull()).withWatermark(at, late)
+    return thinned.groupBy(*keys, slot).transformWithStateInPandas(
+        statefulProcessor=Admission(schema, order, second, limits, ttl_ms, late is not None), outputStructType=schema, outputMode="Append",
+        timeMode=_time_mode(ttl_ms) if late is None else "EventTime",
     )

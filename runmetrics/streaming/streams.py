@@ -100,10 +100,13 @@ def stream_run_reports(
 
 def stream_rate_limit(
     messages: DataFrame, limits: routing.RateLimits, keys: Sequence[str] = ("channel",), at: str = "generated_at",
-    tie: Sequence[str] = (), ttl_ms: int | None = None,
+    tie: Sequence[str] = (), ttl_ms: int | None = None, late: str | None = None,
 ) -> DataFrame:
-    """Let only the first reports of every minute, hour and day of a key through."""
-    return admit(messages, keys, at, [at, *tie], limits.spans(), ttl_ms)
+    """Let only the first reports of every minute, hour and day of a key through.
+
+    ``late``, an interval, bounds the state: reports that come later than that are left out.
+    """
+    return admit(messages, keys, at, [at, *tie], limits.spans(), ttl_ms, late)
 
 
 def write_append(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", available_now: bool = True) -> StreamingQuery:

@@ -87,6 +87,21 @@ def test_rate_limits_admit_in_order(spark, events, tmp_path):
     assert got == sorted(expected) and 0 < len(got) < 1000
 
 
+def test_rate_limit_state_expires_by_event_time(spark, events, tmp_path):
+    messages = _stream(spark, events).select("event_id", F.col("task_type").alias("channel"), F.col("start_time").alias("generated_at"))
+    limits, held, found = routing.RateLimits(per_minute=1, per_hour=2), {}, {}
+    for late in (None, "1 hour"):
+        out = streams.stream_rate_limit(messages, limits, tie=["event_id"], late=late)
+        query = streams.write_append(out, str(tmp_path / f"out {late}"), str(tmp_path / f"checkpoint {late}"))
+        query.awaitTermination()
+        held[late] = query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+        found[late] = rows(spark.read.parquet(str(tmp_path / f"out {late}")), "event_id")
+    assert found[None] == found["1 hour"] and len(found[None]) > 100
+    assert held["1 hour"] < held[None] / 10
+    with pytest.raises(ValueError, match="not by both"):
+        streams.stream_rate_limit(messages, limits, ttl_ms=1, late="1 hour")
+
+
 def test_state_with_expiry_runs_until_stopped(spark, events, tmp_path):
     latest = streams.stream_latest(_stream(spark, events), ["task_type"], ["start_time", "event_id"], ttl_ms=3_600_000)
     query = streams.write_updates(latest, str(tmp_path / "out"), str(tmp_path / "checkpoint"), available_now=False)
