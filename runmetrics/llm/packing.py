@@ -1,10 +1,10 @@
 """Best-fit packing of tokenised documents by hierarchical residual packing.
 
 Each partition tokenises its documents, cuts those over the capacity, and packs the pieces best-fit decreasing into
-bins. Nearly full bins are finished; the others go on as items, (bin, tokens), to a tree: every ``FAN`` nodes meet in
-one, which packs their bins by best fit again, up to one root. Only those small rows travel; the pieces find their
-last place by one join at the end. A node passes on at most ``CARRIED`` bins, the emptiest; fuller ones beyond that
-are finished as they are, so a node's memory is bounded and no piece is dropped.
+bins. Nearly full bins are finished; all others are packed by best fit again, over all partitions at once. Bins of
+equal fill are interchangeable there, so only the number of bins of each fill takes part: at most one row a fill,
+whatever the input. The result is a list of rules, ranks of bins of one fill to places in the packed bins; a bin's rank
+is its place among the bins of its fill in its partition, and the bins of that fill in the partitions before.
 
 A null text is empty and is still a document: its one token is the end mark. Documents of more than the capacity are
 cut so that every piece but the first is full. Rows that repeat an id are packed each for itself; an empty table gives
@@ -18,12 +18,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import COMMON, Splitter
 from .common import written
@@ -31,10 +30,10 @@ from .common import written
 CAPACITY = 1024
 END = 2
 NEARLY_FULL = 4  # tokens that may be missing in a finished bin
-FAN = 8
-CARRIED = 50_000
+CARRIED = 50_000  # rows that one record batch carries
 RANKS = "byte_bpe_50k.tiktoken"
-_ROWS = 50_000
+_PACKED = 1 << 56  # numbers of bins packed from several partitions begin here
+_FILL = 48  # bits of a rank
 
 
 class Tokens:
@@ -99,29 +98,75 @@ def _pieces(capacity: int):
         rows, piece, start, length, crc = (np.array(c, np.int64) for c in columns)
         which, offset, fills = best_fit(length, capacity)
         sequence = (TaskContext.get().partitionId() << 32) + which
+        order = np.argsort(fills, kind="stable")
+        rank = np.empty(len(fills), np.int64)  # of a bin among those of its fill
+        rank[order] = np.arange(len(fills)) - np.searchsorted(fills[order], fills[order], side="left")
         ids = pa.chunked_array(ids).combine_chunks()
-        for at in range(0, len(rows), _ROWS):
-            part = slice(at, at + _ROWS)
+        for at in range(0, len(rows), CARRIED):
+            part = slice(at, at + CARRIED)
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(rows[part])), pa.array(piece[part], pa.int32()), *(pa.array(c[part]) for c in (start, length, crc, sequence, offset)),
-                 pa.array(fills[which[part]])],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill"])
+                 pa.array(fills[which[part]]), pa.array(rank[which[part]])],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", "rank"])
 
     return work
 
 
-def _merge(level: int, capacity: int, last: bool):
-    """Pack the bins (bin, fill) of one node; ``up`` marks new bins that go on to the next level."""
-    def work(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values("bin")
-        which, shift, fills = best_fit(items["fill"].to_numpy(), capacity)
-        up = np.zeros(len(fills), bool)
-        if not last:
-            order = np.argsort(fills, kind="stable")
-            order = order[fills[order] < capacity - NEARLY_FULL][:CARRIED]
-            up[order] = True
-        return pd.DataFrame({"bin": items["bin"].to_numpy(), "node": key[0], "into": (level << 56) + (int(key[0]) << 32) + which,
-                             "shift": shift, "fill": fills[which], "up": up[which]})
+def merge_fills(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best-fit decreasing of ``counts`` bins of each fill, all bins of one fill and all places of one room at once.
+
+    Rows (fill, rank, times, shift, into): from that rank on, each ``times`` bins of the fill go one behind the other to
+    ``shift`` in the packed bins into, into + 1 and so on, up to the next rank of the fill.
+    """
+    rules = []
+    open_at: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by free room: (first bin, number of bins)
+    rooms = made = 0  # bit r of rooms is set when a bin with room r is open
+
+    def put(room: int, first: int, number: int):
+        nonlocal rooms
+        if room and number:
+            open_at[room].append((first, number))
+            rooms |= 1 << room
+
+    for fill in sorted(counts, reverse=True):
+        rank, left = 0, counts[fill]
+        while left:
+            fitting = rooms >> fill
+            if fitting:
+                room = fill + (fitting & -fitting).bit_length() - 1
+                first, number = open_at[room].pop()
+                if not open_at[room]:
+                    rooms &= ~(1 << room)
+            else:
+                room, first, number = capacity, made, -(-left // (capacity // fill))
+                made += number
+            times = room // fill
+            whole = min(number, left // times)
+            if whole:
+                rules.append((fill, rank, times, capacity - room, first))
+                put(room - times * fill, first, whole)
+                rank, left = rank + whole * times, left - whole * times
+            if left and whole < number:  # too few for one more bin as full
+                rules.append((fill, rank, left, capacity - room, first + whole))
+                put(room - left * fill, first + whole, 1)
+                left, whole = 0, whole + 1
+            put(room, first + whole, number - whole)
+    return np.array(rules, np.int64).reshape(-1, 5)
+
+
+def _placed(rules: np.ndarray, columns: list[str]):
+    """Pieces of underfull bins with the places of the packed ones."""
+    rules = rules[np.lexsort((rules[:, 1], rules[:, 0]))]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = (rules[:, 0] << _FILL) + rules[:, 1]
+        for batch in batches:
+            fill, rank, before, offset = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fill", "rank", "before", "offset"))
+            rank = rank + before
+            _, start, times, shift, into = rules[np.searchsorted(keys, (fill << _FILL) + rank, side="right") - 1].T
+            which, place = np.divmod(rank - start, times)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in columns), pa.array(_PACKED + into + which), pa.array(offset + shift + place * fill)], [*columns, "sequence_id", "offset"])
 
     return work
 
@@ -130,27 +175,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id", t
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    pieces = written(source.mapInArrow(
-        _pieces(capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"), "pieces")
-    items = (pieces.filter(F.col("fill") < capacity - NEARLY_FULL).groupBy(F.col("sequence_id").alias("bin")).agg(F.max("fill").alias("fill"))
-             .withColumn("node", F.shiftright("bin", 32)))
-    moves, level = None, 0
-    nodes = items.agg(F.max("node")).first()[0]
-    while nodes is not None:
-        level, nodes = level + 1, nodes // FAN
-        step = written(items.withColumn("node", F.floor(F.col("node") / FAN)).groupBy("node").applyInPandas(
-            _merge(level, capacity, nodes == 0), "bin long, node long, into long, shift long, fill long, up boolean"), "moves")
-        new = step.select("bin", F.col("into").alias("__into"), F.col("shift").alias("__shift"))
-        if moves is None:
-            moves = new.toDF("bin", "into", "shift")
-        else:
-            here = new.withColumnRenamed("bin", "into")
-            moves = moves.join(here, "into", "left").select("bin", F.coalesce("__into", "into").alias("into"), (F.col("shift") + F.coalesce("__shift", F.lit(0))).alias("shift"))
-        items = step.filter("up").select("node", F.col("into").alias("bin"), "fill").distinct()
-        if nodes == 0:
-            break
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    if moves is None:
-        return pieces.select(*columns, "sequence_id", "offset")
-    return pieces.join(moves, pieces["sequence_id"] == moves["bin"], "left").select(
-        *columns, F.coalesce("into", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    columns = {"doc_id": kind, "piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}
+    described = ", ".join(f"{name} {of}" for name, of in columns.items()) + ", sequence_id long, offset long"
+    pieces = written(source.mapInArrow(_pieces(capacity), f"{described}, fill long, rank long"), "pieces")
+    finished = pieces.filter(F.col("fill") >= capacity - NEARLY_FULL).select(*columns, "sequence_id", "offset")
+    underfull = pieces.filter(F.col("fill") < capacity - NEARLY_FULL).withColumn("node", F.shiftright("sequence_id", 32))
+    # each bin has one piece at its begin
+    sizes = written(underfull.filter("offset = 0").groupBy("node", "fill").agg(F.count("*").alias("n")), "fills")
+    counts = {row["fill"]: row["n"] for row in sizes.groupBy("fill").agg(F.sum("n").alias("n")).collect()}  # at most one row a fill
+    if not counts:
+        return finished
+    earlier = Window.partitionBy("fill").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("node", "fill", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return finished.unionByName(underfull.join(before, ["node", "fill"]).select(*columns, "offset", "fill", "rank", "before").mapInArrow(
+        _placed(merge_fills(counts, capacity), list(columns)), described))

@@ -224,3 +224,32 @@ def test_best_fit_places_items_in_the_tightest_bin():
 def test_packing_passes_on_bounded_bins_only(spark, documents, monkeypatch):
     monkeypatch.setattr(packing, "CARRIED", 1)
     check_packing(documents, packing.pack(documents.repartition(20)).collect(), packing.Tokens())
+
+
+def test_merged_fills_are_best_fit():
+    random.seed(9)
+    for _ in range(60):
+        counts = {random.randrange(1, 1020): random.choice([1, 2, 7, 60]) for _ in range(random.randrange(1, 40))}
+        sizes = np.repeat(list(counts), list(counts.values()))
+        rules = packing.merge_fills(counts, 1024)
+        held = {}
+        for fill, rank, times, shift, into in rules.tolist():
+            end = min((r for f, r, *_ in rules.tolist() if f == fill and r > rank), default=counts[fill])
+            for i in range(end - rank):
+                held.setdefault(into + i // times, []).append((shift + i % times * fill, fill))
+        for items in held.values():
+            ends = np.cumsum([fill for _, fill in sorted(items)])
+            assert ends[-1] <= 1024 and [offset for offset, _ in sorted(items)] == [0, *ends[:-1].tolist()]
+        assert sorted(f for items in held.values() for _, f in items) == sorted(sizes.tolist())
+        assert sorted(sum(f for _, f in items) for items in held.values()) == sorted(packing.best_fit(sizes, 1024)[2].tolist())
+
+
+def test_packing_merges_all_underfull_bins(spark, monkeypatch):
+    # a document a partition, what fits together far apart; a small bound makes a cap show
+    monkeypatch.setattr(packing, "CARRIED", 1, raising=False)
+    rows = [(i, "a " * (600 if i < 8 else 400)) for i in range(16)]
+    tokens = packing.Tokens()
+    long, short = len(tokens.ids(rows[0][1])), len(tokens.ids(rows[-1][1]))
+    assert long > 512 and 1024 - long >= short
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 16), "doc_id long, text string")
+    assert check_packing(docs, packing.pack(docs).collect(), tokens)[0] == 8
