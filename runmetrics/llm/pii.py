@@ -1,8 +1,9 @@
 """Personal data, and terms that disclose it, by information-theoretic sanitisation.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers, leftmost and non-overlapping in each
-kind. Each distinct value is a protected entity c. Terms are the words within ``WINDOW`` characters of an entity. Over
-all documents, with N documents, D(c) that hold c, D(t) that hold t anywhere and D(c,t) that hold t near c:
+kind. Each distinct value is a protected entity c. Terms are all words, of every length, of the whole texts that hold an
+entity, outside base spans. Over all documents, with N documents, D(c) that hold c, D(t) that hold t and D(c,t) that hold
+both:
 
     IC(c) = log2(N / D(c))        PMI(c;t) = log2(N D(c,t) / (D(c) D(t)))
 
@@ -26,7 +27,6 @@ from .common import whole, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-WINDOW = 40
 GENERALISE, REMOVE = 0.8, 0.95
 SUPPORT = 2
 # The patterns of the kinds. Classes that can't overlap are matched possessively, and matches begin where
@@ -39,7 +39,7 @@ PATTERNS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _BYTES = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-_WORD = r"[\p{L}\p{N}]{3,}"
+_WORD = r"[\p{L}\p{N}]+"
 _BLOCK = 256
 
 
@@ -118,15 +118,30 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(of(kind) for kind in KINDS))
 
 
-def _nearby(text: Column, span: Column) -> Column:
-    """The different words near a span, in lower case."""
-    begin = F.greatest(span["start"] - WINDOW, F.lit(0))
-    before = F.substring(text, (begin + 1).cast("int"), (span["start"] - begin).cast("int"))
-    behind = F.substring(text, (span["end"] + 1).cast("int"), F.lit(WINDOW))
-    # words that the window cuts in two are left out
-    before = F.when(begin > 0, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
-    behind = F.when(F.length(behind) == WINDOW, F.regexp_replace(behind, r"[\p{L}\p{N}]+$", "")).otherwise(behind)
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", before, behind)), F.lit(_WORD), F.lit(0)))
+def _words(text: Column) -> Column:
+    """The different words of a text, in lower case. A word is lowered by itself, as where its places are looked up."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))), lambda w: F.lower(w)))
+
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text between spans, in lines; words that a span cuts are left out."""
+    head, tail = r"^[\p{L}\p{N}]+", r"[\p{L}\p{N}]+$"
+
+    def build(ordered: Column) -> Column:
+        def gaps(covered: Column) -> Column:
+            def gap(s: Column, done: Column) -> Column:
+                # with a character of the span at each end, to tell whether it belongs to the word beside it
+                first = F.substring(text, F.lit(1), (s["start"] + 1).cast("int"))
+                later = F.regexp_replace(F.substring(text, done.cast("int"), (s["start"] - done + 2).cast("int")), head, "")
+                return F.when(s["start"] >= done, F.regexp_replace(F.when(done == 0, first).otherwise(later), tail, "")).otherwise(F.lit(""))
+
+            parts = F.transform(ordered, lambda s, at: let(F.element_at(covered, at + 1), lambda done: gap(s, done)))
+            last = F.array_max(F.transform(ordered, lambda s: s["end"]))
+            return F.concat(F.array_join(parts, "\n"), F.lit("\n"), F.regexp_replace(F.substring(text, last.cast("int"), F.length(text)), head, ""))
+
+        return let(prefix_fold(F.transform(ordered, lambda s: s["end"]), F.lit(0).cast("long"), lambda a, b: F.greatest(a, b)), gaps)
+
+    return let(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), build)
 
 
 def _source(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -139,35 +154,56 @@ def disclosures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     source = _source(docs, id_column, text_column)
     spans = source.withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0)
     entity = lambda s: F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], r"[^0-9.]+", "")))
-    near = written(
-        spans.select("doc_id", F.explode(F.transform("spans", lambda s: F.struct(entity(s).alias("entity"), _nearby(F.col("text"), s).alias("terms")))).alias("s"))
-        .select("doc_id", "s.entity", "s.terms"), "near")
+    held = written(spans.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.array_distinct(F.transform("spans", entity)).alias("entities"),
+        _words(_outside(F.col("text"), F.col("spans"))).alias("terms")), "held")
     # a null id is a document, too; countDistinct would pass over it
     one = F.struct(F.col("doc_id"))
-    documents = near.select("entity", one.alias("doc")).distinct().groupBy("entity").agg(F.count("*").alias("d_c")).filter(F.col("d_c") >= support)
-    pairs = (near.select("entity", one.alias("doc"), F.explode("terms").alias("term")).distinct()
-             .groupBy("entity", "term").agg(F.count("*").alias("d_ct")).filter(F.col("d_ct") >= support))
-    likely = written(pairs.join(documents, "entity"), "likely")
-    words = source.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    spread = words.groupBy("term").agg(F.count("*").alias("d_t"))
+    each = held.select("row", "doc_id", F.explode("entities").alias("entity"))
+    documents = each.select("entity", one.alias("doc")).distinct().groupBy("entity").agg(F.count("*").alias("d_c")).filter(F.col("d_c") >= support)
     total = source.agg(F.count("*").alias("n")).first()["n"]
+    # D(c,t) is D(c) at most, so a term of more documents than this can't reach the share (with room for rounding)
+    most = F.col("d_c") * F.pow(F.lit(float(max(total, 1))) / F.col("d_c"), F.lit(1.0 - generalise)) * (1 + 1e-9)
+    owners = written(each.join(documents, "entity").withColumn("most", most), "owners")
+    bounds = owners.groupBy("row").agg(F.max("most").alias("bound"))
+    terms = held.join(bounds, "row").select("row", "bound", F.explode("terms").alias("term"))
+    wanted = written(terms.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= support).select("term"), "wanted")
+    spread = written(source.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("d_t")).join(wanted, "term"), "spread")
+    rare = terms.join(spread, "term").filter("d_t <= bound").select("row", "term", "d_t")
+    evidence = written(owners.join(rare, "row").filter("d_t <= most").select("doc_id", "entity", "term", "d_c", "d_t").distinct(), "evidence")
+    pairs = evidence.groupBy("entity", "term", "d_c", "d_t").agg(F.count("*").alias("d_ct")).filter(F.col("d_ct") >= support)
     information = F.log2(F.lit(total) / F.col("d_c"))
-    # a near copy may hold the term beside other entities only, so D(t) is at least D(c,t)
+    # rows that repeat an id may hold the term in fewer rows than documents, so D(t) is at least D(c,t)
     shared = F.log2(F.lit(total) * F.col("d_ct") / (F.col("d_c") * F.greatest("d_t", "d_ct")))
-    judged = (likely.join(spread, "term").withColumn("share", F.when(information > 0, shared / information).otherwise(F.lit(0.0)))
-              .filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed")))
-    holders = near.select("doc_id", "entity").distinct().join(judged, "entity")
-    of_each = holders.groupBy("doc_id", "term").agg(F.max("removed").alias("removed"))
+    judged = written(pairs.withColumn("share", F.when(information > 0, shared / information).otherwise(F.lit(0.0)))
+                     .filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed")), "judged")
+    own = evidence.select("doc_id", "entity", "term").join(judged, ["entity", "term"]).select("doc_id", "term", "removed")
+    # rows that repeat an id share the terms of all entities of the id
+    repeated = source.groupBy(one.alias("doc")).agg(F.count("*").alias("n")).filter("n > 1").select("doc")
+    others = owners.select("doc_id", "entity", one.alias("doc")).distinct().join(repeated, "doc", "left_semi").join(judged, "entity").select("doc_id", "term", "removed")
+    of_each = own.unionByName(others).groupBy("doc_id", "term").agg(F.max("removed").alias("removed"))
     return written(of_each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "removed"))).alias("terms")), "disclosures")
 
 
+def lookup(names: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of a function that tells whether a word is among ``names``, which are dealt into about as many lists as each list holds."""
+    number = F.greatest(F.ceil(F.sqrt(F.size(names))).cast("int"), F.lit(1))
+
+    def place(word: Column, lists: Column) -> Column:
+        return F.pmod(F.hash(word), lists)
+
+    return let(number, lambda n: let(
+        F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(names, lambda name: place(name, n) == b)),
+        lambda lists: body(lambda word: F.array_contains(F.element_at(lists, place(word, n) + 1), word))))
+
+
 def term_spans(text: Column, terms: Column, base: Column) -> Column:
     """Places of disclosing terms outside base spans, as (kind, start, end, value)."""
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(terms, lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    found = F.transform(matches(text, pattern), lambda m: F.struct(F.lit(TERM).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
+    found = lookup(F.transform(terms, lambda t: t["term"]), lambda known: F.filter(matches(text, F.lit(_WORD)), lambda m: let(F.lower(m["value"]), known)))
     free = F.filter(found, lambda m: ~F.exists(base, lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
-    return F.when(F.size(F.coalesce(terms, F.array().cast("array<struct<term:string,removed:boolean>>"))) > 0, free).otherwise(
-        F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>"))
+    located = F.transform(free, lambda m: F.struct(F.lit(TERM).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+    return F.when(F.size(F.coalesce(terms, F.array().cast("array<struct<term:string,removed:boolean>>"))) > 0, located).otherwise(none)
 
 
 def with_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", disclosed: DataFrame | None = None) -> DataFrame:
@@ -191,26 +227,26 @@ def described(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _replacement(span: Column, terms: Column) -> Column:
-    removed = F.exists(terms, lambda t: (t["term"] == F.lower(span["value"])) & t["removed"])
+def _replacement(span: Column, removes: Callable[[Column], Column]) -> Column:
     shape = (F.when(span["value"].rlike(r"^\p{N}+$"), F.lit("[NUMBER]")).when(span["value"].rlike(r"^\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit("[WORD]")))
-    return F.when(span["kind"] != TERM, F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))).when(removed, F.lit("")).otherwise(shape)
+    return F.when(span["kind"] != TERM, F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))).when(let(F.lower(span["value"]), removes), F.lit("")).otherwise(shape)
 
 
 def cleaned(text: Column, spans: Column, terms: Column) -> Column:
     """The text with its spans replaced; spans that overlap an earlier one extend it."""
-    def build(ordered: Column) -> Column:
+    def build(ordered: Column, removes: Callable[[Column], Column]) -> Column:
         ends = prefix_fold(F.transform(ordered, lambda s: s["end"]), F.lit(0).cast("long"), lambda a, b: F.greatest(a, b))
 
         def piece(covered: Column) -> Column:
             parts = F.transform(ordered, lambda s, at: let(F.element_at(covered, at + 1), lambda done: F.when(
-                s["start"] >= done, F.concat(F.substring(text, (done + 1).cast("int"), (s["start"] - done).cast("int")), _replacement(s, terms))).otherwise(F.lit(""))))
+                s["start"] >= done, F.concat(F.substring(text, (done + 1).cast("int"), (s["start"] - done).cast("int")), _replacement(s, removes))).otherwise(F.lit(""))))
             last = F.array_max(F.transform(ordered, lambda s: s["end"]))
             return F.concat(F.array_join(parts, ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
 
         return let(ends, piece)
 
-    return let(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("rev"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))), build)
+    names = F.transform(F.filter(terms, lambda t: t["removed"]), lambda t: t["term"])
+    return lookup(names, lambda removes: let(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("rev"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))), lambda ordered: build(ordered, removes)))
 
 
 def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", chars_column: str | None = None) -> DataFrame:

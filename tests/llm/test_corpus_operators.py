@@ -168,6 +168,19 @@ def test_disclosing_terms(spark):
     assert clean[0] == "call [WORD] on [PHONE] please and so on" and clean[99] == "qwertyz alone" and clean[110] == docs.filter("doc_id = 110").first().text
 
 
+def test_terms_disclose_from_anywhere_in_the_text(spark):
+    far = " the office is open on Monday and so on" * 5
+    rows = [(i, f"Wu 77 qwertyx{far} mail a@b.c") for i in range(3)] + [(i, far + " please") for i in range(10, 200)]
+    rows += [(5, "É+1 (741) 555-3069 xé@y.z_x@y.z 4111 1111 1111 1111abc"), (6, "É+1 (741) 555-3069 xé@y.z_x@y.z 4111 1111 1111 1111abc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: {t.term for t in r.terms} for r in pii.disclosures(docs).collect()}
+    assert {i: found[i] for i in range(3)} == dict.fromkeys(range(3), {"wu", "77", "qwertyx", "mail"})
+    # words beside a span count, parts of words that a span cuts don't
+    assert found[5] == found[6] == {"é", "xé"}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[0] == f"  {far}  [EMAIL]" and clean[10] == far + " please"
+
+
 def test_redaction_keeps_rows_and_columns(edge):
     clean = pii.redact(edge, chars_column="n_chars")
     assert clean.columns == edge.columns and clean.count() == edge.count()
