@@ -19,13 +19,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The longest document of each group that is equal but for white space."""
-    return exact_dedup.keep_first(docs, exact_dedup.deduplicate(docs).filter("kept").select("doc_id"))
+    return exact_dedup.keep_rows(docs, lambda rows, name: exact_dedup.deduplicate(rows, name).filter("kept").select("doc_id"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of fingerprints 3 bits apart or less."""
-    groups = simhash.near_duplicates(docs).select(F.col("component_id").alias("doc_id")).distinct()
-    return exact_dedup.keep_first(docs, groups)
+    """The document of smallest id of each component of fingerprints 3 bits apart or less, one without an id if all are."""
+    return exact_dedup.keep_rows(docs, lambda rows, name: simhash.near_duplicates(rows, id_column=name).select(F.col("component_id").alias("doc_id")).distinct())
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ An empty table gives no rows. Other columns, whatever their names, take no part.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -133,3 +134,18 @@ def keep_first(docs: DataFrame, kept: DataFrame, id_column: str = "doc_id", text
     names = [F.col(f"`{n}`") for n in docs.columns]
     first = repeated.withColumn("__at", F.row_number().over(order)).filter("__at <= __n").select(*names)
     return once.join(several, docs[id_column] == several["__id"], "left_anti").unionByName(first)
+
+
+def keep_rows(docs: DataFrame, choose: Callable[[DataFrame, str], DataFrame], id_column: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``choose`` names: of a frame and its id column it gives the ids to keep (doc_id).
+
+    Where ids are null or repeated, rows get an id of their own, (without id, id, number), in the order of the ids with
+    null ones last. It is written, so that a row has the same number wherever it is read.
+    """
+    ids = docs.groupBy(F.col(id_column).alias("__id")).agg(F.count("*").alias("__rows"))
+    if ids.filter("__rows > 1 or __id is null").isEmpty():
+        return docs.join(choose(docs, id_column).select(F.col("doc_id").alias("__id")), docs[id_column] == F.col("__id"), "left_semi")
+    own = F.struct(F.col(id_column).isNull().alias("without_id"), F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("number"))
+    rows = written(docs.withColumn("__row", own), "rows")
+    wanted = choose(rows, "__row").select(F.col("doc_id.number").alias("__number"))
+    return rows.join(wanted, rows["__row"]["number"] == F.col("__number"), "left_semi").select(*(F.col(f"`{n}`") for n in docs.columns))

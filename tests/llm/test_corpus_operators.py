@@ -290,3 +290,17 @@ def test_pipeline_stages(spark, documents, edge):
                 assert all(not plain_spans(r.text) or r.text != own[r.doc_id] for r in rows)
                 assert all(r.text == own[r.doc_id] for r in rows if not plain_spans(own[r.doc_id]))
     assert "sequence_id" in corpus_pipeline.run(spark, SF).columns
+
+
+def test_copies_of_documents_without_ids_of_their_own(spark):
+    different = ["the quick brown fox jumps over a lazy dog", "one two three four five six seven", "rain falls on the plain in spring", "we sell red and blue boats here"]
+    rows = [(None, different[0]), (None, different[1]), (5, different[2]), (5, different[3]), (3, "some copied text of a page"), (7, "some copied  text of a page"), (7, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    exact = corpus_pipeline.exact_copies(spark, docs, SF)
+    wanted = [*different, "some copied  text of a page", "short"]
+    assert sorted(r.text for r in exact.collect()) == sorted(wanted) and exact.columns == docs.columns
+    # the longer copy has id 7, as another text has; drop it by its row, not by its id
+    longer = spark.createDataFrame([(7, "x y"), (3, "x  y"), (7, "z")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.exact_copies(spark, longer, SF).collect()) == [(3, "x  y"), (7, "z")]
+    near = corpus_pipeline.near_copies(spark, docs, SF)
+    assert sorted(r.text for r in near.collect()) == sorted([*different, "some copied text of a page", "short"]) and near.columns == docs.columns
