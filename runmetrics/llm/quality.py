@@ -53,8 +53,12 @@ def _twice(keyed: Column) -> Column:
     return let(F.sort_array(keyed), again)
 
 
-def repeat_words(found: Column, window: int = WINDOW) -> Column:
-    """How many of the words ``found`` are in windows that occur twice or more."""
+def repeat_words(words_of: Column, window: int = WINDOW) -> Column:
+    """How many words of an array are in windows that occur twice or more."""
+    return let(words_of, lambda found: _repeat_words(found, window))
+
+
+def _repeat_words(found: Column, window: int) -> Column:
     def at(place: Column) -> list[Column]:
         return [F.get(found, place + k) for k in range(window)]
 
