@@ -15,6 +15,7 @@ from ..functions.template import fill
 from ..functions.text import sanitize_filename
 from ..functions.times import clock_text
 from ..operators.reports import SEPARATOR, report_file_name
+from .snapshots import SnapshotLog
 
 # Formats a metrics table can be written in.
 FORMATS = ("json", "csv", "parquet", "orc")
@@ -29,17 +30,26 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith("version="))
 
 
+def _claimed(spark: SparkSession, path: str) -> int:
+    """The next version of an output, taken in its log, so that no other writer gets the same number."""
+    log = SnapshotLog(spark, path)
+    while True:
+        version = max([0, *_versions(spark, path), *log.versions()]) + 1
+        if log.commit(version, {"folder": f"version={version}"}):
+            return version
+
+
 def write(
     df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet", keep_previous: bool = False,
     compression: str | None = None, partition_by: Sequence[str] = (),
 ) -> str:
     """Write a table; returns the folder written. Missing folders are created.
 
-    ``keep_previous`` adds the next ``version=`` folder instead of replacing the content.
+    ``keep_previous`` adds the next ``version=`` folder instead of replacing the content. Several writers may do so at
+    once: each gets a number of its own.
     """
     if keep_previous:
-        versions = _versions(df.sparkSession, path)
-        path = f"{path.rstrip('/')}/version={(versions[-1] + 1) if versions else 1}"
+        path = f"{path.rstrip('/')}/version={_claimed(df.sparkSession, path)}"
         mode = "errorifexists"
     writer = df.write.mode(mode).format(fmt)
     if compression:
