@@ -14,7 +14,8 @@ Places inside base spans are not repeated. Documents without a base span get no
 
 Null and empty texts have no spans and stay as they are. Positions are code points, ends exclusive. Rows that repeat an
 id count as one document and share their disclosing terms; each gets a row. Null ids are an id like any other. An empty
-table gives no rows. Other columns are passed by ``redact`` and take no part.
+table gives no rows. Other columns are passed by ``redact`` and take no part. Texts are worked through whole, very long
+ones too; a text and the arrays of its words and spans are one row.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def valid(kind: str, value: Column) -> Column:
 def base_spans(text: Column) -> Column:
     """The base spans of a text, an array of (kind, start, end, value) in the order of the kinds."""
     hint = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]")}
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
+    none = F.array().cast(_SPANS)
 
     def of(kind: str) -> Column:
         found = F.filter(matches(text, F.lit(PATTERNS[kind])), lambda m: valid(kind, m["value"]))
@@ -144,45 +145,80 @@ def _outside(text: Column, spans: Column) -> Column:
     return let(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), build)
 
 
-def _source(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).alias("doc_id"), whole(text_column).alias("text"))
+_TERMS = "array<struct<term:string,removed:boolean>>"
+_SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
-def disclosures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", generalise: float = GENERALISE,
-                remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """(doc_id, terms): the disclosing terms of each document that has any, as an array of (term, removed)."""
-    source = _source(docs, id_column, text_column)
-    spans = source.withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0)
+def _marked(docs: DataFrame, id_column: str, text_column: str, whole_texts: bool) -> DataFrame:
+    """``docs`` with __base, the base spans, and __shared, whether other rows have the same id; written.
+
+    Without ``whole_texts`` the text is left out of rows that can't get more spans: those without a base span, unless
+    they share their id.
+    """
+    ids = docs.groupBy(F.struct(F.col(id_column).alias("id")).alias("__id")).agg(F.count("*").alias("__rows"))
+    repeated = written(ids.filter("__rows > 1").select("__id"), "repeated")
+    own = F.struct(F.col(id_column).alias("id"))
+    rows = docs.withColumn("__shared", F.lit(False)) if repeated.isEmpty() else docs.join(
+        repeated.withColumn("__shared", F.lit(True)), own == F.col("__id"), "left").drop("__id").withColumn("__shared", F.col("__shared").isNotNull())
+    text = whole(text_column)
+    based = rows.withColumn("__base", F.when(text.rlike("[@+0-9]"), base_spans(text)).otherwise(F.array().cast(_SPANS)))
+    if not whole_texts:
+        based = based.withColumn(text_column, F.when((F.size("__base") > 0) | F.col("__shared"), F.col(text_column)))
+    return written(based, "marked")
+
+
+def _disclosed(docs: DataFrame, marked: DataFrame, id_column: str, text_column: str, generalise: float, remove: float, support: int) -> DataFrame:
+    """(doc, terms): the disclosing terms of each document (a struct of its id) that has any, as an array of (term, removed).
+
+    Entities of the same documents are one class, and so are terms of the same documents with entities and equal D(t):
+    they are judged alike, so evidence is gathered for pairs of classes.
+    """
+    doc = F.struct(F.col(id_column).alias("id")).alias("doc")
+    spans = marked.filter(F.size("__base") > 0)
     entity = lambda s: F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], r"[^0-9.]+", "")))
     held = written(spans.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.array_distinct(F.transform("spans", entity)).alias("entities"),
-        _words(_outside(F.col("text"), F.col("spans"))).alias("terms")), "held")
-    # a null id is a document, too; countDistinct would pass over it
-    one = F.struct(F.col("doc_id"))
-    each = held.select("row", "doc_id", F.explode("entities").alias("entity"))
-    documents = each.select("entity", one.alias("doc")).distinct().groupBy("entity").agg(F.count("*").alias("d_c")).filter(F.col("d_c") >= support)
-    total = source.agg(F.count("*").alias("n")).first()["n"]
+        F.monotonically_increasing_id().alias("row"), doc, F.array_distinct(F.transform("__base", entity)).alias("entities"),
+        _words(_outside(whole(text_column), F.col("__base"))).alias("terms")), "held")
+    hashes = [F.bit_xor(F.xxhash64(F.lit(seed), "doc")).alias(f"x{seed}") for seed in (1, 2)]
+    each = held.select("row", "doc", F.explode("entities").alias("entity"))
+    documents = each.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("d_c"), *hashes).filter(F.col("d_c") >= support).select(
+        "entity", "d_c", F.struct("d_c", "x1", "x2").alias("entities"))
+    total = docs.count()
     # D(c,t) is D(c) at most, so a term of more documents than this can't reach the share (with room for rounding)
     most = F.col("d_c") * F.pow(F.lit(float(max(total, 1))) / F.col("d_c"), F.lit(1.0 - generalise)) * (1 + 1e-9)
-    owners = written(each.join(documents, "entity").withColumn("most", most), "owners")
+    owners = written(each.join(documents, "entity").withColumn("most", most).select("row", "doc", "entities", "most").distinct(), "owners")
     bounds = owners.groupBy("row").agg(F.max("most").alias("bound"))
-    terms = held.join(bounds, "row").select("row", "bound", F.explode("terms").alias("term"))
+    terms = held.join(bounds, "row").select("row", "doc", "bound", F.explode("terms").alias("term"))
     wanted = written(terms.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= support).select("term"), "wanted")
-    spread = written(source.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("d_t")).join(wanted, "term"), "spread")
-    rare = terms.join(spread, "term").filter("d_t <= bound").select("row", "term", "d_t")
-    evidence = written(owners.join(rare, "row").filter("d_t <= most").select("doc_id", "entity", "term", "d_c", "d_t").distinct(), "evidence")
-    pairs = evidence.groupBy("entity", "term", "d_c", "d_t").agg(F.count("*").alias("d_ct")).filter(F.col("d_ct") >= support)
-    information = F.log2(F.lit(total) / F.col("d_c"))
+    spread = docs.select(F.explode(_words(whole(text_column))).alias("term")).groupBy("term").agg(F.count("*").alias("d_t")).join(wanted, "term")
+    rare = written(terms.join(spread, "term").filter("d_t <= bound").select("row", "doc", "term", "d_t"), "rare")
+    alike = written(rare.select("term", "d_t", "doc").distinct().groupBy("term", "d_t").agg(*hashes).select(
+        "term", F.struct("d_t", "x1", "x2").alias("terms")), "alike")
+    named = written(rare.join(alike, "term").select("row", "doc", "term", "terms"), "named")
+    evidence = written(owners.join(named.select("row", "terms").distinct(), "row").filter(F.col("terms.d_t") <= F.col("most")).select(
+        "doc", "entities", "terms").distinct(), "evidence")
+    pairs = evidence.groupBy("entities", "terms").agg(F.count("*").alias("d_ct")).filter(F.col("d_ct") >= support)
+    d_c, d_t = F.col("entities.d_c"), F.col("terms.d_t")
+    information = F.log2(F.lit(total) / d_c)
     # rows that repeat an id may hold the term in fewer rows than documents, so D(t) is at least D(c,t)
-    shared = F.log2(F.lit(total) * F.col("d_ct") / (F.col("d_c") * F.greatest("d_t", "d_ct")))
+    shared = F.log2(F.lit(total) * F.col("d_ct") / (d_c * F.greatest(d_t, "d_ct")))
     judged = written(pairs.withColumn("share", F.when(information > 0, shared / information).otherwise(F.lit(0.0)))
-                     .filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed")), "judged")
-    own = evidence.select("doc_id", "entity", "term").join(judged, ["entity", "term"]).select("doc_id", "term", "removed")
+                     .filter(F.col("share") >= generalise).select("entities", "terms", (F.col("share") >= remove).alias("removed")), "judged")
+    own = evidence.join(judged, ["entities", "terms"]).groupBy("doc", "terms").agg(F.max("removed").alias("removed")).join(
+        named.select("doc", "terms", "term").distinct(), ["doc", "terms"]).select("doc", "term", "removed")
     # rows that repeat an id share the terms of all entities of the id
-    repeated = source.groupBy(one.alias("doc")).agg(F.count("*").alias("n")).filter("n > 1").select("doc")
-    others = owners.select("doc_id", "entity", one.alias("doc")).distinct().join(repeated, "doc", "left_semi").join(judged, "entity").select("doc_id", "term", "removed")
-    of_each = own.unionByName(others).groupBy("doc_id", "term").agg(F.max("removed").alias("removed"))
-    return written(of_each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", "removed"))).alias("terms")), "disclosures")
+    repeated = marked.filter("__shared").select(doc).distinct()
+    others = owners.select("doc", "entities").distinct().join(repeated, "doc", "left_semi").join(judged, "entities").join(alike, "terms").select("doc", "term", "removed")
+    of_each = own.unionByName(others).groupBy("doc", "term").agg(F.max("removed").alias("removed"))
+    return written(of_each.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("term", "removed"))).alias("terms")), "disclosures")
+
+
+def disclosures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", generalise: float = GENERALISE,
+                remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+    """(doc_id, terms): the disclosing terms of each document that has any, as an array of (term, removed)."""
+    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    found = _disclosed(narrow, _marked(narrow, "doc_id", "text", False), "doc_id", "text", generalise, remove, support)
+    return found.select(F.col("doc.id").alias("doc_id"), "terms")
 
 
 def lookup(names: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
@@ -199,27 +235,32 @@ def lookup(names: Column, body: Callable[[Callable[[Column], Column]], Column])
 
 def term_spans(text: Column, terms: Column, base: Column) -> Column:
     """Places of disclosing terms outside base spans, as (kind, start, end, value)."""
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
+    none = F.array().cast(_SPANS)
     found = lookup(F.transform(terms, lambda t: t["term"]), lambda known: F.filter(matches(text, F.lit(_WORD)), lambda m: let(F.lower(m["value"]), known)))
     free = F.filter(found, lambda m: ~F.exists(base, lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
     located = F.transform(free, lambda m: F.struct(F.lit(TERM).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-    return F.when(F.size(F.coalesce(terms, F.array().cast("array<struct<term:string,removed:boolean>>"))) > 0, located).otherwise(none)
+    return F.when(F.size(F.coalesce(terms, F.array().cast(_TERMS))) > 0, located).otherwise(none)
+
 
+def with_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", whole_texts: bool = True) -> DataFrame:
+    """All columns of ``docs``, then __text, __base, __terms (disclosing terms) and __term_spans.
 
-def with_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", disclosed: DataFrame | None = None) -> DataFrame:
-    """All columns of ``docs``, then __text, __base, __terms (disclosing terms) and __term_spans."""
-    disclosed = disclosures(docs, id_column, text_column) if disclosed is None else disclosed
-    terms = disclosed.select(F.col("doc_id").alias("__id"), F.col("terms").alias("__terms"))
-    joined = docs.join(terms, docs[id_column].eqNullSafe(terms["__id"]), "left").drop("__id").withColumn("__text", whole(text_column))
-    based = joined.withColumn("__base", F.when(F.col("__terms").isNotNull() | F.col("__text").rlike("[@+0-9]"), base_spans(F.col("__text"))).otherwise(
-        F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")))
-    return based.withColumn("__term_spans", term_spans(F.col("__text"), F.col("__terms"), F.col("__base")))
+    Base spans are found once and written. Rows that can have no disclosing terms take no part in a join; without
+    ``whole_texts`` their text is null.
+    """
+    marked = _marked(docs, id_column, text_column, whole_texts)
+    disclosed = _disclosed(docs, marked, id_column, text_column, GENERALISE, REMOVE, SUPPORT).select(F.col("doc").alias("__doc"), F.col("terms").alias("__terms"))
+    may = (F.size("__base") > 0) | F.col("__shared")
+    joined = marked.filter(may).join(disclosed, F.struct(F.col(id_column).alias("id")) == F.col("__doc"), "left").drop("__doc", "__shared")
+    alone = marked.filter(~may).drop("__shared").withColumn("__terms", F.lit(None).cast(_TERMS))
+    rows = joined.unionByName(alone).withColumn("__text", whole(text_column))
+    return rows.withColumn("__term_spans", term_spans(F.col("__text"), F.col("__terms"), F.col("__base")))
 
 
 def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, base and terms: the spans of every document as arrays of (kind, start, end, value)."""
-    narrow = _source(docs, id_column, text_column)
-    return with_spans(narrow).select("doc_id", F.col("__base").alias("base"), F.col("__term_spans").alias("terms"))
+    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    return with_spans(narrow, whole_texts=False).select("doc_id", F.col("__base").alias("base"), F.col("__term_spans").alias("terms"))
 
 
 def described(spans: Column) -> Column:
@@ -253,7 +294,7 @@ def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """``docs`` with the text of documents that hold personal data cleaned; ``chars_column``, if given, follows the text."""
     names = docs.columns
     found = with_spans(docs, id_column, text_column)
-    terms = F.coalesce("__terms", F.array().cast("array<struct<term:string,removed:boolean>>"))
+    terms = F.coalesce("__terms", F.array().cast(_TERMS))
     touched = F.size("__base") > 0
     clean = F.when(touched, cleaned(F.col("__text"), F.concat("__base", "__term_spans"), terms)).otherwise(F.col(f"`{text_column}`"))
     result = found.withColumn("__clean", clean).withColumn("__touched", touched)

@@ -181,6 +181,57 @@ def test_terms_disclose_from_anywhere_in_the_text(spark):
     assert clean[0] == f"  {far}  [EMAIL]" and clean[10] == far + " please"
 
 
+def plain_disclosures(rows):
+    """The disclosing terms of each document by plain counts, for ids that don't repeat."""
+    word = re.compile(r"[^\W_]+")
+    n, held, words = len(rows), defaultdict(set), defaultdict(set)
+    near = {}
+    for doc, text in rows:
+        spans = {(kind, m.start(), m.end(), m.group()) for kind, pattern in PATTERNS.items() for m in re.finditer(pattern, text) if kind == "email"}
+        for _, _, _, value in spans:
+            held[value.lower()].add(doc)
+        for w in {w.lower() for w in word.findall(text)}:
+            words[w].add(doc)
+        if spans:
+            near[doc] = {m.group().lower() for m in word.finditer(text) if not any(m.start() < e and s < m.end() for _, s, e, _ in spans)}
+    found = defaultdict(dict)
+    for docs_c in held.values():
+        if len(docs_c) >= 2 and n > len(docs_c):
+            for t in set().union(*(near[d] for d in docs_c)):
+                both = {d for d in docs_c if t in near[d]}
+                share = np.log2(n * len(both) / (len(docs_c) * max(len(words[t]), len(both)))) / np.log2(n / len(docs_c))
+                if len(both) >= 2 and share >= pii.GENERALISE:
+                    for d in both:
+                        found[d][t] = found[d].get(t, False) or bool(share >= pii.REMOVE)
+    return {d: set(terms.items()) for d, terms in found.items()}
+
+
+def test_terms_equal_plain_counts(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(600):
+        words = [f"word{rnd.randrange(60)}" for _ in range(15)]
+        for person in rnd.sample(range(40), rnd.randrange(0, 3)):
+            words[rnd.randrange(15)] = f"p{person}x@mail.org"
+            words += [f"nick{person}", f"team{person // 4}"][:rnd.randrange(3)]
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, "list " + " ".join(f"m{k}q@list.org" for k in range(100)) + " of " + " ".join(f"only{k}" for k in range(120))) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: {(t.term, t.removed) for t in r.terms} for r in pii.disclosures(docs).collect()}
+    assert found == plain_disclosures(rows) and len(found) > 50
+    assert len(found[1000]) == 122
+
+
+def test_pairs_of_classes_not_of_entities_and_terms(spark):
+    rows = [(i, " ".join(f"m{k}q@list.org" for k in range(100)) + " " + " ".join(f"only{k}" for k in range(120))) for i in range(2)] + [(i, "other text") for i in range(10, 60)]
+    pii.disclosures(spark.createDataFrame(rows, "doc_id long, text string"))
+    import glob
+    import os
+    from runmetrics.session import shared_dir
+    latest = max(glob.glob(f"{shared_dir(spark)}/evidence-*"), key=os.path.getmtime)
+    assert spark.read.parquet(latest).count() == 2  # a row a document: one class of entities, one of terms
+
+
 def test_redaction_keeps_rows_and_columns(edge):
     clean = pii.redact(edge, chars_column="n_chars")
     assert clean.columns == edge.columns and clean.count() == edge.count()
