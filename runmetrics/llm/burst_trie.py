@@ -96,7 +96,7 @@ def burst(turns: DataFrame, members: DataFrame, capacity: int) -> _Depths:
     kind = members.schema["rep"].dataType
     least = members.agg(F.min("rep").alias("rep")).first()["rep"]
     root = F.lit(None).cast(kind) if least is None else F.struct(F.lit(least["absent"]).alias("absent"), F.lit(least["id"]).cast(kind["id"].dataType).alias("id"))
-    held = reps.select("rep", "weight", "n", root.alias("head"), F.lit(None).cast(kind).alias("up"), F.lit(0).cast("long").alias("last"))
+    held = written(reps.select("rep", "weight", "n", root.alias("head"), F.lit(None).cast(kind).alias("up"), F.lit(0).cast("long").alias("last")), "suffixes")
     depths, depth = None, 0
     while True:
         sizes = held.groupBy("head").agg(F.count("*").alias("classes"), F.sum(F.col("n") - depth + 1).alias("rows")).select(
@@ -108,7 +108,8 @@ def burst(turns: DataFrame, members: DataFrame, capacity: int) -> _Depths:
         moved = depths.at(depth).filter(F.col("big") & (F.col("n") > depth)).select("rep", "weight", "n", F.col("head").alias("up")).join(
             turns.filter(F.col("at") == depth).select(F.col("conv").alias("rep"), "id", F.col("chars").alias("last")), "rep")
         moved = written(moved, "moved")
-        heads = moved.groupBy("up", "id").agg(F.min("rep").alias("head"))
+        # written, so that the join may deal out a turn id that very many classes share
+        heads = written(moved.groupBy("up", "id").agg(F.min("rep").alias("head")), "next")
         held = moved.join(heads, ["up", "id"]).select("rep", "weight", "n", "head", "up", "last")
         depth += 1
 
