@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, Window, functions as F, types as T
 
 from ..session import shared_dir, stored
+from .cycles import components
 from .results import critical_tasks
 
 
@@ -87,63 +88,12 @@ def dag_levels(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> Dat
     return nodes.select(key, "task").join(freed, [key, "task"], "left")
 
 
-def _held(edges: DataFrame, key: str, end: str, by: str) -> DataFrame:
-    """Edges whose ``end`` task is the ``by`` task of some edge."""
-    others = edges.select(key, F.col(by).alias(end)).distinct()
-    return edges.join(others, [key, end], "left_semi").select(key, "src", "dst")
-
-
-def _trimmed(edges: DataFrame, key: str, before: int = -1) -> tuple[DataFrame, int]:
-    """Edges that start at no task without dependencies and end at no task without dependents, and their number.
-
-    ``before`` of them are known to be trimmed; when there are as many, none was dropped since.
-    """
-    rounds = _Rounds(edges)
-    size = rounds.add(edges)
-    while size and size != before:
-        left = rounds.latest()
-        size, before = rounds.add(_held(_held(left, key, "src", "dst"), key, "dst", "src")), size
-    return rounds.latest(), size
-
-
-def _named(edges: DataFrame, key: str) -> DataFrame:
-    """For every task the smallest task that leads to it (``first``) and that it leads to (``last``), itself included."""
-    ends = edges.select(key, F.explode(F.array("src", "dst")).alias("task")).distinct()
-    labels = ends.select(key, "task", F.col("task").alias("first"), F.col("task").alias("last"), F.lit(True).alias("changed"))
-    rounds = _Rounds(labels, "changed")
-    smaller = lambda c: F.coalesce(F.col(f"__{c}") < F.col(c), F.lit(False))
-    while rounds.add(labels):
-        own = rounds.latest()
-        moved = own.filter("changed")
-        down = moved.select(key, F.col("task").alias("src"), "first").join(edges, [key, "src"]).select(
-            key, F.col("dst").alias("task"), "first", F.lit(None).cast(own.schema["last"].dataType).alias("last"))
-        up = moved.select(key, F.col("task").alias("dst"), "last").join(edges, [key, "dst"]).select(
-            key, F.col("src").alias("task"), F.lit(None).cast(own.schema["first"].dataType).alias("first"), "last")
-        heard = down.unionByName(up).groupBy(key, "task").agg(F.min("first").alias("__first"), F.min("last").alias("__last"))
-        labels = own.join(heard, [key, "task"], "left").select(
-            key, "task", F.least("first", "__first").alias("first"), F.least("last", "__last").alias("last"),
-            (smaller("first") | smaller("last")).alias("changed"))
-    return rounds.latest().select(key, "task", "first", "last")
-
-
 def dag_cycles(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
-    """Tasks on a cycle: those that lead to themselves. Tasks between two cycles are on none.
+    """Tasks on a cycle, those that lead to themselves, and the component each is in, named after its smallest task.
 
-    Trimming leaves cycles and what lies between them. The two ends of an edge on a cycle are led to by the same tasks
-    and lead to the same ones, so edges whose ends differ in the smallest of these are on no cycle and are dropped.
-    When nothing more can be dropped, the smallest task of each connected rest leads to all of it and back.
+    Tasks between two cycles are on none.
     """
-    core, size = _trimmed(known_edges(nodes, edges, key).distinct(), key)
-    while size:
-        names = _named(core, key)
-        start = names.select(key, F.col("task").alias("src"), F.struct("first", "last").alias("__from"))
-        end = names.select(key, F.col("task").alias("dst"), F.struct("first", "last").alias("__to"))
-        kept = core.join(start, [key, "src"]).join(end, [key, "dst"]).filter(F.col("__from") == F.col("__to")).select(key, "src", "dst")
-        core, left = _trimmed(kept, key, size)
-        if left == size:
-            break
-        size = left
-    return core.select(key, F.explode(F.array("src", "dst")).alias("task")).distinct()
+    return components(known_edges(nodes, edges, key).distinct(), key)
 
 
 def neighbours(edges: DataFrame, direction: str = "dependents", key: str = "workflow") -> DataFrame:

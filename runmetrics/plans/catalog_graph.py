@@ -37,7 +37,10 @@ add(
 add(
     "G3_cycles",
     lambda spark, sf: dag.dag_cycles(*_declared(spark, sf)),
-    "select workflow, task from declared_cyclic", ("declared_cyclic",),
+    """select c.workflow, c.task, least(c.task, coalesce(min(r.dst), c.task)) as component
+       from declared_cyclic c left join declared_reach r on r.workflow = c.workflow and r.src = c.task
+            and exists (select 1 from declared_reach b where b.workflow = r.workflow and b.src = r.dst and b.dst = c.task)
+       group by c.workflow, c.task""", ("declared_cyclic", "declared_reach"),
 )
 add(
     "G2_levels_with_cycles",

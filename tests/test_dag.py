@@ -4,7 +4,7 @@ import random
 from frames import rows
 from pyspark.sql import functions as F
 
-from runmetrics.operators import dag, validation
+from runmetrics.operators import cycles, dag, validation
 from runmetrics.plans import tables
 
 
@@ -123,6 +123,45 @@ def test_cycles_equal_brute_force(spark):
         assert rows(dag.dag_cycles(n, e), "task") == sorted((a,) for a in names if a in reach[a])
 
 
+def plain_components(names, edges):
+    reach = {a: {b for x, b in edges if x == a} for a in names}
+    for _ in names:
+        reach = {a: found.union(*(reach[b] for b in found)) if found else found for a, found in reach.items()}
+    return sorted((a, min(b for b in names if b in reach[a] and a in reach[b])) for a in names if a in reach[a])
+
+
+def test_components_equal_brute_force(spark):
+    rnd = random.Random(2)
+    graphs = []
+    for size, links in ((10, 12), (25, 30), (25, 60), (40, 46), (30, 120)):
+        names = [f"t{i:03d}" for i in range(size)]
+        graphs.append((names, sorted({(rnd.choice(names), rnd.choice(names)) for _ in range(links)})))
+    ring = [f"t{i:03d}" for i in range(30)]
+    graphs.append((ring, [*zip(ring, ring[1:] + ring[:1]), ("t003", "t003"), ("t005", "t001")]))
+    two = [*zip(ring[:9], ring[1:9] + ring[:1]), *zip(ring[20:], ring[21:] + ring[20:21]), *zip(ring[8:20], ring[9:21])]
+    graphs.append((ring, two))
+    dense = [f"t{i:03d}" for i in range(16)]  # every task has several of both, between two knots that don't lead back
+    knots = [(a, b) for part in (dense[:5], dense[5:10], dense[10:]) for a in part for b in part if a != b]
+    graphs.append((dense, sorted({*knots, *((a, b) for a in dense[:5] for b in dense[5:7]), *((a, b) for a in dense[7:10] for b in dense[10:12])})))
+    parts = [_graph(spark, names, edges, f"w{i}") for i, (names, edges) in enumerate(graphs)]
+    n, e = parts[0]
+    for more_n, more_e in parts[1:]:
+        n, e = n.unionByName(more_n), e.unionByName(more_e)
+    found = rows(dag.dag_cycles(n, e), "workflow", "task", "component")
+    assert found == sorted((f"w{i}", *row) for i, (names, edges) in enumerate(graphs) for row in plain_components(names, edges))
+
+
+def test_chains_and_rings_take_few_rounds_and_rows(spark):
+    names = [f"t{i:03d}" for i in range(200)]
+    chain = list(zip(names, names[1:]))
+    for edges, cyclic in ((chain, 0), ([*chain, (names[-1], names[0])], 200)):
+        seen = []
+        _, e = _graph(spark, names, edges)
+        found = cycles.components(e, on_round=lambda number, size, seen=seen: seen.append(size)).collect()
+        assert len(found) == cyclic and {r.component for r in found} <= {"t000"}
+        assert len(seen) <= 40 and sum(seen) <= 6 * len(names)
+
+
 def _written(spark, name):
     from runmetrics.session import shared_dir
     import glob
