@@ -4,12 +4,12 @@ A word's score for a language is the log probability of its letter sequences, le
 script of a word narrows the candidates to the languages that use it. Viterbi with a penalty for each switch then gives
 every word its language, and runs of words of one language are spans.
 
-The model is fitted on at most about ``SAMPLE`` labelled documents of each language, chosen by the hash of their id; it
+The model is fitted on at most about ``SAMPLE`` labelled documents of each language, chosen by a hash of id and text; it
 has ``BUCKETS`` numbers a language, so its size is bounded. Languages are the values of ``lang``; these are few.
 
 A text that is null, empty or without letters gets ``und`` and score 0, as does every text when nothing was learned.
 Otherwise the language with most letters in its spans wins, of equal ones the first by name; the score is its share of
-the letters. Texts are read whole. Repeated rows give repeated results, an empty table none; other columns take no
+the letters, without those in scripts that it doesn't use. Texts are read whole. Repeated rows give repeated results, an empty table none; other columns take no
 part, and ``lang`` only in learning.
 """
 
@@ -36,6 +36,7 @@ LEAST_SCORE = 0.3
 UNDECIDED = "und"
 REMEMBERED = 250_000
 RUN = 4_000_000
+_STEPS = 1 << 62
 
 # First characters of the Unicode ranges of scripts.
 SCRIPTS = (
@@ -131,6 +132,11 @@ class Model:
         return np.where(allowed, scores, scores.min(axis=1, keepdims=True) - np.float32(2 * PENALTY))
 
 
+def share(sample: int, size: int) -> int:
+    """How many of ``_STEPS`` hash values choose about ``sample`` of ``size`` rows: one at least."""
+    return max(1, _STEPS * sample // size)
+
+
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE) -> Model:
     """Learn from all rows of ``docs`` with a language, or from about ``sample`` of each language where there are more."""
     known = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).filter(
@@ -139,11 +145,11 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     langs = sorted(sizes)
     grams_of, scripts_of = np.zeros((len(langs), BUCKETS)), np.zeros((len(langs), len(SCRIPT_NAMES)))
     rare = [lang for lang in langs if sizes[lang] <= sample]
-    hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000))
+    hashed = F.xxhash64(F.col("doc_id").cast("string"), "text").bitwiseAND(F.lit(_STEPS - 1))
     chosen = F.col("lang").isin(rare)
     for lang in langs:
         if sizes[lang] > sample:
-            chosen = chosen | ((F.col("lang") == lang) & (hashed < int(1_000_000 * sample / sizes[lang])))
+            chosen = chosen | ((F.col("lang") == lang) & (hashed < share(sample, sizes[lang])))
     counts = (known.filter(chosen).select("lang", "text").mapInArrow(_counts, "lang string, kind int, key int, n double")
               .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
     table = counts.toPandas()  # at most (BUCKETS + scripts) rows a language
@@ -195,6 +201,7 @@ class Labeller:
         self.known: dict[str, int] = {}  # words as they stand in texts
         self.rows: dict[str, int] = {"": 0}  # their letters; row 0 is for words without any
         self.scores, self.sizes = np.zeros((1, len(self.model.langs)), np.float32), np.zeros(1, np.int64)
+        self.uses = np.zeros((1, len(self.model.langs)), bool)
 
     def _learn(self, words: set[str]):
         missing = list(words.difference(self.known))
@@ -208,6 +215,7 @@ class Labeller:
         if new:
             self.rows.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
             self.scores = np.concatenate([self.scores, self.model.score(new)])
+            self.uses = np.concatenate([self.uses, self.model.uses[Features(new).scripts]])
             self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), np.int64, len(new))])
         self.known.update(zip(missing, map(self.rows.__getitem__, stripped)))
 
@@ -235,7 +243,8 @@ class Labeller:
             cuts = np.r_[0, np.flatnonzero(states[1:] != states[:-1]) + 1, n]
             spans = ",".join(f"{langs[states[a]]}:{a}:{b}" for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()))
             top = int(shares.argmax())
-            out.append((langs[top], float(shares[top] / total), spans))
+            known = weights[(states == top) & self.uses[ids[begin:begin + n], top]].sum()
+            out.append((langs[top], float(known / total), spans))
         return out
 
 

@@ -165,13 +165,27 @@ def test_language_of_held_out_documents(spark):
     assert [s.split(":")[0] for s in spans.split(",")] == ["en", "de"]
 
 
+def test_scripts_that_no_language_uses_are_rejected(spark, documents):
+    model = langid.fit(documents)
+    texts = ["これは日本語の文章です。漢字も少しあります。", "Это русский текст о погоде", "the and of that with is for", "the and of that with is これは日本語の文章ですがながい"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in langid.keep_identified(docs, model).collect()) == [2, 3]
+    assert langid.keep_identified(documents, model).count() == documents.filter("text rlike '[a-zA-Z]'").count()
+
+
+def test_the_sample_share_is_never_nothing():
+    assert langid.share(10_000, 10 ** 30) == 1
+    for size in (10_001, 10 ** 10, 10 ** 13):
+        assert abs(langid.share(10_000, size) / langid._STEPS * size - 10_000) < 1
+
+
 def test_language_of_edge_cases(spark, edge):
     model = langid.fit(edge)
     assert model.langs == ["en", "es"]
     found = {(r.doc_id, r.lang_pred) for r in langid.predict(edge, model).collect()}
     assert {(0, "und"), (1, "und"), (2, "und"), (11, "und"), (None, "und")} <= found
     kept = langid.keep_identified(edge, model)
-    assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} == {d for d, lang in found if lang != "und"}
+    assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} == {d for d, lang in found if lang != "und"} - {12}  # Greek isn't learned
     nothing = langid.fit(edge.limit(0))
     assert {r.lang_pred for r in langid.predict(edge, nothing).collect()} == {"und"} and langid.predict(edge.limit(0), model).count() == 0
     one = langid.fit(edge, sample=1)
