@@ -10,8 +10,8 @@ The rotation and the centroids are fitted on at most about ``SAMPLE`` vectors, c
 vector is indexed. A query looks into the lists with the nearest centroids. How many is fitted, too: as many as it takes
 for ``TARGET`` of the nearest neighbours within the sample to lie in them (in all data neighbours are no farther, so the
 share found is no lower). Lists are split into blocks of about
-``BLOCK`` vectors and the queries of a list into blocks of ``QUERIES``, by the hash of the id, so that no task meets more
-than one block of each, also when a third of all vectors are one and the same.
+``BLOCK`` vectors and the queries of a list into blocks of ``QUERIES``, by the place of the row, so that no task meets more
+than one block of each, also when a third of all vectors, or of all ids, are one and the same.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an id.
 Vectors of different dimensions are never compared; those of a dimension that the sample misses are one list.
@@ -40,9 +40,16 @@ WIDTH = 3.0
 _SLACK = 1e-4  # of single precision in the estimates
 _ROUNDS = 8
 _TRIED = 400
+_STEPS = 1 << 62
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near one: cosines stay the same to the bit."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
+    vectors = _scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
@@ -168,20 +175,26 @@ def _search(index: Index, k: int):
     def work(key: tuple, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[np.ndarray, ...]] = []
         if len(queries) and len(block):
-            vectors, wanted = np.stack(block["vector"].to_numpy()).astype(float), np.stack(queries["vector"].to_numpy()).astype(float)
+            vectors, wanted = (_scaled(np.stack(side["vector"].to_numpy()).astype(float)) for side in (block, queries))
             codes = np.frombuffer(b"".join(block["code"]), np.uint8).reshape(len(block), -1)
             ids, own, lengths, factors = block["id"].to_numpy(), queries["id"].to_numpy(), block["length"].to_numpy(), block["factor"].to_numpy()
             norms = np.sqrt((vectors * vectors).sum(axis=1))
+            known, which = np.unique(ids, return_inverse=True)
             for at in range(0, len(queries), 128):
                 part = wanted[at:at + 128]
                 estimate, error = index.bounds(codes, lengths, factors, _units(part), int(key[1]))
                 for row, query in enumerate(part):
                     low, high = estimate[row] - error[row], estimate[row] + error[row]
                     low[ids == own[at + row]] = high[ids == own[at + row]] = -np.inf
-                    floor = np.partition(low, -k)[-k] if len(low) > k else -np.inf
+                    lows = low
+                    if len(known) < len(ids):  # an id that is repeated fills one place only
+                        lows = np.full(len(known), -np.inf)
+                        np.maximum.at(lows, which, low)
+                    floor = np.partition(lows, -k)[-k] if len(lows) > k else -np.inf
                     rows = np.flatnonzero((high >= floor) & (high > -np.inf))
                     exact = (vectors[rows] * query).sum(axis=1) / (norms[rows] * math.sqrt((query * query).sum()))
-                    best = np.lexsort((ids[rows], -exact))[:k]
+                    best = np.lexsort((ids[rows], -exact))
+                    best = best[np.sort(np.unique(ids[rows][best], return_index=True)[1])[:k]]
                     found.append((np.full(len(best), own[at + row]), ids[rows][best], exact[best]))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
         return pd.DataFrame({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
@@ -195,18 +208,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, target: floa
     source = (vectors.filter(usable(F.col(vector_column)) & F.col(id_column).isNotNull())
               .select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"), is_query.alias("asks")))
     total = source.count()
-    hashed = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-    fitted = source.filter(hashed < math.ceil(1_000_000 * sample / max(total, 1))).select("id", "vector").toPandas()  # about ``sample`` rows
+    hashed = F.xxhash64("id").bitwiseAND(F.lit(_STEPS - 1))
+    # about ``sample`` ids, one vector each
+    fitted = source.filter(hashed < min(_STEPS, _STEPS * sample // max(total, 1) + 1)).groupBy("id").agg(F.min("vector").alias("vector")).toPandas()
     index = Index([np.asarray(v) for v in fitted.sort_values("id", kind="stable")["vector"]], min(LISTS, max(1, round(math.sqrt(total)))), k, target)
+    salt = F.xxhash64(F.monotonically_increasing_id())  # rows are dealt to blocks by their place, so that rows of one id are, too
     coded = written(source.select("id", "vector").mapInArrow(
-        _indexed(index), "id long, vector array<double>, dim int, list int, code binary, length double, factor double"), "codes")
-    routed = written(source.filter("asks").select("id", "vector").mapInArrow(_routed(index), "id long, vector array<double>, dim int, list int"), "queries")
+        _indexed(index), "id long, vector array<double>, dim int, list int, code binary, length double, factor double").withColumn("salt", salt), "codes")
+    routed = written(source.filter("asks").select("id", "vector").mapInArrow(_routed(index), "id long, vector array<double>, dim int, list int").withColumn("salt", salt), "queries")
     # a row for each list: how many blocks of vectors and of queries it has
     sizes = (coded.groupBy("dim", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
              .join(routed.groupBy("dim", "list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("asked")), ["dim", "list"]))
     span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    spread = coded.join(sizes, ["dim", "list"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("turn", F.explode(span("asked")))
-    asked = routed.join(sizes, ["dim", "list"]).withColumn("turn", F.pmod(F.xxhash64("id"), F.col("asked")).cast("int")).withColumn("block", F.explode(span("blocks")))
+    spread = coded.join(sizes, ["dim", "list"]).withColumn("block", F.pmod("salt", F.col("blocks")).cast("int")).withColumn("turn", F.explode(span("asked")))
+    asked = routed.join(sizes, ["dim", "list"]).withColumn("turn", F.pmod("salt", F.col("asked")).cast("int")).withColumn("block", F.explode(span("blocks")))
     keys = ["dim", "list", "block", "turn"]
     found = asked.select(*keys, "id", "vector").groupBy(*keys).cogroup(
         spread.select(*keys, "id", "vector", "code", "length", "factor").groupBy(*keys)).applyInPandas(_search(index, k), "query_id long, vec_id long, score double")

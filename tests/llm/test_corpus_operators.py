@@ -320,6 +320,22 @@ def test_nearest_edge_cases(spark, monkeypatch):
     assert ann.nearest(table.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_a_repeated_id_takes_one_place(spark):
+    rnd = random.Random(7)
+    rows = [(7, [1.0, 0.001 * i, 0.0]) for i in range(10)] + [(7, [1.0, 0.0, 0.0])] * 30 + [(i, [1.0, rnd.random(), rnd.random()]) for i in range(20, 50)] + [(50, [1.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plain = plain_nearest(rows, lambda i: i % 50 == 0)
+    found = ann.nearest(table, F.col("vec_id") % 50 == 0, target=1.0).collect()
+    assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == [i for _, i in plain[50]] and len(found) == 5
+
+
+def test_very_large_and_small_vectors(spark):
+    rows = [(i, [x * scale for x in (1.0, 0.1 * i, 0.05 * i * i)]) for i, scale in zip(range(12), [1e300, 1e-300, 1.0, 1e160, 1e-170, 3.0] * 2)]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, target=1.0).collect()
+    plain = plain_nearest([(i, [1.0, 0.1 * i, 0.05 * i * i]) for i in range(12)], lambda i: i % 5 == 0)
+    assert {(r.query_id, r["rank"]): r.vec_id for r in found} == {(q, n + 1): i for q, near in plain.items() for n, (_, i) in enumerate(near)}
+
+
 def test_pipeline_stages(spark, documents, edge):
     for docs in (documents, edge.select(*documents.columns), documents.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
