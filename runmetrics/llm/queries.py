@@ -25,7 +25,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_decode(table(spark, sf_dir, "documents"), with_ids=False)
+    return pieces.encode_decode(table(spark, sf_dir, "documents"))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
