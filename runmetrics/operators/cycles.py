@@ -31,16 +31,13 @@ def _rank(number: int, key: str, task: str) -> Column:
     return F.xxhash64(F.lit(number), F.col(key), F.col(task))
 
 
-def _marked(edges: DataFrame, key: str, number: int, by: str) -> DataFrame:
-    """Edges between tasks that have both kinds of neighbours, and what becomes of them.
+def merge_singles(held: DataFrame, key: str, number: int, by: str) -> DataFrame:
+    """Edges and what becomes of them when tasks with one neighbour are merged into it.
 
-    ``by`` is the end whose tasks are merged if they have one neighbour (dst: by predecessors). ``single``: the task at
-    that end has one; ``gone``: it is merged along this edge; ``into``: the task that the other end is merged into.
+    ``by`` is the end whose tasks are merged (dst: those with one predecessor). ``single``: the task at that end has one
+    neighbour; ``gone``: it is merged along this edge; ``into``: the task that the other end is merged into.
     """
     other = "src" if by == "dst" else "dst"
-    led = edges.select(key, F.col("dst").alias("src")).distinct()
-    leading = edges.select(key, F.col("src").alias("dst")).distinct()
-    held = edges.join(led, [key, "src"], "left_semi").join(leading, [key, "dst"], "left_semi")
     alone = held.groupBy(key, by).agg(F.count("*").alias("n"), F.min(other).alias("near")).filter("n = 1").select(key, F.col(by).alias("task"), "near")
     # the neighbour's neighbour, and whether that has a single neighbour, too
     second = alone.select(key, F.col("task").alias("near"), F.col("near").alias("far"))
@@ -55,7 +52,15 @@ def _marked(edges: DataFrame, key: str, number: int, by: str) -> DataFrame:
         key, "src", "dst", F.col("__merges").isNotNull().alias("single"), F.coalesce("__merges", F.lit(False)).alias("gone"), "into")
 
 
-def _contracted(marked: DataFrame, key: str, by: str) -> DataFrame:
+def _marked(edges: DataFrame, key: str, number: int, by: str) -> DataFrame:
+    """Edges between tasks that have both kinds of neighbours, marked as by ``merge_singles``."""
+    led = edges.select(key, F.col("dst").alias("src")).distinct()
+    leading = edges.select(key, F.col("src").alias("dst")).distinct()
+    held = edges.join(led, [key, "src"], "left_semi").join(leading, [key, "dst"], "left_semi")
+    return merge_singles(held, key, number, by)
+
+
+def contracted(marked: DataFrame, key: str, by: str) -> DataFrame:
     """The edges after the merges of a round."""
     other = "src" if by == "dst" else "dst"
     moved = marked.filter("not gone").withColumn(other, F.coalesce("into", other)).select(key, *ENDS)
@@ -115,7 +120,7 @@ def components(edges: DataFrame, key: str = "workflow", on_round: Callable[[int,
             on_round(number, found["edges"])
         if not found["edges"]:
             break
-        left = _contracted(marked, key, by)
+        left = contracted(marked, key, by)
         idle = 0 if found["single"] else idle + 1
         if idle == 2:
             left, labels, dropped = _split(marked.select(key, *ENDS), key)
@@ -131,6 +136,42 @@ def components(edges: DataFrame, key: str = "workflow", on_round: Callable[[int,
     return whole.join(names, [key, "component"]).groupBy(key, "task").agg(F.min("__name").alias("component"))
 
 
+def reached(edges: DataFrame, sources: DataFrame, key: str = "workflow", on_round: Callable[[int, int], object] | None = None) -> DataFrame:
+    """(key, task) of the sources and of all tasks they lead to.
+
+    A round takes the tasks that the last ones lead to, and drops their edges and those of tasks that nothing leads to
+    any more. Of the rest, tasks with a single predecessor are merged into it: they are reached if it is. So each round
+    reads what is still open only, and a chain takes as many rounds as the logarithm of its length.
+    """
+    new = stored(sources.select(key, "task").distinct(), "reached")
+    open_ = edges.select(key, *ENDS).filter("src <> dst").distinct().join(new.select(key, F.col("task").alias("dst")), [key, "dst"], "left_anti").select(key, *ENDS)
+    parts, merges, number = [new], [], 0
+    while True:
+        open_ = stored(open_, "open")
+        seen = Observation()
+        before = new
+        new = stored(open_.join(before.select(key, F.col("task").alias("src")), [key, "src"], "left_semi").select(
+            key, F.col("dst").alias("task")).distinct().observe(seen, F.count("*").alias("n")), "reached")
+        if not seen.get["n"]:
+            break
+        parts.append(new)
+        rest = open_.join(before.select(key, F.col("task").alias("src")), [key, "src"], "left_anti").join(
+            new.select(key, F.col("task").alias("dst")), [key, "dst"], "left_anti")
+        led = rest.select(key, F.col("dst").alias("src")).unionByName(new.select(key, F.col("task").alias("src"))).distinct()
+        size = Observation()
+        marked = stored(merge_singles(rest.join(led, [key, "src"], "left_semi"), key, number, "dst").observe(
+            size, F.count("*").alias("edges"), F.count_if("gone").alias("gone")), "contraction")
+        if size.get["gone"]:
+            merges.append(marked.filter("gone").select(key, F.col("dst").alias("task"), F.col("src").alias("into")))
+        if on_round:
+            on_round(number, size.get["edges"])
+        open_, number = contracted(marked, key, "dst"), number + 1
+    for merged in reversed(merges):
+        known = functools.reduce(DataFrame.unionByName, parts).select(key, F.col("task").alias("into"))
+        parts.append(stored(merged.join(known, [key, "into"], "left_semi").select(key, "task"), "reached"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _unrolled(rounds: list[tuple[DataFrame, str, int, int]], named: DataFrame, key: str) -> DataFrame:
     """(key, task, component) of the tasks that are in the component of another task, from the last round to the first.
 

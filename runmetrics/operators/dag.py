@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, Window, functions as F, types as T
 
 from ..session import shared_dir, stored
-from .cycles import components
+from .cycles import components, reached
 from .results import critical_tasks
 
 
@@ -141,8 +141,9 @@ def dag_reach(edges: DataFrame, sources: DataFrame, key: str = "workflow", label
     ``sources`` has (key, task). With ``label`` it also has that column, and tasks are
     found for every label on its own.
     """
-    ids = [key] + ([label] if label else [])
-    return _reached(edges, sources.select(*ids, "task").distinct(), [*ids, "task"], key)
+    if not label:
+        return reached(edges, sources, key)
+    return _reached(edges, sources.select(key, label, "task").distinct(), [key, label, "task"], key)
 
 
 def _reached(edges: DataFrame, start: DataFrame, ids: list[str], key: str, still_open=lambda found, df: df) -> DataFrame:
@@ -170,9 +171,9 @@ def has_dependency_path(edges: DataFrame, pairs: DataFrame, key: str = "workflow
         unanswered = asked.filter(F.col("task") != F.col("origin")).join(found, [key, "origin", "task"], "left_anti").select(key, "origin").distinct()
         return frontier.join(unanswered, [key, "origin"], "left_semi")
 
-    reached = _reached(edges, start, [key, "origin", "task"], key, still_open).select(
+    hits = _reached(edges, start, [key, "origin", "task"], key, still_open).select(
         key, "task", F.col("origin").alias("other"), F.lit(True).alias("__hit"))
-    return pairs.join(reached, [key, "task", "other"], "left").select(
+    return pairs.join(hits, [key, "task", "other"], "left").select(
         *pairs.columns, (F.coalesce("__hit", F.lit(False)) | (F.col("task") == F.col("other"))).alias("depends"))
 
 
@@ -182,9 +183,8 @@ def dag_unreachable(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -
     A task with declared dependencies is no root, even when those are undefined.
     """
     roots = dag_roots(nodes, edges, key)
-    reached = dag_reach(edges, roots, key)
     rooted = roots.select(key).distinct()
-    return nodes.select(key, "task").join(reached, [key, "task"], "left_anti").join(rooted, key, "left_semi")
+    return nodes.select(key, "task").join(dag_reach(edges, roots, key), [key, "task"], "left_anti").join(rooted, key, "left_semi")
 
 
 def dag_shape(levels: DataFrame, key: str = "workflow") -> DataFrame:

@@ -77,15 +77,15 @@ add(
 
 
 def _paths(spark, sf):
-    pairs = t.nodes(spark, sf).withColumn("other", F.lit(2))
+    pairs = t.nodes(spark, sf).withColumn("other", F.explode(F.array(F.lit(2), F.lit(3), F.col("task") - 1)))
     return dag.has_dependency_path(t.edges(spark, sf), pairs, KEY)
 
 
 add(
     "G5_dependency_path", _paths,
-    """select n.run_id, n.task, 2 as other, n.task = 2 or exists (
-              select 1 from closure c where c.run_id = n.run_id and c.src = 2 and c.dst = n.task) as depends
-       from nodes n""".replace(
+    """select n.run_id, n.task, n.other, n.task = n.other or exists (
+              select 1 from closure c where c.run_id = n.run_id and c.src = n.other and c.dst = n.task) as depends
+       from (select run_id, task, unnest([2, 3, task - 1]) as other from nodes) n""".replace(
         "closure c", """(with recursive closure as (
              select run_id, src, dst from edges union
              select c.run_id, c.src, e.dst from closure c join edges e on e.run_id = c.run_id and e.src = c.dst) select * from closure) c"""),

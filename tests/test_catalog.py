@@ -11,6 +11,7 @@ from runmetrics.plans import catalog
 SF = "/root/testdata/sf0.001"
 SAMPLE = (
     "P7_project_runs P9_apply_filters P10_runs_triggering P21_critical_runs J2_fill_skipped J4_dependencies_met J5_latest_per_task "
+    "J5_kept_results D6_kept_run_facts A3_stored_metrics A4_stored_totals A13_stored_breakdown G9_unreachable "
     "J7_verify_manifest J8_route_reports A3_execution_metrics A4_running_totals A6_performance_by_task_type A8_top_workflows "
     "A9_failure_patterns A13_breakdown D6_run_facts W1_retain_last_per_type W4_trends W5_retry_schedule W6_concurrency_profile "
     "W7_rate_limited W8_rotation_plan G3_cycles G5_dependency_path G13_skip_propagation A14_validate_definitions U3_merge_maps "

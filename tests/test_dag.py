@@ -1,3 +1,4 @@
+import functools
 import os
 import random
 
@@ -113,14 +114,44 @@ def test_declared_definitions_hold_every_mistake(spark):
 
 def test_cycles_equal_brute_force(spark):
     rnd = random.Random(9)
+    expected, frames = [], []
     for size, links in ((12, 14), (30, 40), (60, 75)):
         names = [f"t{i:03d}" for i in range(size)]
         edges = sorted({(rnd.choice(names), rnd.choice(names)) for _ in range(links)})
         reach = {a: {b for x, b in edges if x == a} for a in names}
         for _ in names:
             reach = {a: found.union(*(reach[b] for b in found)) if found else found for a, found in reach.items()}
-        n, e = _graph(spark, names, edges)
-        assert rows(dag.dag_cycles(n, e), "task") == sorted((a,) for a in names if a in reach[a])
+        frames.append(_graph(spark, names, edges, f"w{size}"))
+        expected += [(f"w{size}", a) for a in names if a in reach[a]]
+    n, e = (functools.reduce(lambda x, y: x.unionByName(y), side) for side in zip(*frames))
+    assert rows(dag.dag_cycles(n, e), "workflow", "task") == sorted(expected)
+
+
+def test_reached_tasks_equal_brute_force(spark):
+    rnd = random.Random(4)
+    expected, frames, starts = [], [], []
+    for size, links in ((12, 10), (30, 40), (60, 75), (40, 39)):
+        names, w = [f"t{i:03d}" for i in range(size)], f"w{size}"
+        edges = sorted({(rnd.choice(names), rnd.choice(names)) for _ in range(links)}) if links != 39 else list(zip(names, names[1:]))
+        roots = rnd.sample(names, 2) if links != 39 else names[:1]
+        found = set(roots)
+        for _ in names:
+            found |= {b for a, b in edges if a in found}
+        frames.append(_graph(spark, names, edges, w))
+        starts += [(w, r) for r in roots]
+        expected += [(w, t) for t in found]
+    e = functools.reduce(lambda x, y: x.unionByName(y), [f[1] for f in frames])
+    sources = spark.createDataFrame(starts, "workflow string, task string")
+    assert rows(dag.dag_reach(e, sources), "workflow", "task") == sorted(expected)
+
+
+def test_reach_reads_what_is_open(spark):
+    names = [f"t{i:03d}" for i in range(200)]
+    _, e = _graph(spark, names, [*zip(names, names[1:]), ("t150", "t020"), ("lost", "t199"), ("lost", "found")])
+    seen = []
+    sources = spark.createDataFrame([("w", "t000")], "workflow string, task string")
+    assert cycles.reached(e, sources, on_round=lambda number, size: seen.append(size)).count() == 200
+    assert len(seen) <= 30 and sum(seen) <= 4 * len(names)
 
 
 def plain_components(names, edges):
