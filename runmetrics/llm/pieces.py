@@ -49,6 +49,8 @@ class Vocabulary:
         self.unknown = min((score for _, score in pieces.values()), default=0.0) - UNKNOWN
         self.texts = {i: piece for piece, (i, _) in pieces.items()}
         self.byte_of = {i: byte for byte, i in enumerate(byte_ids)}
+        # an ASCII byte is a character wherever it stands
+        self.plain = self.texts | {i: chr(byte) for i, byte in self.byte_of.items() if byte < 128}
         self.separate = not any(BLANK in piece.lstrip(BLANK) for piece in pieces)
         self.memory = Memory(REMEMBERED)
         self.trie: dict = {}
@@ -141,13 +143,15 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.units(text) for text in texts]
         known = self.memory.results(set().union(*split), lambda units: [array("I", self.search(BLANK + unit)).tobytes() for unit in units]).__getitem__
-        return [np.frombuffer(b"".join(map(known, units)), "<u4") for units in split]
+        return [np.frombuffer(b"".join(map(known, units)), "<i4") for units in split]
 
     def decode(self, ids: np.ndarray) -> str:
+        ids = ids.tolist()
+        found = list(map(self.plain.get, ids))
+        if None not in found:  # no bytes of longer characters
+            return "".join(found).replace(BLANK, " ")[1:]
         parts, raw = [], bytearray()
-        texts = self.texts
-        for i in ids.tolist():
-            piece = texts.get(i)
+        for i, piece in zip(ids, found):
             if piece is None:
                 raw.append(self.byte_of[i])
                 continue
@@ -170,7 +174,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_column: str = "do
         def each(texts):
             for text, ids in zip(texts, vocabulary.encode(texts)):
                 decoded = vocabulary.decode(ids)
-                rest = (len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text)
+                rest = (len(ids), zlib.crc32(ids), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text)
                 yield (ids, decoded, *rest) if with_ids else rest
 
         return each
