@@ -194,23 +194,38 @@ class RateLimits:
         return [(span, limit) for span, limit in limits if limit is not None]
 
 
-def rate_limited(reports: DataFrame, limits: RateLimits, keys: Sequence[str] = ("channel",), at: str = "generated_at") -> DataFrame:
+def rate_limited(
+    reports: DataFrame, limits: RateLimits, keys: Sequence[str] = ("channel",), at: str = "generated_at",
+    per_key: Mapping[str, RateLimits] | None = None,
+) -> DataFrame:
     """Flag the reports that come when a limit is already used up.
 
     A report is allowed when the reports of its key in the last minute, hour and day, its
     own second included, are within the limits. Reports are counted per second first, so
-    a key with most of the reports is one short row per second.
+    a key with most of the reports is one short row per second. ``per_key`` has the limits
+    of single values of the first key, as of channels; ``limits`` hold for all others.
     """
-    keys, spans = list(keys), limits.spans()
+    own = {value: dict(of.spans()) for value, of in (per_key or {}).items()}
+    common = dict(limits.spans())
+    keys, spans = list(keys), sorted({*common, *(span for of in own.values() for span in of)})
     if not spans:
         return reports.withColumn("allowed", F.lit(True))
     stamped = reports.withColumn("__second", F.unix_seconds(F.col(at)))
     ticks = stamped.groupBy(*keys, "__second").agg(F.count("*").alias("__n"))
-    counted = trailing_counts(ticks, keys, "__second", "__n", [span for span, _ in spans])
+    counted = trailing_counts(ticks, keys, "__second", "__n", spans)
+
+    def within(span: int) -> Column:
+        used = F.col(f"last_{span}s")
+        test = lambda of: used <= of[span] if span in of else F.lit(True)
+        out = test(common)
+        for value, of in own.items():
+            out = F.when(F.col(keys[0]) == value, test(of)).otherwise(out)
+        return out
+
     allowed = F.lit(True)
-    for span, limit in spans:
-        allowed = allowed & (F.col(f"last_{span}s") <= limit)
+    for span in spans:
+        allowed = allowed & within(span)
     # Null keys are a key like any other; a report without a time is kept, undecided.
     return join_null_safe(stamped, counted, [*keys, "__second"]).select(
-        *reports.columns, *[f"last_{span}s" for span, _ in spans], allowed.alias("allowed")
+        *reports.columns, *[f"last_{span}s" for span in spans], allowed.alias("allowed")
     )

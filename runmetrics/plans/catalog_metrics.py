@@ -8,7 +8,7 @@ from ..functions import status as st
 from ..functions.times import period_bounds, period_start, utc
 from ..operators import metrics, retry, routing
 from . import tables as t
-from .oracle import add, rounded, sql_ts, ts
+from .oracle import ORACLE, QUERIES, add, rounded, sql_ts, ts
 
 # The registered queries look at fixed periods of the data instead of "now".
 START, END = "1997-01-01 00:00:00", "1999-01-01 00:00:00"
@@ -329,10 +329,10 @@ add(
 )
 
 
-def _limited(spark, sf):
+def _limited(spark, sf, per_key=None):
     reports = t.load(spark, sf, "events").select("event_id", F.col("event_type").alias("channel"), F.col("ts").alias("generated_at"))
     limits = routing.RateLimits(per_minute=1, per_hour=4, per_day=70)
-    return routing.rate_limited(reports, limits).select("event_id", "channel", "last_60s", "last_3600s", "last_86400s", "allowed")
+    return routing.rate_limited(reports, limits, per_key=per_key).select("event_id", "channel", "last_60s", "last_3600s", "last_86400s", "allowed")
 
 
 add(
@@ -344,6 +344,12 @@ add(
                     count(*) over (partition by event_type order by epoch(date_trunc('second', ts)) range between 86399 preceding and current row) as last_86400s
              from events) x""",
 )
+_BY_CHANNEL = {"click": routing.RateLimits(per_hour=2), "view": routing.RateLimits(per_minute=2, per_day=60), "error": routing.RateLimits()}
+ORACLE["W7_limits_by_channel"] = ORACLE["W7_rate_limited"].replace(
+    "last_60s <= 1 and last_3600s <= 4 and last_86400s <= 70 as allowed",
+    """case channel when 'click' then last_3600s <= 2 when 'view' then last_60s <= 2 and last_86400s <= 60 when 'error' then true
+            else last_60s <= 1 and last_3600s <= 4 and last_86400s <= 70 end as allowed""")
+QUERIES["W7_limits_by_channel"] = lambda spark, sf: _limited(spark, sf, _BY_CHANNEL)
 add(
     "W9_retain_days",
     lambda spark, sf: metrics.retain_days(t.runs(spark, sf), 30, utc("2001-07-01")).select("run_id", ts("start_time").alias("start_time")),

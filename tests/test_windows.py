@@ -1,6 +1,7 @@
 """The split windows against plain ones, with one key holding most rows."""
 
 import random
+from collections import Counter
 
 from frames import rows
 from pyspark.sql import Window, functions as F
@@ -70,3 +71,13 @@ def test_running_runs_trigger_nothing(spark):
     runs = spark.createDataFrame([(1, "wf", "running"), (2, "wf", "success"), (3, None, None)], "run_id int, workflow_name string, status string")
     found = routing.runs_triggering(runs, [routing.Route("all", trigger_on_workflow_completion=True)])
     assert sorted(r.run_id for r in found.collect()) == [2, 3]
+
+
+def test_channels_have_limits_of_their_own(spark):
+    rows_of = [(i, c, f"2024-01-01 00:00:{i:02d}") for c in ("mail", "chat", "log", None) for i in range(4)]
+    reports = spark.createDataFrame(rows_of, "id int, channel string, generated_at string").withColumn("generated_at", F.col("generated_at").cast("timestamp"))
+    own = {"chat": routing.RateLimits(per_hour=3), "log": routing.RateLimits()}
+    found = routing.rate_limited(reports, routing.RateLimits(per_minute=1), per_key=own).filter("allowed").collect()
+    assert Counter(r.channel for r in found) == {"mail": 1, None: 1, "chat": 3, "log": 4}
+    untimed = reports.limit(1).withColumn("generated_at", F.lit(None).cast("timestamp"))
+    assert routing.rate_limited(untimed, routing.RateLimits(per_minute=1), per_key=own).first().allowed is None
