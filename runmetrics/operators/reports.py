@@ -171,8 +171,11 @@ def report_nested_summary(nested: DataFrame, template: str = "default", at: Colu
     return _run_summaries(rows, template, at)
 
 
-def report_nested_detailed(nested: DataFrame, template: str = "default", at: Column | None = None) -> DataFrame:
-    """The detailed report of runs that carry their tasks, row by row; the run's entries are as long as its tasks are."""
+def report_nested_detailed(nested: DataFrame, template: str = "default", at: Column | None = None, filters: Filters = Filters()) -> DataFrame:
+    """The detailed report of runs that carry their tasks, row by row; the run's entries are as long as its tasks are.
+
+    Entries are made for the tasks that pass ``filters``; the counts of the head are those of all tasks.
+    """
 
     def entry(task: Column) -> Column:
         def has(name: str) -> bool:
@@ -195,7 +198,9 @@ def report_nested_detailed(nested: DataFrame, template: str = "default", at: Col
     rows = nested.select("*", *nested_summary("tasks"))
     head = _detailed_head()
     foot = _metadata_lines("## Workflow Metadata\n", _optional(nested, "metadata", "map<string,string>"), "- {{key}}: {{value}}\n")
-    content = F.concat(head, F.array_join(F.transform(F.coalesce("tasks", F.array().cast(nested.schema["tasks"].dataType)), entry), ""), F.coalesce(foot, F.lit("")))
+    tasks = F.coalesce("tasks", F.array().cast(nested.schema["tasks"].dataType))
+    shown = F.filter(tasks, lambda task: F.coalesce(task_filter(filters, lambda name: task[name]), F.lit(False)))
+    content = F.concat(head, F.array_join(F.transform(shown, entry), ""), F.coalesce(foot, F.lit("")))
     title = fill("Detailed Workflow Report: {{n}} - {{s}}", n="workflow_name", s="status")
     metadata = _metadata("detailed", template, workflow_name=F.col("workflow_name"), run_id=F.col("run_id"), task_count=F.col("total_tasks"))
     keys = [c for c in ("run_id", "route") if c in rows.columns]

@@ -146,7 +146,10 @@ def report_nested_routes(
     nested: DataFrame, routes: Sequence[routing.Route], named: Mapping[str, str] | None = None,
     variables: Mapping[str, str] | None = None, at: Column | None = None, read: Callable[[str], str] | None = None,
 ) -> DataFrame:
-    """The same for runs that carry their tasks: row by row, so it also works on a stream."""
+    """The same for runs that carry their tasks: row by row, so it also works on a stream.
+
+    Detailed reports show the tasks that pass the filters of their route.
+    """
     at = F.current_timestamp() if at is None else at
     parts = []
     for generator in sorted({r.generator_type for r in routes}):
@@ -154,6 +157,9 @@ def report_nested_routes(
         triggered = routing.runs_triggering(nested, own)
         if generator == TEMPLATE:
             parts.append(report_templates(triggered.select("*", *nested_summary("tasks")), "run", own, route_texts(own, named, read), variables, at))
+        elif generator == "detailed":
+            for r in own:
+                parts.append(reports.report_nested_detailed(triggered.filter(F.col("route") == r.name), at=at, filters=r.filters))
         elif generator in reports.NESTED_GENERATORS:
             parts.append(reports.NESTED_GENERATORS[generator](triggered, at=at))
         else:

@@ -6,7 +6,7 @@ expressions, so matching them costs no join, whatever the size of the results.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -68,20 +68,19 @@ def _canonical(names: Iterable[str]) -> list[str]:
     return ["".join("_" + c.lower() if c.isupper() and i else c.lower() for i, c in enumerate(n)) for n in names]
 
 
-def task_filter(f: Filters) -> Column:
-    """Tasks a report shows. Durations count in whole seconds; an unknown one passes."""
+def task_filter(f: Filters, of: Callable[[str], Column] = F.col) -> Column:
+    """Tasks a report shows. Durations count in whole seconds; an unknown one passes. ``of`` finds a field of the task."""
     keep = F.lit(True)
     if f.task_status is not None:
-        keep = keep & F.col("status").isin(*_canonical(f.task_status))
+        keep = keep & of("status").isin(*_canonical(f.task_status))
     if f.task_types is not None:
-        keep = keep & F.col("task_type").isin(*f.task_types)
-    seconds = whole_seconds("duration_ms")
+        keep = keep & of("task_type").isin(*f.task_types)
     if f.min_duration_seconds is not None:
-        keep = keep & F.coalesce(seconds >= f.min_duration_seconds, F.lit(True))
+        keep = keep & F.coalesce(whole_seconds(of("duration_ms")) >= f.min_duration_seconds, F.lit(True))
     if f.max_duration_seconds is not None:
-        keep = keep & F.coalesce(seconds <= f.max_duration_seconds, F.lit(True))
+        keep = keep & F.coalesce(whole_seconds(of("duration_ms")) <= f.max_duration_seconds, F.lit(True))
     if f.tags:
-        keep = keep & tags_match("metadata", f.tags)
+        keep = keep & tags_match(of("metadata"), f.tags)
     return keep
 
 

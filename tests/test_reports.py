@@ -117,3 +117,21 @@ def test_routes_make_their_kind_of_report(spark):
     assert "### ❌ b" in made.filter("route = 'd'").first().content and " a (" not in made.filter("route = 'd'").first().content
     off = route_reports.report_routes("run", facts, routes, t, at=utc(AT), switches=routing.Switches(workflow_completion_reports=False))
     assert off.count() == 0
+
+
+def test_nested_detailed_reports_follow_the_filters_of_their_route(spark):
+    made = [task("r", f"t{i}", "failed" if i % 2 else "success", i, seconds=float(i), metadata={"team": "a" if i < 4 else "b"}) for i in range(8)]
+    facts, t = _facts(spark, made)
+    fields = [c for c in t.columns if c not in ("run_id", "workflow_name", "ordinal")]
+    nested = t.groupBy("run_id").agg(F.collect_list(F.struct(*fields)).alias("tasks"))
+    whole = facts.drop("total_tasks", "successful_tasks", "failed_tasks", "skipped_tasks", "cancelled_tasks", "success_rate").join(nested, "run_id")
+    routes = [
+        routing.Route("all", "detailed", trigger_on_workflow_completion=True),
+        routing.Route("failed", "detailed", trigger_on_workflow_completion=True, filters=routing.Filters(task_status=["failed"], min_duration_seconds=3)),
+        routing.Route("team", "detailed", trigger_on_workflow_completion=True, filters=routing.Filters(tags={"team": "b"})),
+        routing.Route("short", "summary", trigger_on_workflow_completion=True)]
+    found = {r.route: r.content for r in route_reports.report_nested_routes(whole, routes, at=utc(AT)).collect()}
+    batch = {r.route: r.content for r in route_reports.report_routes("run", facts, routes, t, at=utc(AT)).collect()}
+    shown = lambda text: [i for i in range(8) if f"t{i}" in text]
+    assert shown(found["all"]) == list(range(8)) and shown(found["failed"]) == [3, 5, 7] and shown(found["team"]) == [4, 5, 6, 7]
+    assert all(shown(found[name]) == shown(batch[name]) for name in ("all", "failed", "team"))
