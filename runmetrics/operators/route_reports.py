@@ -145,12 +145,15 @@ def report_routes(
 def report_nested_routes(
     nested: DataFrame, routes: Sequence[routing.Route], named: Mapping[str, str] | None = None,
     variables: Mapping[str, str] | None = None, at: Column | None = None, read: Callable[[str], str] | None = None,
+    switches: routing.Switches = routing.Switches(),
 ) -> DataFrame:
     """The same for runs that carry their tasks: row by row, so it also works on a stream.
 
     Detailed reports show the tasks that pass the filters of their route.
     """
     at = F.current_timestamp() if at is None else at
+    if not switches.of("run"):
+        nested = nested.filter(F.lit(False))
     parts = []
     for generator in sorted({r.generator_type for r in routes}):
         own = [r for r in routes if r.generator_type == generator]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -92,10 +92,13 @@ def stream_failures(tasks: DataFrame, template: str = "default", at: Column | No
 
 def stream_run_reports(
     nested: DataFrame, routes: Sequence[routing.Route], at: Column | None = None, named: Mapping[str, str] | None = None,
-    variables: Mapping[str, str] | None = None,
+    variables: Mapping[str, str] | None = None, read: Callable[[str], str] | None = None, switches: routing.Switches = routing.Switches(),
 ) -> DataFrame:
-    """Reports of finished runs, one per triggered route, by the generator and template that the route names."""
-    return report_nested_routes(nested, routes, named, variables, at)
+    """Reports of finished runs, one per triggered route, by the generator, filters and template that the route names.
+
+    ``read`` gives the text of template files, once when the query starts; ``switches`` may turn the reports off.
+    """
+    return report_nested_routes(nested, routes, named, variables, at, read, switches)
 
 
 def stream_rate_limit(

@@ -143,3 +143,17 @@ def test_failures_and_run_reports(spark, tmp_path):
     found = {r.route: (r.title, r.content) for r in spark.read.parquet(str(tmp_path / "o3")).collect()}
     assert found["all"][0].startswith("Workflow Summary") and found["long"][0].startswith("Detailed Workflow Report")
     assert "- **Total Tasks:** 2\n" in found["long"][1] and " a (command)\n" in found["long"][1] and " b (command)\n" in found["long"][1]
+
+
+def test_run_reports_read_template_files_and_obey_switches(spark, tmp_path):
+    t = tasks(spark, [task("r", "a", "failed", error="E"), task("r", "b", "success")])
+    nested = runs(spark, "r").drop("status").join(
+        t.groupBy("run_id").agg(F.collect_list(F.struct("task_id", "task_type", "status", "error")).alias("tasks")), "run_id").withColumn("status", F.lit("failed"))
+    nested.write.parquet(str(tmp_path / "n"))
+    route = routing.Route("filed", "template", trigger_on_workflow_completion=True, template_file="run.txt")
+    stream = lambda: streams.read_run_stream(spark, str(tmp_path / "n"), nested.schema)
+    streams.write_append(streams.stream_run_reports(stream(), [route], read={"run.txt": "run {{ run_id }}"}.get), str(tmp_path / "o1"), str(tmp_path / "c1")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "o1")), "route", "content") == [("filed", "run r")]
+    off = streams.stream_run_reports(stream(), [route], read={"run.txt": "x"}.get, switches=routing.Switches(workflow_completion_reports=False))
+    streams.write_append(off, str(tmp_path / "o2"), str(tmp_path / "c2")).awaitTermination()
+    assert spark.read.schema(off.schema).parquet(str(tmp_path / "o2")).count() == 0
