@@ -1,14 +1,19 @@
 """Best-fit packing of tokenised documents by hierarchical residual packing.
 
 Each partition tokenises its documents, cuts those over the capacity, and packs the pieces best-fit decreasing into
-bins. Nearly full bins are finished; all others are packed by best fit again, over all partitions at once. Bins of
-equal fill are interchangeable there, so only the number of bins of each fill takes part: at most one row a fill,
-whatever the input. The result is a list of rules, ranks of bins of one fill to places in the packed bins; a bin's rank
-is its place among the bins of its fill in its partition, and the bins of that fill in the partitions before.
+bins. Nearly full bins are finished; the others go up a tree as items. Each node packs the items of ``ARITY`` children
+best-fit decreasing, finishes the nearly full bins and passes the rest on; the root finishes all. Where underfull bins
+hold over a sixteenth of the tokens, as in a partition of few documents, they are taken apart and passed on by the item,
+because small items still fit anywhere.
+
+Items of equal length are interchangeable in a node, so a node works on the counts of its children's items by length:
+at most 1 019 rows a child, whatever the input. It writes steps: which ranks among a child's items of one length go to
+which place of the node's bins. The pieces of unfinished bins then follow the steps of their level by a join.
 
 A null text is empty and is still a document: its one token is the end mark. Documents of more than the capacity are
-cut so that every piece but the first is full. Rows that repeat an id are packed each for itself; an empty table gives
-no rows; other columns take no part.
+cut so that every piece but the first is full, and a text of any length is tokenised whole. Rows that repeat an id are
+packed each for itself; an empty table gives no rows; other columns take no part. A task holds ids, lengths and places
+of the pieces of its partition, about 100 bytes a piece, but no texts or tokens.
 """
 
 from __future__ import annotations
@@ -18,11 +23,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import COMMON, Splitter
 from .common import written
@@ -30,10 +36,11 @@ from .common import written
 CAPACITY = 1024
 END = 2
 NEARLY_FULL = 4  # tokens that may be missing in a finished bin
-CARRIED = 50_000  # rows that one record batch carries
+LOOSE = 16  # underfull bins that hold over one part in so many of a node's tokens are taken apart
+ARITY = 8  # children of a node
+BATCH_ROWS = 50_000
 RANKS = "byte_bpe_50k.tiktoken"
-_PACKED = 1 << 56  # numbers of bins packed from several partitions begin here
-_FILL = 48  # bits of a rank
+_BIN = 40  # bits of a bin's number in its node
 
 
 class Tokens:
@@ -97,95 +104,167 @@ def _pieces(capacity: int):
             return
         rows, piece, start, length, crc = (np.array(c, np.int64) for c in columns)
         which, offset, fills = best_fit(length, capacity)
-        sequence = (TaskContext.get().partitionId() << 32) + which
+        loose = fills[which] < capacity - NEARLY_FULL
+        if LOOSE * length[loose].sum() > length.sum():
+            fills[which[loose]] = 0
+            which[loose], offset[loose] = len(fills) + np.arange(loose.sum()), 0
+            fills = np.append(fills, length[loose])
+        node = TaskContext.get().partitionId()
         order = np.argsort(fills, kind="stable")
         rank = np.empty(len(fills), np.int64)  # of a bin among those of its fill
         rank[order] = np.arange(len(fills)) - np.searchsorted(fills[order], fills[order], side="left")
         ids = pa.chunked_array(ids).combine_chunks()
-        for at in range(0, len(rows), CARRIED):
-            part = slice(at, at + CARRIED)
+        for at in range(0, len(rows), BATCH_ROWS):
+            part = slice(at, at + BATCH_ROWS)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows[part])), pa.array(piece[part], pa.int32()), *(pa.array(c[part]) for c in (start, length, crc, sequence, offset)),
-                 pa.array(fills[which[part]]), pa.array(rank[which[part]])],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill", "rank"])
+                [ids.take(pa.array(rows[part])), pa.array(piece[part], pa.int32()), *(pa.array(c[part]) for c in (start, length, crc, offset)),
+                 pa.array(np.full(len(rows[part]), node)), pa.array(fills[which[part]]), pa.array(rank[which[part]]), pa.array(which[part])],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "offset", "node", "fill", "rank", "bin"])
 
     return work
 
 
-def merge_fills(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Best-fit decreasing of ``counts`` bins of each fill, all bins of one fill and all places of one room at once.
+def merge_fills(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best-fit decreasing of ``counts`` items of each length, all items of one length and all places of one room at once.
 
-    Rows (fill, rank, times, shift, into): from that rank on, each ``times`` bins of the fill go one behind the other to
-    ``shift`` in the packed bins into, into + 1 and so on, up to the next rank of the fill.
+    Moves (length, rank, times, shift, bin): from that rank on, each ``times`` items of the length go one behind the other
+    to ``shift`` in the bins bin, bin + 1 and so on, up to the next rank of the length. Bins (bin, number, fill): the fill
+    of ``number`` bins from that one on.
     """
-    rules = []
+    moves, made = [], 0
     open_at: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by free room: (first bin, number of bins)
-    rooms = made = 0  # bit r of rooms is set when a bin with room r is open
+    rooms = 0  # bit r is set when a bin with room r is open
 
     def put(room: int, first: int, number: int):
         nonlocal rooms
-        if room and number:
+        if number:
             open_at[room].append((first, number))
             rooms |= 1 << room
 
-    for fill in sorted(counts, reverse=True):
-        rank, left = 0, counts[fill]
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
         while left:
-            fitting = rooms >> fill
+            fitting = rooms >> length
             if fitting:
-                room = fill + (fitting & -fitting).bit_length() - 1
+                room = length + (fitting & -fitting).bit_length() - 1
                 first, number = open_at[room].pop()
                 if not open_at[room]:
                     rooms &= ~(1 << room)
             else:
-                room, first, number = capacity, made, -(-left // (capacity // fill))
+                room, first, number = capacity, made, -(-left // (capacity // length))
                 made += number
-            times = room // fill
+            times = room // length
             whole = min(number, left // times)
             if whole:
-                rules.append((fill, rank, times, capacity - room, first))
-                put(room - times * fill, first, whole)
+                moves.append((length, rank, times, capacity - room, first))
+                put(room - times * length, first, whole)
                 rank, left = rank + whole * times, left - whole * times
             if left and whole < number:  # too few for one more bin as full
-                rules.append((fill, rank, left, capacity - room, first + whole))
-                put(room - left * fill, first + whole, 1)
+                moves.append((length, rank, left, capacity - room, first + whole))
+                put(room - left * length, first + whole, 1)
                 left, whole = 0, whole + 1
             put(room, first + whole, number - whole)
-    return np.array(rules, np.int64).reshape(-1, 5)
+    bins = sorted((first, number, capacity - room) for room, ranges in enumerate(open_at) for first, number in ranges)
+    return np.array(moves, np.int64).reshape(-1, 5), np.array(bins, np.int64).reshape(-1, 3)
 
 
-def _placed(rules: np.ndarray, columns: list[str]):
-    """Pieces of underfull bins with the places of the packed ones."""
-    rules = rules[np.lexsort((rules[:, 1], rules[:, 0]))]
+def _steps(moves: np.ndarray, bins: np.ndarray, counts: dict[int, int], full: int) -> tuple[dict[int, list[tuple[int, ...]]], dict[int, int]]:
+    """What becomes of the items of each length, and the number of passed on and finished bins of each fill.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = (rules[:, 0] << _FILL) + rules[:, 1]
-        for batch in batches:
-            fill, rank, before, offset = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fill", "rank", "before", "offset"))
-            rank = rank + before
-            _, start, times, shift, into = rules[np.searchsorted(keys, (fill << _FILL) + rank, side="right") - 1].T
-            which, place = np.divmod(rank - start, times)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(_PACKED + into + which), pa.array(offset + shift + place * fill)], [*columns, "sequence_id", "offset"])
+    The moves cut where the fill of their bins changes: (rank, times, shift, bin, fill, the bin's rank in its fill). Bins
+    that hold less than ``full`` are taken apart: each item is a bin of its own.
+    """
+    ranks, seen = [], {}
+    for _, number, fill in bins.tolist():
+        ranks.append(seen.get(fill, 0))
+        if fill >= full:
+            seen[fill] = ranks[-1] + number
+    steps: dict[int, list[tuple[int, ...]]] = {}
+    moves = moves.tolist()
+    for at, (length, rank, times, shift, first) in enumerate(moves):
+        more = at + 1 < len(moves) and moves[at + 1][0] == length
+        ends = moves[at + 1][1] if more else counts[length]
+        reach = first + -(-(ends - rank) // times)
+        which = int(np.searchsorted(bins[:, 0], first, side="right")) - 1
+        while which < len(bins) and bins[which, 0] < reach:
+            begin, number, fill = bins[which].tolist()
+            into, upto = max(begin, first), min(begin + number, reach)
+            start, end = rank + (into - first) * times, min(ends, rank + (upto - first) * times)
+            if fill >= full:
+                step = start, times, shift, into, fill, ranks[which] + into - begin
+            else:
+                step = start, 1, 0, 0, length, seen.get(length, 0)
+                seen[length] = step[-1] + end - start
+            steps.setdefault(length, []).append(step)
+            which += 1
+    return steps, seen
+
+
+_STEP = ("rank", "times", "shift", "bin", "fill", "place")
+_MERGED = f"node long, fill long, n long, steps array<struct<{', '.join(f'{name}: long' for name in _STEP)}>>"
+
+
+def _merge(capacity: int, root: bool):
+    """For the items of a node's children by (child, fill): steps of each child and fill, and the node's own bins (steps null)."""
+    nearly = capacity - NEARLY_FULL
+
+    def work(parent: tuple, items: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values(["fill", "node"])
+        totals = items.groupby("fill")["n"].sum()
+        counts = dict(zip(totals.index.tolist(), totals.tolist()))
+        moves, bins = merge_fills(counts, capacity)
+        held = bins[:, 1] * bins[:, 2]
+        loose = not root and LOOSE * held[bins[:, 2] < nearly].sum() > held.sum()
+        steps, passed = _steps(moves, bins, counts, nearly if loose else 0)
+        rows = [(int(parent[0]), fill, n, None) for fill, n in passed.items()]
+        for fill, own in items.groupby("fill"):
+            starts = np.array([step[0] for step in steps[fill]])
+            before = 0
+            for node, n in zip(own["node"].tolist(), own["n"].tolist()):
+                # the child's items have the ranks before .. before + n - 1 among those of all children
+                begin, end = np.searchsorted(starts, [before, before + n - 1], side="right") - [1, 0]
+                rows.append((node, fill, n, [dict(zip(_STEP, (rank - before, *rest))) for rank, *rest in steps[fill][begin:end]]))
+                before += n
+        return pd.DataFrame(rows, columns=["node", "fill", "n", "steps"])
 
     return work
 
 
+def _parent() -> Column:
+    return F.expr(f"node div {ARITY}")
+
+
+def _moved(pieces: DataFrame, steps: DataFrame, columns: list[str]) -> DataFrame:
+    """Pieces in the bins of their parent node."""
+    step = F.element_at("steps", F.size(F.filter("steps", lambda s: s["rank"] <= F.col("rank"))))
+    which, place = F.expr("(rank - step.rank) div step.times"), F.expr("(rank - step.rank) % step.times")
+    return pieces.join(steps, ["node", "fill"]).withColumn("step", step).select(
+        *columns, (F.col("offset") + F.col("step.shift") + place * F.col("fill")).alias("offset"), _parent().alias("node"),
+        F.col("step.fill").alias("fill"), (F.col("step.place") + which).alias("rank"), (F.col("step.bin") + which).alias("bin"))
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     columns = {"doc_id": kind, "piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}
-    described = ", ".join(f"{name} {of}" for name, of in columns.items()) + ", sequence_id long, offset long"
-    pieces = written(source.mapInArrow(_pieces(capacity), f"{described}, fill long, rank long"), "pieces")
-    finished = pieces.filter(F.col("fill") >= capacity - NEARLY_FULL).select(*columns, "sequence_id", "offset")
-    underfull = pieces.filter(F.col("fill") < capacity - NEARLY_FULL).withColumn("node", F.shiftright("sequence_id", 32))
+    described = ", ".join(f"{name} {of}" for name, of in columns.items())
+    pieces = written(source.mapInArrow(_pieces(capacity), f"{described}, offset long, node long, fill long, rank long, bin long"), "pieces")
+    full, first = F.col("fill") >= capacity - NEARLY_FULL, 0  # first: number of the level's first node among all nodes
+
+    def finished(rows: DataFrame) -> DataFrame:
+        return rows.select(*columns, (F.shiftleft(F.col("node") + first, _BIN) + F.col("bin")).alias("sequence_id"), "offset")
+
     # each bin has one piece at its begin
-    sizes = written(underfull.filter("offset = 0").groupBy("node", "fill").agg(F.count("*").alias("n")), "fills")
-    counts = {row["fill"]: row["n"] for row in sizes.groupBy("fill").agg(F.sum("n").alias("n")).collect()}  # at most one row a fill
-    if not counts:
-        return finished
-    earlier = Window.partitionBy("fill").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("node", "fill", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return finished.unionByName(underfull.join(before, ["node", "fill"]).select(*columns, "offset", "fill", "rank", "before").mapInArrow(
-        _placed(merge_fills(counts, capacity), list(columns)), described))
+    items = written(pieces.filter(~full & (F.col("offset") == 0)).groupBy("node", "fill").agg(F.count("*").alias("n")), "items")
+    packed, nodes = finished(pieces.filter(full)), pieces.agg(F.max("node")).first()[0]
+    nodes = 0 if nodes is None else nodes + 1
+    while not items.isEmpty():
+        first, nodes = first + nodes, -(-nodes // ARITY)
+        merged = written(items.groupBy(_parent()).applyInPandas(_merge(capacity, nodes == 1), _MERGED), "merged")
+        pieces = written(_moved(pieces.filter(~full), merged.filter("steps is not null").drop("n"), list(columns)), "moved")
+        if nodes == 1:
+            return packed.unionByName(finished(pieces))
+        packed = packed.unionByName(finished(pieces.filter(full)))
+        items = merged.filter(F.col("steps").isNull() & ~full).select("node", "fill", "n")
+    return packed

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -235,9 +236,39 @@ def test_best_fit_places_items_in_the_tightest_bin():
     assert packing.best_fit(np.array([], np.int64), 1024)[2].tolist() == []
 
 
-def test_packing_passes_on_bounded_bins_only(spark, documents, monkeypatch):
-    monkeypatch.setattr(packing, "CARRIED", 1)
-    check_packing(documents, packing.pack(documents.repartition(20)).collect(), packing.Tokens())
+@pytest.mark.parametrize("arity, share", [(2, 1.02), (packing.ARITY, 1.01)])
+def test_packing_by_a_tree_over_small_partitions(spark, documents, monkeypatch, arity, share):
+    monkeypatch.setattr(packing, "ARITY", arity)
+    monkeypatch.setattr(packing, "BATCH_ROWS", 7)
+    small = documents.repartition(-(-documents.count() // 18))
+    sequences, total = check_packing(documents, packing.pack(small).collect(), packing.Tokens())
+    assert sequences <= share * total / 1024 + 1
+
+
+def test_steps_follow_every_item_into_its_bin():
+    random.seed(11)
+    for _ in range(40):
+        items = pd.DataFrame([(node, fill, random.choice([1, 2, 9, 40])) for node in range(8, 11) for fill in random.sample(range(1, 1020), random.randrange(1, 30))],
+                             columns=["node", "fill", "n"])
+        for root in (True, False):
+            out = packing._merge(1024, root)((1,), items)
+            bins = {r.fill: r.n for r in out[out.steps.isna()].itertuples() if r.node == 1}
+            held = {}
+            for r in out[out.steps.notna()].itertuples():
+                for rank in range(r.n):
+                    step = [s for s in r.steps if s["rank"] <= rank][-1]
+                    which, place = divmod(rank - step["rank"], step["times"])
+                    held.setdefault((step["fill"], step["place"] + which), []).append((step["shift"] + place * r.fill, r.fill, step["bin"] + which))
+            assert sorted(held) == sorted((fill, rank) for fill, n in bins.items() for rank in range(n))
+            assert sum(map(len, held.values())) == items["n"].sum()
+            for (fill, _), of in held.items():
+                end = 0
+                for offset, length, _ in sorted(of):
+                    assert offset == end
+                    end += length
+                assert end == fill <= 1024 and len({b for *_, b in of}) == 1
+            finished = [of[0][2] for (fill, _), of in held.items() if root or fill >= 1020]
+            assert len(set(finished)) == len(finished)
 
 
 def test_merged_fills_are_best_fit():
@@ -245,7 +276,7 @@ def test_merged_fills_are_best_fit():
     for _ in range(60):
         counts = {random.randrange(1, 1020): random.choice([1, 2, 7, 60]) for _ in range(random.randrange(1, 40))}
         sizes = np.repeat(list(counts), list(counts.values()))
-        rules = packing.merge_fills(counts, 1024)
+        rules, bins = packing.merge_fills(counts, 1024)
         held = {}
         for fill, rank, times, shift, into in rules.tolist():
             end = min((r for f, r, *_ in rules.tolist() if f == fill and r > rank), default=counts[fill])
@@ -256,11 +287,11 @@ def test_merged_fills_are_best_fit():
             assert ends[-1] <= 1024 and [offset for offset, _ in sorted(items)] == [0, *ends[:-1].tolist()]
         assert sorted(f for items in held.values() for _, f in items) == sorted(sizes.tolist())
         assert sorted(sum(f for _, f in items) for items in held.values()) == sorted(packing.best_fit(sizes, 1024)[2].tolist())
+        assert {b: sum(f for _, f in items) for b, items in held.items()} == {b + i: fill for b, n, fill in bins.tolist() for i in range(n)}
 
 
-def test_packing_merges_all_underfull_bins(spark, monkeypatch):
-    # a document a partition, what fits together far apart; a small bound makes a cap show
-    monkeypatch.setattr(packing, "CARRIED", 1, raising=False)
+def test_packing_merges_all_underfull_bins(spark):
+    # a document a partition, what fits together far apart
     rows = [(i, "a " * (600 if i < 8 else 400)) for i in range(16)]
     tokens = packing.Tokens()
     long, short = len(tokens.ids(rows[0][1])), len(tokens.ids(rows[-1][1]))
