@@ -2,12 +2,13 @@
 
 Words are the runs of a-z, 0-9 and characters beyond ASCII in the text with A-Z lower-cased. Phrases are found where
 their words stand consecutively, at all places, overlapping ones too. ``BASE`` phrases give the base labels and places;
-``NOTICES`` add labels. Behind an identifier tag the rest of the line is read as an expression of and, or, with and
-brackets; its licences add labels, and ``permissive`` says whether it allows a choice of permissive licences alone
-(null without a valid expression). ``score`` is the share of words inside found phrases.
+``NOTICES`` add labels. Behind an identifier tag the longest begin of the line that is an expression of known licences,
+and, or, with and brackets counts, whatever prose follows; its licences add labels, and ``permissive`` says whether it
+allows a choice of permissive licences alone (null without an expression). ``score`` is the share of words inside found
+phrases.
 
-Null texts count as empty: no words, no labels (empty strings), score 0. Texts are scanned whole. Expressions that can't
-be parsed are counted in ``malformed`` and skipped. Repeated rows give repeated results, an empty table none; other
+Null texts count as empty: no words, no labels (empty strings), score 0. Texts are scanned whole. Tags without an
+expression behind them are counted in ``malformed``. Repeated rows give repeated results, an empty table none; other
 columns take no part.
 """
 
@@ -42,13 +43,24 @@ NOTICES = {
 }
 TAGS = ("spdx-license-identifier:", "spdx-license-expression:", "license-expression:")
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "zlib", "unlicense", "cc0", "0bsd")
+# Families of the public licence list, without versions and variants behind a hyphen.
+FAMILIES = (
+    "0bsd", "aal", "afl", "agpl", "apache", "apl", "apsl", "artistic", "bittorrent", "blueoak", "bsd", "bsl", "bzip2", "cal", "catosl", "cc-by", "cc0",
+    "cddl", "cdla", "cecill", "cern-ohl", "cpal", "cpl", "curl", "ecl", "efl", "elastic", "entessa", "epl", "eudatagrid", "eupl", "fair", "frameworx",
+    "ftl", "gfdl", "gpl", "hpnd", "ibm-pibs", "icu", "ijg", "imagemagick", "intel", "ipa", "ipl", "isc", "json", "lgpl", "libpng", "libtiff", "lppl",
+    "miros", "mit", "motosoto", "mpl", "ms-pl", "ms-rl", "mulanpsl", "multics", "nasa", "naumen", "ncsa", "ngpl", "nokia", "npl", "ntp", "oclc", "odbl",
+    "odc-by", "ofl", "ogl", "ogtsl", "oldap", "openssl", "oset-pl", "osl", "pddl", "php", "postgresql", "psf", "python", "qpl", "rpl", "rpsl", "rscpl",
+    "ruby", "simpl", "sissl", "sleepycat", "spl", "sspl", "tcl", "ucl", "unicode", "unlicense", "upl", "vim", "vsl", "w3c", "watcom", "wtfpl", "x11", "xnet", "zend",
+    "zlib", "zpl",
+)
 # License ids whose label differs from the id in lower case.
 SAME = {"apache-2.0": "apache-2", "gpl-2.0": "gpl-2", "gpl-3.0": "gpl-3"}
 
 _KEEP = b"abcdefghijklmnopqrstuvwxyz0123456789"
 _FOLD = bytes(b if b >= 0x80 or b in _KEEP else (b + 32 if 0x41 <= b <= 0x5A else 0x20) for b in range(256))
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.+:-]+)")
-_CLOSERS = re.compile(r"\s*(\*/|-->|[*#;\"'`<>,]).*$")
+_LICENCE = re.compile(rf"(?:{'|'.join(FAMILIES)})(?:-[a-z0-9.-]+)?\+?|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+", re.IGNORECASE)
+_EXCEPTION = re.compile(r"[a-z0-9.-]*exception[a-z0-9.-]*|(?:documentref-[a-z0-9.-]+:)?additionref-[a-z0-9.-]+", re.IGNORECASE)
 _LINE = re.compile("[^\r\n]*")
 _BINDING = {"or": 1, "and": 2, "with": 3}
 
@@ -113,6 +125,37 @@ def evaluate(expression: str) -> tuple[set[str], bool]:
     return stack.pop()
 
 
+def leading(line: str) -> str | None:
+    """The longest begin of ``line`` that is an expression of known licences; a full stop or colon behind a name ends it."""
+    found, best, depth, at = [], 0, 0, 0
+    before = ""  # the last token: a bracket, an operator, or a name
+    while match := _TOKEN.match(line, at):
+        token, at = match[1].rstrip(".:"), match.end()
+        name = token.lower()
+        due = before in ("", "(", *_BINDING)  # a licence, or after "with" an exception, or a bracket
+        if name == "(":
+            if not due or before == "with":
+                break
+            depth += 1
+        elif name == ")":
+            if due or not depth:
+                break
+            depth -= 1
+        elif name in _BINDING:
+            # an exception belongs to one licence
+            if due or name == "with" and (before == ")" or len(found) > 1 and found[-2].lower() == "with"):
+                break
+        elif not due or not (_EXCEPTION if before == "with" else _LICENCE).fullmatch(token):
+            break
+        found.append(token)
+        before = name if name in _BINDING or name in ("(", ")") else "name"
+        if not depth and before in (")", "name"):
+            best = len(found)
+        if token != match[1]:
+            break
+    return " ".join(found[:best]) or None
+
+
 class Scanner:
     def __init__(self):
         self.phrases, self.tags = ahocorasick.Automaton(), ahocorasick.Automaton()
@@ -125,11 +168,12 @@ class Scanner:
         self.phrases.make_automaton()
         self.tags.make_automaton()
 
-    def expressions(self, text: str) -> list[str]:
+    def expressions(self, text: str) -> list[str | None]:
+        """What each identifier tag says, None where nothing can be read."""
         if "license-" not in (lower := text.lower() if text.isascii() else text.encode().lower().decode()):
             return []
         ends = [end + 1 for end, _ in self.tags.iter(lower)]
-        return [_CLOSERS.sub("", _LINE.match(text, end)[0]).strip() for end in ends]
+        return [leading(_LINE.match(text, end)[0]) for end in ends]
 
     def scan(self, text: str) -> tuple:
         words = text.encode().translate(_FOLD).split()
@@ -148,11 +192,10 @@ class Scanner:
                 base_labels.add(label)
         permissive, malformed = None, 0
         for expression in self.expressions(text):
-            try:
-                more, allowed = evaluate(expression)
-            except ValueError:
+            if expression is None:
                 malformed += 1
                 continue
+            more, allowed = evaluate(expression)
             labels |= more
             permissive = allowed if permissive is None else permissive and allowed
         return (len(words), len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(base_labels)),

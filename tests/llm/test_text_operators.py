@@ -114,6 +114,39 @@ def test_bad_license_expressions(expression):
         licenses.evaluate(expression)
 
 
+@pytest.mark.parametrize("line,expression", [
+    (" MIT", "MIT"), (" MIT.", "MIT"), (" MIT. Apache-2.0 or later", "MIT"), (" MIT This file is part of the tool", "MIT"), ("MIT and this file", "MIT"),
+    (" (MIT OR GPL-2.0+) AND BSD-3-Clause */ x", "( MIT OR GPL-2.0+ ) AND BSD-3-Clause"), (" MIT OR (GPL-3.0 see there", "MIT"), (" MIT, Apache-2.0", "MIT"),
+    (" GPL-2.0-only WITH Classpath-exception-2.0 or so", "GPL-2.0-only WITH Classpath-exception-2.0"), (" GPL-2.0 with care", "GPL-2.0"),
+    (" LicenseRef-Own-1 OR MIT-0", "LicenseRef-Own-1 OR MIT-0"), (" foo", None), ("", None), (" AND MIT", None), (" ( )", None), (" see LICENSE", None),
+    (" MIT WITH LLVM-exception WITH LLVM-exception", "MIT WITH LLVM-exception"), (" mitigated", None), (" (MIT) WITH LLVM-exception", "( MIT )"),
+])
+def test_leading_license_expressions(line, expression):
+    assert licenses.leading(line) == expression
+    if expression:
+        licenses.evaluate(expression)
+
+
+def test_leading_expressions_are_the_longest_valid_begin():
+    random.seed(4)
+    words = ["MIT", "GPL-2.0+", "and", "OR", "with", "LLVM-exception", "(", ")", "prose"]
+
+    def valid(tokens):
+        try:
+            licenses.postfix(" ".join(tokens))
+        except ValueError:
+            return False
+        # each "with" stands between one licence and one exception, exceptions stand nowhere else, no prose
+        places = [i for i, t in enumerate(tokens) if t == "with"]
+        excepted = [i for i, t in enumerate(tokens) if t == "LLVM-exception"]
+        return "prose" not in tokens and [i + 1 for i in places] == excepted and all(tokens[i - 1] in words[:2] for i in places)
+
+    for _ in range(4000):
+        tokens = random.choices(words, k=random.randrange(1, 9))
+        best = max((n for n in range(1, len(tokens) + 1) if valid(tokens[:n])), default=0)
+        assert licenses.leading(" ".join(tokens)) == (" ".join(tokens[:best]) or None), tokens
+
+
 def plain_scan(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i:i + phrase.count(" ") + 1] == phrase.split()]
@@ -129,7 +162,7 @@ def test_license_scan(documents, edge):
         assert found[:5] == plain_scan(text)
         assert set(found[4].split(",")) <= set(found[5].split(",")) | {""} and 0 <= found[6] <= 1
     assert scanner.scan(tricky[2])[5] == "bsd-3-clause,gpl-2,mit" and scanner.scan(tricky[2])[7] is True
-    assert scanner.scan(tricky[3])[8] == 1
+    assert scanner.scan(tricky[3])[5:9] == ("mit", 0.0, True, 0)
     found = licenses.scan_licenses(edge)
     assert found.count() == edge.count() and licenses.scan_licenses(edge.limit(0)).count() == 0
 
