@@ -489,7 +489,7 @@ register_generator("summary", "task", lambda tasks, **o: report_task_summary(tas
 register_generator("detailed", "task", lambda tasks, **o: report_task_detailed(tasks, **o))
 register_generator("summary", "period", lambda metrics, period, **o: report_period(metrics, period, **o))
 register_generator("detailed", "period", lambda metrics, period, **o: report_period(metrics, period, kind="detailed", **o))
-register_generator("metrics", "period", lambda metrics, period, **o: report_metrics_json(metrics, period, **o))
+register_generator("metrics", "period", lambda metrics, period, template=None, **o: report_metrics_json(metrics, period, **o))
 
 
 def generate_reports(generator: str, data: str, **frames) -> DataFrame:

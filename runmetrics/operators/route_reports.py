@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.template import render
-from ..functions.times import rfc3339
+from ..functions.times import next_period, rfc3339
 from . import reports, routing
 from .results import nested_summary
 
@@ -97,12 +97,16 @@ def _filtered(tasks: DataFrame, filters: routing.Filters) -> DataFrame:
     return tasks.filter(routing.task_filter(filters))
 
 
-def _made(generator: str, data: str, routes: Sequence[routing.Route], rows: DataFrame, tasks: DataFrame | None, at: Column) -> list[DataFrame]:
+def _made(
+    generator: str, data: str, routes: Sequence[routing.Route], rows: DataFrame, tasks: DataFrame | None, at: Column, period: str | None,
+) -> list[DataFrame]:
     """Reports of the routes of one generator that isn't a template."""
     out = []
     for r in routes:
         own = rows.filter(F.col("route") == r.name).drop("route")
-        if data == "task":
+        if data == "period":
+            made = reports.generate_reports(generator, data, metrics=own, period=period, template=r.name, at=at)
+        elif data == "task":
             made = reports.generate_reports(generator, data, tasks=_filtered(own, r.filters), template=r.name, at=at)
         elif generator == "detailed":
             made = reports.generate_reports(generator, data, runs=own, tasks=tasks.join(own.select("run_id"), "run_id", "left_semi"), filters=r.filters, template=r.name, at=at)
@@ -115,27 +119,37 @@ def _made(generator: str, data: str, routes: Sequence[routing.Route], rows: Data
 def report_routes(
     data: str, rows: DataFrame, routes: Sequence[routing.Route], tasks: DataFrame | None = None,
     named: Mapping[str, str] | None = None, variables: Mapping[str, str] | None = None, at: Column | None = None,
-    read: Callable[[str], str] | None = None, switches: routing.Switches = routing.Switches(),
+    read: Callable[[str], str] | None = None, switches: routing.Switches = routing.Switches(), period: str | None = None,
 ) -> DataFrame:
-    """Reports of finished runs (``data`` run, with their ``tasks``) or failed tasks (task), one per triggered route.
+    """Reports of finished runs (``data`` run, with their ``tasks``), failed tasks (task) or metrics of periods (period).
 
-    Each by the generator, filters, variables and template of its route. Long detailed reports have several pages. There
-    are none where ``switches`` turn the kind off.
+    One per triggered route, by its generator, filters, variables and template; routes for another ``period`` than the one
+    of the metrics make none. Long detailed reports have several pages. There are none where ``switches`` turn the kind
+    off. Failed tasks and periods are reported row by row, so they may also be a stream.
     """
-    if data not in ("run", "task"):
-        raise ValueError(f"routes are triggered by run or task data, not {data!r}")
+    if data not in KEYS:
+        raise ValueError(f"routes are triggered by run, task or period data, not {data!r}")
+    if data == "period" and period not in reports.PERIOD_TITLES:
+        raise ValueError(f"unknown period {period!r}")
+    if data == "period":
+        routes = routing.routes_for_period(routes, period)
+        if "period_end" not in rows.columns:
+            rows = rows.withColumn("period_end", next_period(F.col("period_start"), period))
     at = F.current_timestamp() if at is None else at
     if not switches.of(data):
         rows = rows.filter(F.lit(False))
-    trigger = routing.runs_triggering if data == "run" else routing.tasks_triggering
+    trigger = {
+        "run": routing.runs_triggering, "task": routing.tasks_triggering,
+        "period": lambda metrics, routes: routing.periods_triggering(metrics, routes, period),
+    }[data]
     parts = []
     for generator in sorted({r.generator_type for r in routes}):
         own = [r for r in routes if r.generator_type == generator]
         triggered = trigger(rows, own)
         if generator == TEMPLATE:
-            parts.append(report_templates(triggered, data, own, route_texts(own, named, read), variables, at))
+            parts.append(report_templates(triggered, data, own, route_texts(own, named, read), variables, at, period))
         else:
-            parts += _made(generator, data, own, triggered, tasks, at)
+            parts += _made(generator, data, own, triggered, tasks, at, period)
     if not parts:
         raise ValueError("no routes")
     paged = [p if "page" in p.columns else p.withColumn("page", F.lit(0).cast("long")) for p in parts]

@@ -61,7 +61,7 @@ class Switches:
     task_completion_reports: bool = True
 
     def of(self, data: str) -> bool:
-        return self.workflow_completion_reports if data == "run" else self.task_completion_reports
+        return {"run": self.workflow_completion_reports, "task": self.task_completion_reports}.get(data, True)
 
 
 def _canonical(names: Iterable[str]) -> list[str]:
@@ -145,6 +145,11 @@ def routes_for_period(routes: Sequence[Route], period: str) -> list[Route]:
     return [r for r in routes if r.period == period]
 
 
+def periods_triggering(periods: DataFrame, routes: Sequence[Route], period: str) -> DataFrame:
+    """Metrics of periods of one length with every enabled route for that length, one row per (period, route)."""
+    return _matching(periods, [(r, F.lit(True)) for r in routes_for_period(routes, period) if r.enabled])
+
+
 def check_channels(routes: Sequence[Route], known: Iterable[str] = CHANNELS) -> None:
     """Raise when a route names a channel nobody delivers to."""
     names = set(known)

@@ -355,6 +355,42 @@ add(
 )
 
 
+TASK_ROUTES = (
+    routing.Route("alerts", "template", trigger_on_task_failure=True, variables={"team": "data"},
+                  template_content="{{team}} {{upper task_type}} {{task_id}} {{status}} {{task.duration_ms}}"),
+    routing.Route("slow", "summary", trigger_on_task_failure=True, filters=routing.Filters(min_duration_seconds=100)),
+    routing.Route("late", "detailed", trigger_on_task_failure=True, filters=routing.Filters(task_status=["Timeout"])),
+    routing.Route("off", "summary", enabled=False, trigger_on_task_failure=True),
+)
+
+
+def _task_reports(spark, sf):
+    c = F.col
+    slow = c("duration_ms") > 300_000
+    tasks = _completions(spark, sf).select(
+        "run_id", c("event_id").cast("string").alias("task_id"), "task_type", F.lit("events").alias("workflow_name"),
+        F.when((c("status") == "failed") & slow, "timeout").otherwise(c("status")).alias("status"), "start_time",
+        F.lit(None).cast("timestamp").alias("end_time"), "duration_ms", F.lit(0).alias("retry_count"),
+        F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("output"),
+    )
+    made = streams.stream_task_reports(tasks, TASK_ROUTES, utc("2024-05-06"))
+    return _appended(spark, made).select("run_id", "task_id", "route", "report_type", "title", F.when(F.col("route") == "alerts", F.col("content")).alias("content"))
+
+
+add(
+    "T5_stream_task_route_reports", _task_reports,
+    """select * from (with f as (select run_id, cast(event_id as varchar) as task_id, task_type, duration_ms,
+                case when duration_ms > 300000 then 'timeout' else 'failed' end as status from stream_events where status = 'failed')
+       select run_id, task_id, 'alerts' as route, 'template' as report_type, concat('alerts - events - Task ', status, ' Report') as title,
+              concat('data ', upper(task_type), ' ', task_id, ' ', status, ' ', coalesce(cast(duration_ms as varchar), '')) as content from f
+       union all select run_id, task_id, 'slow', 'summary', concat('Task Summary: ', task_id, ' in events - ', status), null from f
+       where coalesce(duration_ms // 1000 >= 100, true)
+       union all select run_id, task_id, 'late', 'detailed', concat('Detailed Task Report: ', task_id, ' in events - timeout'), null from f
+       where status = 'timeout') x""",
+    ("stream_events",),
+)
+
+
 def _run_reports(spark, sf):
     configure(spark)
     orders = streams.read_run_stream(spark, sf, t.SCHEMAS["orders"], glob="orders.parquet")

@@ -103,18 +103,20 @@ def _average(c: str) -> str:
     return f"case when {c} is not null then concat('- Average duration: ', printf('%.1f', {c} / 1000.0::double), 's', {_NL}) else '' end"
 
 
+_MONTH_TEXT = f"""concat('📊 **Monthly Metrics Summary**', {_NL}, {_NL}, '**Period:** ', strftime(p, {UTC_TEXT}), ' to ',
+                strftime(p + interval 1 month, {UTC_TEXT}), {_NL}, '**Generated:** {AT} UTC', {_NL}, {_NL}, '**Workflow Statistics:**', {_NL},
+                '- Total workflows: ', cast(total_workflows as varchar), {_NL}, '- Successful: ', cast(ok as varchar), ' (', printf('%.1f', rate), '%)', {_NL},
+                '- Failed: ', cast(bad as varchar), {_NL}, {_average('wd')}, {_NL}, '**Task Statistics:**', {_NL}, '- Total tasks: ',
+                cast(total_tasks as varchar), {_NL}, '- Successful: ', cast(tok as varchar), ' (', printf('%.1f', trate), '%)', {_NL}, '- Failed: ',
+                cast(tbad as varchar), {_NL}, '- Skipped: ', cast(tskip as varchar), {_NL}, '- Cancelled: ', cast(tcancel as varchar), {_NL}, {_average('td')})"""
+
 add(
     "R7_period_summary",
     lambda spark, sf: _pick(
         reports.report_period(_monthly(spark, sf), "monthly", "nightly", at=_at()).withColumn(
             "period", F.date_format("period_start", "yyyy-MM")), "period"),
     f"""select strftime(p, '%Y-%m') as period, 'summary' as report_type, 'Monthly nightly Report' as title,
-              concat('📊 **Monthly Metrics Summary**', {_NL}, {_NL}, '**Period:** ', strftime(p, {UTC_TEXT}), ' to ',
-                strftime(p + interval 1 month, {UTC_TEXT}), {_NL}, '**Generated:** {AT} UTC', {_NL}, {_NL}, '**Workflow Statistics:**', {_NL},
-                '- Total workflows: ', cast(total_workflows as varchar), {_NL}, '- Successful: ', cast(ok as varchar), ' (', printf('%.1f', rate), '%)', {_NL},
-                '- Failed: ', cast(bad as varchar), {_NL}, {_average('wd')}, {_NL}, '**Task Statistics:**', {_NL}, '- Total tasks: ',
-                cast(total_tasks as varchar), {_NL}, '- Successful: ', cast(tok as varchar), ' (', printf('%.1f', trate), '%)', {_NL}, '- Failed: ',
-                cast(tbad as varchar), {_NL}, '- Skipped: ', cast(tskip as varchar), {_NL}, '- Cancelled: ', cast(tcancel as varchar), {_NL}, {_average('td')}) as content,
+              {_MONTH_TEXT} as content,
               'generator=summary,period=Monthly,template=nightly' as metadata
        from {_SERIES} s""",
     ("facts", "tasks"),
@@ -385,6 +387,39 @@ add(
 )
 
 
+PERIOD_ROUTES = (
+    routing.Route("trend", "template", period="monthly", variables={"team": "data"},
+                  template_content="{{team}} {{period}} {{total_workflows}} {{metrics.failed_tasks}} {{generated_at}}"),
+    routing.Route("closing", "summary", period="monthly"),
+    routing.Route("deep", "detailed", period="monthly"),
+    routing.Route("numbers", "metrics", period="monthly"),
+    routing.Route("weekly", "summary", period="weekly"),
+    routing.Route("off", "summary", enabled=False, period="monthly"),
+    routing.Route("runs only", "summary", trigger_on_workflow_completion=True),
+)
+_COUNTS = ("total_workflows", "successful_workflows", "failed_workflows", "total_tasks", "successful_tasks", "failed_tasks", "skipped_tasks", "cancelled_tasks")
+
+
+def _period_routes(spark, sf):
+    made = route_reports.report_routes("period", _monthly(spark, sf), PERIOD_ROUTES, variables={"team": "none"}, at=_at(), period="monthly")
+    counts = F.concat_ws(" ", *[F.get_json_object("content", f"$.{c}") for c in _COUNTS])
+    return made.select(F.date_format("period_start", "yyyy-MM").alias("period"), "route", "report_type", "title", "page",
+                       F.when(F.col("route") == "numbers", counts).otherwise(F.col("content")).alias("content"))
+
+
+add(
+    "R16_period_route_reports", _period_routes,
+    f"""select *, cast(0 as bigint) as page from (with s as (select strftime(p, '%Y-%m') as period, *, {_MONTH_TEXT} as summary from {_SERIES} x)
+         select period, 'trend' as route, 'template' as report_type, 'trend - Monthly Metrics Report' as title,
+                concat('data Monthly ', cast(total_workflows as varchar), ' ', cast(tbad as varchar), ' {AT.replace(' ', 'T')}.000Z') as content from s
+         union all select period, 'closing', 'summary', 'Monthly closing Report', summary from s
+         union all select period, 'deep', 'detailed', 'Detailed Monthly deep Report', summary from s
+         union all select period, 'numbers', 'metrics', 'Metrics Report - Monthly',
+                concat_ws(' ', total_workflows, ok, bad, total_tasks, tok, tbad, tskip, tcancel) from s) x""",
+    ("facts", "tasks"),
+)
+
+
 def _owners(runs, **_):
     return runs.select("run_id", F.lit("owners").alias("report_type"), F.concat(F.lit("Owner of "), "workflow_name").alias("title"))
 

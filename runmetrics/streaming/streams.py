@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.status import is_failed, success_rate
 from ..operators import reports, routing
-from ..operators.route_reports import report_nested_routes
+from ..operators.route_reports import report_nested_routes, report_routes
 from ..operators.windows import join_null_safe
 from ..sources.writers import SINKS, fan_out
 from .state import admit, retain_newest
@@ -90,6 +90,14 @@ def stream_failures(tasks: DataFrame, template: str = "default", at: Column | No
     return reports.report_task_summary(tasks.filter(is_failed("status")), template, at)
 
 
+def stream_task_reports(
+    tasks: DataFrame, routes: Sequence[routing.Route], at: Column | None = None, named: Mapping[str, str] | None = None,
+    variables: Mapping[str, str] | None = None, read: Callable[[str], str] | None = None, switches: routing.Switches = routing.Switches(),
+) -> DataFrame:
+    """Reports of failed tasks, one per triggered route, by the generator, filters and template that the route names."""
+    return report_routes("task", tasks, routes, None, named, variables, at, read, switches)
+
+
 def stream_run_reports(
     nested: DataFrame, routes: Sequence[routing.Route], at: Column | None = None, named: Mapping[str, str] | None = None,
     variables: Mapping[str, str] | None = None, read: Callable[[str], str] | None = None, switches: routing.Switches = routing.Switches(),

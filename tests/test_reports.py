@@ -135,3 +135,25 @@ def test_nested_detailed_reports_follow_the_filters_of_their_route(spark):
     shown = lambda text: [i for i in range(8) if f"t{i}" in text]
     assert shown(found["all"]) == list(range(8)) and shown(found["failed"]) == [3, 5, 7] and shown(found["team"]) == [4, 5, 6, 7]
     assert all(shown(found[name]) == shown(batch[name]) for name in ("all", "failed", "team"))
+
+
+def test_period_routes_report_their_own_period(spark):
+    facts, t = _facts(spark, [task("r", "a", "failed"), task("r", "b", "success")])
+    series = metrics.period_series(facts, t, "daily")
+    routes = [
+        routing.Route("day", period="daily"), routing.Route("deep", "detailed", period="daily"), routing.Route("json", "metrics", period="daily"),
+        routing.Route("text", "template", period="daily", template_file="/f"), routing.Route("month", period="monthly"),
+        routing.Route("off", period="daily", enabled=False), routing.Route("run", trigger_on_workflow_completion=True),
+    ]
+    # a template that only another period needs isn't read
+    routes.append(routing.Route("other", "template", period="weekly"))
+    off = routing.Switches(workflow_completion_reports=False, task_completion_reports=False)
+    made = route_reports.report_routes("period", series, routes, at=utc(AT), period="daily", read=lambda _: "{{period}} {{total_tasks}}", switches=off)
+    assert rows(made, "route", "report_type") == [("day", "summary"), ("deep", "detailed"), ("json", "metrics"), ("text", "template")]
+    found = {r.route: r for r in made.collect()}
+    assert found["text"].content == "Daily 2" and found["day"].content == found["deep"].content == reports.report_period(series.withColumn("period_end", F.expr("period_start + interval 1 day")), "daily", at=utc(AT)).first().content
+    assert route_reports.report_routes("period", series.limit(0), routes[:3], at=utc(AT), period="daily").count() == 0
+    with pytest.raises(ValueError, match="unknown period"):
+        route_reports.report_routes("period", series, routes, at=utc(AT))
+    with pytest.raises(ValueError, match="no routes"):
+        route_reports.report_routes("period", series, routes, at=utc(AT), period="hourly")

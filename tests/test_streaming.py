@@ -6,7 +6,8 @@ import pytest
 from frames import rows, runs, task, tasks
 from pyspark.sql import Window, functions as F
 
-from runmetrics.operators import metrics, results, routing
+from runmetrics.functions.times import utc
+from runmetrics.operators import metrics, results, route_reports, routing
 from runmetrics.sources import writers
 from runmetrics.streaming import streams
 
@@ -157,3 +158,24 @@ def test_run_reports_read_template_files_and_obey_switches(spark, tmp_path):
     off = streams.stream_run_reports(stream(), [route], read={"run.txt": "x"}.get, switches=routing.Switches(workflow_completion_reports=False))
     streams.write_append(off, str(tmp_path / "o2"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.schema(off.schema).parquet(str(tmp_path / "o2")).count() == 0
+
+
+def test_task_reports_follow_their_routes(spark, tmp_path):
+    made = [task("r", "a", "failed", error="E"), task("r", "b", "success"), task("r", "c", "timeout"), task("r", "d", "cancelled")]
+    t = tasks(spark, made).withColumn("workflow_name", F.lit("wf"))
+    t.write.parquet(str(tmp_path / "t"))
+    routes = [
+        routing.Route("text", "template", trigger_on_task_failure=True, template_file="task.txt"),
+        routing.Route("late", "detailed", trigger_on_task_failure=True, filters=routing.Filters(task_status=["Timeout"])),
+        routing.Route("off", enabled=False, trigger_on_task_failure=True), routing.Route("run", trigger_on_workflow_completion=True),
+    ]
+    read = {"task.txt": "{{task_id}} {{error}}"}.get
+    stream = lambda: streams.read_run_stream(spark, str(tmp_path / "t"), t.schema)
+    streams.write_append(streams.stream_task_reports(stream(), routes, utc("2024-05-06"), read=read), str(tmp_path / "o1"), str(tmp_path / "c1")).awaitTermination()
+    streamed = spark.read.parquet(str(tmp_path / "o1"))
+    batch = route_reports.report_routes("task", t, routes, at=utc("2024-05-06"), read=read)
+    assert rows(streamed, "task_id", "route", "title", "content") == rows(batch, "task_id", "route", "title", "content")
+    assert rows(streamed, "task_id", "route") == [("a", "text"), ("c", "late"), ("c", "text"), ("d", "text")]
+    off = streams.stream_task_reports(stream(), routes, read=read, switches=routing.Switches(task_completion_reports=False))
+    streams.write_append(off, str(tmp_path / "o2"), str(tmp_path / "c2")).awaitTermination()
+    assert spark.read.schema(off.schema).parquet(str(tmp_path / "o2")).count() == 0
