@@ -117,14 +117,25 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Every task depends on the one before it and on the one at half its number."""
-    n = nodes(spark, sf)
-    chain = n.select(
-        "run_id", F.lag("task").over(Window.partitionBy("run_id").orderBy("task")).alias("src"), F.col("task").alias("dst")
-    ).filter("src is not null")
-    half = n.filter("task > 1").select("run_id", F.floor(F.col("task") / 2).cast("int").alias("src"), F.col("task").alias("dst"))
-    present = half.join(n.select("run_id", F.col("task").alias("src")), ["run_id", "src"], "left_semi")
-    return chain.unionByName(present.select("run_id", "src", "dst")).distinct()
+    """Every task depends on the one before it and on the one at half its number, if the run has it.
+
+    The numbers of a run are brought together once. Sorted, equal ones are neighbours; each names itself and what it
+    depends on, and sorted again, a number stands before the tasks that name it.
+    """
+    task = F.col("task")
+    line = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("task"))
+    before = F.lag("task").over(Window.partitionBy("run_id").orderBy("task"))
+    numbers = line.withColumn("before", before).filter("task is not null and (before is null or before <> task)")
+    end = lambda src, dst: F.struct(src.cast("int").alias("src"), dst.cast("int").alias("dst"))
+    half = F.floor(task / 2).cast("int")
+    ends = F.array(
+        end(task, F.lit(None)), F.when(F.col("before").isNotNull(), end(F.col("before"), task)),
+        F.when((task > 1) & ~F.col("before").eqNullSafe(half) & F.col("run_id").isNotNull(), end(half, task)),
+    )
+    named = numbers.select("run_id", F.explode(ends).alias("e")).filter("e is not null").select("run_id", "e.src", "e.dst")
+    so_far = Window.partitionBy("run_id", "src").orderBy(F.col("dst").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.max(F.col("dst").isNull()).over(so_far)
+    return named.withColumn("known", known).filter("known and dst is not null").select("run_id", "src", "dst")
 
 
 def workflow_tasks(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +160,13 @@ def declared_tasks(spark: SparkSession, sf: str) -> DataFrame:
     def task(number: Column) -> Column:
         return F.concat(F.lit("task_"), number.cast("string"))
 
-    latest = task_runs(spark, sf)
+    # Only what the definitions take from a task goes on; its part has to be known, its type isn't asked for.
+    parts = load(spark, sf, "part").select(c("p_partkey").alias("l_partkey"))
+    attempts = task_attempts(spark, sf, typed=False).join(parts, "l_partkey", "left_semi").select(
+        "run_id", "ordinal", "status", "start_time", "retry_count", c("error").isNotNull().alias("failed"), "l_partkey", "l_suppkey", "l_discount")
+    # A thousand numbers of a run go one way: ordinary runs stay together, which packs well, and a very large one is spread.
+    attempts = attempts.withColumn("block", F.floor(n / 1000)).repartition("run_id", "block")
+    latest = latest_per_task(attempts, ["start_time", "l_partkey", "l_suppkey"], ["run_id", "block", "ordinal"]).withColumn("task_id", task(n))
     state = load(spark, sf, "orders").select(c("o_orderkey").alias("run_id"), "o_orderstatus")
     rows = latest.join(state, "run_id")
     depends = F.array_distinct(
@@ -158,7 +175,7 @@ def declared_tasks(spark: SparkSession, sf: str) -> DataFrame:
                 F.when(n > 1, task(n - 1)),
                 F.when(n > 1, task(F.floor(n / 2))),
                 F.when((n == 1) & (c("o_orderstatus") == "P"), F.lit("task_2")),
-                F.when((c("l_discount") == 0) & c("error").isNotNull(), c("task_id")),
+                F.when((c("l_discount") == 0) & c("failed"), c("task_id")),
             )
         )
     )

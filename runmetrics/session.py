@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # of narrow rows, 64 MB of a compressed shuffle are ten million and more in one task
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
     PROVIDER: ROCKSDB,
 }
 
