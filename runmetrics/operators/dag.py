@@ -2,8 +2,9 @@
 
 Nodes are rows (key, task), edges rows (key, src, dst) where dst depends on src. The
 iterative operators run one Spark job per graph level and write what each round finds to
-the shared folder, each task once or as often as it is told of a freed dependency. Work is spread by (key, task), never by key alone, so a workflow
-holding a third of all tasks is shared by all executors. Nothing lists pairs of tasks of
+the shared folder, each task once or as often as it is told of a freed dependency. Their work is spread by (key, task), never by key alone, so a workflow
+holding a third of all tasks is shared by all executors. They take workflows of more than a few dozen rows; those below
+are solved whole, see ``small_graphs``. Nothing lists pairs of tasks of
 a workflow: questions about pairs take the pairs, or one source task per row, as input.
 """
 
@@ -14,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, Window, functions as F, types as T
 
 from ..session import shared_dir, stored
+from . import small_graphs
 from .cycles import components, reached
 from .results import critical_tasks
 
@@ -31,7 +33,12 @@ def known_edges(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> Da
     return edges.join(src, [key, "src"], "left_semi").select(key, "src", "dst")
 
 
-def unknown_dependencies(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
+def unknown_dependencies(nodes: DataFrame, edges: DataFrame, key: str = "workflow", graphs: small_graphs.Graphs | None = None) -> DataFrame:
+    """Dependencies that aren't defined; with ``graphs`` of the same rows, only large workflows take a join."""
+    if graphs:
+        found = graphs.solved(small_graphs.unknown, [T.StructField("task", edges.schema["dst"].dataType), T.StructField("dependency", edges.schema["src"].dataType)])
+        found = found.unionByName(edges.filter(F.col(key).isNull()).select(key, F.col("dst").alias("task"), F.col("src").alias("dependency")))
+        return found.unionByName(unknown_dependencies(graphs.large_only(nodes), graphs.large_only(edges), key)) if graphs.any_large else found
     src = nodes.select(key, F.col("task").alias("src"))
     return edges.join(src, [key, "src"], "left_anti").select(
         key, F.col("dst").alias("task"), F.col("src").alias("dependency")
@@ -68,7 +75,15 @@ class _Rounds:
 
 
 def dag_levels(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
-    """Execution batch of every task, from 0; null for tasks on or behind a cycle.
+    """Execution batch of every task, from 0; null for tasks on or behind a cycle."""
+    graphs = small_graphs.Graphs(key, nodes, edges)
+    found = graphs.solved(small_graphs.levels, [nodes.schema["task"], T.StructField("lvl", T.IntegerType())])
+    found = found.unionByName(nodes.filter(F.col(key).isNull()).select(key, "task", F.lit(None).cast("int").alias("lvl")))
+    return found.unionByName(_large_levels(graphs.large_only(nodes), graphs.large_only(edges), key)) if graphs.any_large else found
+
+
+def _large_levels(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """Levels by rounds.
 
     A round takes the tasks freed in the last one and tells their dependents. It writes the tasks it frees, which are
     those of the next level, and those it told whose other dependencies are open; all others aren't touched.
@@ -88,12 +103,18 @@ def dag_levels(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> Dat
     return nodes.select(key, "task").join(freed, [key, "task"], "left")
 
 
-def dag_cycles(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
+def dag_cycles(nodes: DataFrame, edges: DataFrame, key: str = "workflow", graphs: small_graphs.Graphs | None = None) -> DataFrame:
     """Tasks on a cycle, those that lead to themselves, and the component each is in, named after its smallest task.
 
-    Tasks between two cycles are on none.
+    Tasks between two cycles are on none. ``graphs`` are the same nodes and edges, where several operators share them.
     """
-    return components(known_edges(nodes, edges, key).distinct(), key)
+    graphs = graphs or small_graphs.Graphs(key, nodes, edges)
+    task = edges.schema["src"].dataType
+    found = graphs.solved(small_graphs.cyclic, [T.StructField(c, task) for c in ("task", "component")])
+    if not graphs.any_large:
+        return found
+    nodes, edges = graphs.large_only(nodes), graphs.large_only(edges)
+    return found.unionByName(components(known_edges(nodes, edges, key).distinct(), key))
 
 
 def neighbours(edges: DataFrame, direction: str = "dependents", key: str = "workflow") -> DataFrame:
@@ -129,8 +150,11 @@ def dag_leaves(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> Dat
     return nodes.select(key, "task").join(edges.select(key, F.col("src").alias("task")), [key, "task"], "left_anti")
 
 
-def workflows_without_root(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
-    """Workflows in which every task has a dependency."""
+def workflows_without_root(nodes: DataFrame, edges: DataFrame, key: str = "workflow", graphs: small_graphs.Graphs | None = None) -> DataFrame:
+    """Workflows in which every task has a dependency; with ``graphs`` of the same rows, only large ones take joins."""
+    if graphs:
+        found = graphs.solved(small_graphs.rootless, []).unionByName(nodes.filter(F.col(key).isNull()).select(key).distinct())
+        return found.unionByName(workflows_without_root(graphs.large_only(nodes), graphs.large_only(edges), key)) if graphs.any_large else found
     rooted = dag_roots(nodes, edges, key).select(key)
     return nodes.select(key).distinct().join(rooted, key, "left_anti")
 
@@ -161,9 +185,18 @@ def _reached(edges: DataFrame, start: DataFrame, ids: list[str], key: str, still
 def has_dependency_path(edges: DataFrame, pairs: DataFrame, key: str = "workflow") -> DataFrame:
     """For rows (key, task, other): does ``task`` depend on ``other``, directly or not?
 
-    A task counts as depending on itself. The search starts at each ``other`` and goes on only while some task asked
-    for it isn't found, so pairs that are answered soon cost little.
+    A task counts as depending on itself. In large workflows the search starts at each ``other`` and goes on only while
+    some task asked for it isn't found, so pairs that are answered soon cost little.
     """
+    graphs = small_graphs.Graphs(key, None, edges, pairs)
+    found = graphs.solved(small_graphs.depending, [pairs.schema["task"], pairs.schema["other"], graphs.rows.schema["rest"], T.StructField("__hit", T.BooleanType())])
+    apart = found.select(key, "task", "other", "rest.*", "__hit").select(*pairs.columns, "__hit")
+    apart = apart.unionByName(pairs.filter(F.col(key).isNull()).withColumn("__hit", F.lit(False)))
+    answered = apart.select(*pairs.columns, (F.col("__hit") | (F.col("task") == F.col("other"))).alias("depends"))
+    return answered.unionByName(_large_paths(graphs.large_only(edges), graphs.large_only(pairs), key)) if graphs.any_large else answered
+
+
+def _large_paths(edges: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     asked = stored(pairs.select(key, "task", F.col("other").alias("origin")).distinct(), "pairs")
     start = asked.filter(F.col("task") != F.col("origin")).select(key, "origin", F.col("origin").alias("task")).distinct()
 
@@ -177,14 +210,20 @@ def has_dependency_path(edges: DataFrame, pairs: DataFrame, key: str = "workflow
         *pairs.columns, (F.coalesce("__hit", F.lit(False)) | (F.col("task") == F.col("other"))).alias("depends"))
 
 
-def dag_unreachable(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
+def dag_unreachable(nodes: DataFrame, edges: DataFrame, key: str = "workflow", graphs: small_graphs.Graphs | None = None) -> DataFrame:
     """Tasks no root leads to, in workflows that have a root.
 
     A task with declared dependencies is no root, even when those are undefined.
     """
+    graphs = graphs or small_graphs.Graphs(key, nodes, edges)
+    found = graphs.solved(small_graphs.unreachable, [nodes.schema["task"]])
+    if not graphs.any_large:
+        return found
+    nodes, edges = graphs.large_only(nodes), graphs.large_only(edges)
     roots = dag_roots(nodes, edges, key)
     rooted = roots.select(key).distinct()
-    return nodes.select(key, "task").join(dag_reach(edges, roots, key), [key, "task"], "left_anti").join(rooted, key, "left_semi")
+    lost = nodes.select(key, "task").join(dag_reach(edges, roots, key), [key, "task"], "left_anti").join(rooted, key, "left_semi")
+    return found.unionByName(lost)
 
 
 def dag_shape(levels: DataFrame, key: str = "workflow") -> DataFrame:
@@ -206,10 +245,11 @@ def dag_after(levels: DataFrame, targets: DataFrame, key: str = "workflow") -> D
 
 def _beside(levels: DataFrame, targets: DataFrame, key: str, test) -> DataFrame:
     # One target per key keeps the result no larger than the task table.
-    single = targets.groupBy(key).agg(F.min("task").alias("task"), F.count_distinct("task").alias("__n"))
+    levels = stored(levels, "levels")
+    single = targets.groupBy(key).agg(F.min("task").alias("task"), F.max("task").alias("__last"))
     checked = single.select(
         key,
-        F.when(F.col("__n") == 1, F.col("task"))
+        F.when(F.col("__last") == F.col("task"), F.col("task"))
         .otherwise(F.raise_error(F.lit("one target task per workflow expected")).cast("string"))
         .cast(levels.schema["task"].dataType)
         .alias("task"),
@@ -238,7 +278,7 @@ def skip_propagation(
 
     ``levels`` has (key, task, lvl), ``tasks`` (key, workflow_name, task_id, status).
     """
-    placed = tasks.join(levels.withColumnRenamed("task", "task_id"), [key, "task_id"])
+    placed = stored(tasks.join(levels.withColumnRenamed("task", "task_id"), [key, "task_id"]), "placed")
     stop = critical_tasks(placed, definitions, continue_on_error).groupBy(key).agg(F.min("lvl").alias("stop_level"))
     behind = F.col("stop_level").isNotNull() & (F.col("lvl") > F.col("stop_level"))
     return placed.join(stop, key, "left").select(
