@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import brace_error, destination_parts
 from ..session import stored
-from . import dag
+from . import dag, small_graphs
 from .windows import join_null_safe, running_sums
 
 # Task types that can be run, and the texts of the findings.
@@ -134,6 +134,7 @@ def definition_issues(
     places = stored(definitions.select("workflow", "task", F.col("ordinal").cast("int").alias("ordinal")), "places")
     edges = stored(dag.dag_edges(definitions), "edges")
     nodes = places.select("workflow", "task")
+    graphs = small_graphs.Graphs("workflow", nodes, edges)
     task = F.col("task")
 
     def graph_issue(df: DataFrame, severity: str, kind: str, message: Column) -> DataFrame:
@@ -141,13 +142,13 @@ def definition_issues(
                          message.alias("message"))
 
     on_graph = [
-        graph_issue(dag.unknown_dependencies(nodes, edges), ERROR, "unknown_dependency",
+        graph_issue(dag.unknown_dependencies(nodes, edges, graphs=graphs), ERROR, "unknown_dependency",
                     F.format_string(UNKNOWN_DEPENDENCY, task, F.col("dependency"))),
-        graph_issue(dag.dag_cycles(nodes, edges), ERROR, "cycle",
+        graph_issue(dag.dag_cycles(nodes, edges, graphs=graphs), ERROR, "cycle",
                     F.format_string(CYCLE, task)),
         graph_issue(dag.self_dependencies(edges), ERROR, "self_dependency",
                     F.format_string(SELF_DEPENDENCY, task)),
-        graph_issue(dag.dag_unreachable(nodes, edges), WARNING, "unreachable",
+        graph_issue(dag.dag_unreachable(nodes, edges, graphs=graphs), WARNING, "unreachable",
                     F.format_string(UNREACHABLE, task)),
     ]
     placed = reduce(DataFrame.unionByName, on_graph).join(places, ["workflow", "task"])
@@ -157,7 +158,7 @@ def definition_issues(
         workflow_issues(workflows, definitions),
         _issue(duplicate_names(definitions).withColumn("task", F.lit(None).cast("string")), ERROR, "duplicate",
                F.format_string(DUPLICATE_NAME, F.col("name"))),
-        _issue(dag.workflows_without_root(nodes, edges), WARNING, "no_root",
+        _issue(dag.workflows_without_root(nodes, edges, graphs=graphs), WARNING, "no_root",
                F.lit(NO_ROOT), task=False),
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -182,9 +183,23 @@ def validation_messages(issues: DataFrame, per_page: int = 1000) -> DataFrame:
     """The messages as arrays, a page of ``per_page`` messages per row.
 
     A workflow of any size is listed whole, but no row holds more than one page of it, also
-    when one task has most of its messages; ordinary workflows have a single page.
+    when one task has most of its messages; ordinary workflows have a single page, and only the others are numbered.
     """
+    # counted, then grouped: the checks behind the issues run once
+    issues = stored(issues.select("workflow", "ordinal", "severity", "kind", "message"), "issues")
     ordinal = F.coalesce("ordinal", F.lit(-1))
+    issues = issues.withColumn("ordinal", ordinal)
+    several = stored(issues.groupBy("workflow").agg(F.count("*").alias("__n")).filter(F.col("__n") > per_page).select("workflow"), "several-pages")
+    if several.isEmpty():
+        return _paged(issues, F.lit(0).cast("long").alias("page"))
+    # there is at most one such workflow for every per_page rows
+    named = F.broadcast(several)
+    single = join_null_safe(issues, named, ["workflow"], "left_anti")
+    return _paged(single, F.lit(0).cast("long").alias("page")).unionByName(_numbered(join_null_safe(issues, named, ["workflow"], "left_semi"), per_page))
+
+
+def _numbered(issues: DataFrame, per_page: int) -> DataFrame:
+    ordinal = F.col("ordinal")
     counts = issues.groupBy("workflow", ordinal.alias("ordinal")).agg(F.count("*").alias("__n"))
     sums = running_sums(counts, ["workflow"], "ordinal", {"__upto": "__n"}, F.floor(F.col("ordinal") / 1000))
     # A task's messages are spread by their text and numbered within each part, so that no task sorts all of them.
@@ -195,8 +210,10 @@ def validation_messages(issues: DataFrame, per_page: int = 1000) -> DataFrame:
     numbered = join_null_safe(spread.withColumn("__at", F.row_number().over(within)), part_sums, ["workflow", "ordinal", "__part"])
     placed = join_null_safe(numbered, sums, ["workflow", "ordinal"])
     issues = placed.withColumn("__place", F.col("__upto") - F.col("__n") + F.col("__parts") - F.col("__p") + F.col("__at") - 1)
-    page = F.floor(F.col("__place") / per_page).alias("page")
+    return _paged(issues, F.floor(F.col("__place") / per_page).alias("page"))
 
+
+def _paged(issues: DataFrame, page: Column) -> DataFrame:
     def messages(severity: str) -> Column:
         picked = F.collect_list(F.when(F.col("severity") == severity, F.struct("ordinal", "kind", "message")))
         return F.transform(F.array_sort(picked), lambda x: x["message"])
