@@ -166,9 +166,10 @@ def declared_tasks(spark: SparkSession, sf: str) -> DataFrame:
         "run_id", "ordinal", "status", "start_time", "retry_count", c("error").isNotNull().alias("failed"), "l_partkey", "l_suppkey", "l_discount")
     # A thousand numbers of a run go one way: ordinary runs stay together, which packs well, and a very large one is spread.
     attempts = attempts.withColumn("block", F.floor(n / 1000)).repartition("run_id", "block")
-    latest = latest_per_task(attempts, ["start_time", "l_partkey", "l_suppkey"], ["run_id", "block", "ordinal"]).withColumn("task_id", task(n))
+    latest = latest_per_task(attempts, ["start_time", "l_partkey", "l_suppkey"], ["run_id", "block", "ordinal"]).select(
+        "run_id", "ordinal", "status", "retry_count", "failed", "l_discount", F.when(c("l_suppkey") % 4 != 0, (c("l_partkey") % 9).cast("tinyint")).alias("job"))
     state = load(spark, sf, "orders").select(c("o_orderkey").alias("run_id"), "o_orderstatus")
-    rows = latest.join(state, "run_id")
+    rows = latest.join(state, "run_id").withColumn("task_id", task(n))
     depends = F.array_distinct(
         F.array_compact(
             F.array(
@@ -184,7 +185,7 @@ def declared_tasks(spark: SparkSession, sf: str) -> DataFrame:
     )
     return rows.select(
         c("run_id").alias("workflow"), c("task_id").alias("task"), "ordinal",
-        F.when(c("l_suppkey") % 4 != 0, F.concat(F.lit("job "), (c("l_partkey") % 9).cast("string"))).alias("name"),
+        F.concat(F.lit("job "), c("job").cast("string")).alias("name"),
         F.when(c("status") == "timeout", "decompress").otherwise("command").alias("task_type"),
         depends.alias("depends_on"),
         F.when(c("retry_count") < 8, c("retry_count")).alias("max_attempts"),
