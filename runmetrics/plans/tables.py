@@ -6,6 +6,8 @@ attempt), and the line numbers of an order form its dependency graph.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.results import latest_per_task, run_facts
@@ -30,6 +32,10 @@ SCHEMAS = {
     "conversations": "conv_id long, turn long, role string, text string",
 }
 
+# Task numbers that one Spark task sorts or hashes, a few 64 MB pages of its memory. To over 200 parts (Spark's
+# spark.shuffle.sort.bypassMergeThreshold) a scan sorts all it read before it writes, so there are more only for FULL_ROWS.
+TASK_ROWS, FULL_ROWS, PARTS = 500_000, 2_000_000, 200
+
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table with its declared schema; times are read as UTC timestamps."""
@@ -110,6 +116,18 @@ def named_tasks(spark: SparkSession, sf: str, typed: bool = True) -> DataFrame:
     return task_runs(spark, sf, typed).join(names, "run_id")
 
 
+def _numbers(spark: SparkSession, sf: str, *by: str) -> DataFrame:
+    """Task numbers of all runs, repeats included, equal ones of ``by`` together.
+
+    They are dealt to as many Spark tasks as there are rows for, and one a core at least: the session's number of shuffle
+    partitions is the same for a table of any size, so each would grow with the table. The count takes file footers only.
+    """
+    line = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("task"))
+    rows = line.count()
+    parts = max(min(math.ceil(rows / TASK_ROWS), PARTS), math.ceil(rows / FULL_ROWS), spark.sparkContext.defaultParallelism)
+    return line.repartition(parts, *by)
+
+
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("task")
@@ -123,9 +141,8 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     depends on, and sorted again, a number stands before the tasks that name it.
     """
     task = F.col("task")
-    line = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("task"))
     before = F.lag("task").over(Window.partitionBy("run_id").orderBy("task"))
-    numbers = line.withColumn("before", before).filter("task is not null and (before is null or before <> task)")
+    numbers = _numbers(spark, sf, "run_id").withColumn("before", before).filter("task is not null and (before is null or before <> task)")
     end = lambda src, dst: F.struct(src.cast("int").alias("src"), dst.cast("int").alias("dst"))
     half = F.floor(task / 2).cast("int")
     ends = F.array(

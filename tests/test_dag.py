@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runmetrics.operators import cycles, dag, validation
 from runmetrics.plans import tables
+from runmetrics.plans.catalog import QUERIES
 
 
 def _graph(spark, nodes, edges, workflow="w"):
@@ -71,6 +72,35 @@ def test_skip_propagation_skips_the_whole_later_level(spark):
         ("a", "success"), ("b", "failed"), ("c", "success"), ("d", "skipped"), ("e", "skipped")]
 
 
+def _lines(spark, folder, runs=700):
+    """Task numbers of many runs, with gaps and repeats; returns the distinct ones of each."""
+    rnd = random.Random(3)
+    lines = [(run, rnd.randint(1, 9)) for run in range(runs) for _ in range(7)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int").write.parquet(f"{folder}/lineitem.parquet")
+    numbers = {}
+    for run, number in lines:
+        numbers.setdefault(run, set()).add(number)
+    return numbers
+
+
+def _edges_of(numbers):
+    return {(run, src, n) for run, have in numbers.items() for n in have
+            for src in (max((m for m in have if m < n), default=None), n // 2) if src in have and src != n}
+
+
+def _most_in_a_task(df):
+    return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+
+
+def test_dependents_are_found_by_more_tasks_where_there_are_more_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 100, raising=False)
+    expected = _edges_of(_lines(spark, tmp_path))
+    for direction in ("dependents", "dependencies"):
+        found = QUERIES[f"G4_{direction}"](spark, str(tmp_path))
+        assert sorted(map(tuple, found.collect())) == sorted((r, a, b) if direction == "dependents" else (r, b, a) for r, a, b in expected)
+        assert _most_in_a_task(found) < len(expected) / 10
+
+
 DEFINED = ("workflow string, task string, ordinal int, name string, task_type string, depends_on array<string>, max_attempts int, "
            "backoff_multiplier double, when string, config string")
 
