@@ -129,9 +129,7 @@ def _numbers(spark: SparkSession, sf: str, *by: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("task")
-    ).distinct()
+    return _numbers(spark, sf, "run_id", "task").distinct()
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@ import functools
 import os
 import random
 
+import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
@@ -101,6 +102,21 @@ def test_dependents_are_found_by_more_tasks_where_there_are_more_rows(spark, tmp
         assert _most_in_a_task(found) < len(expected) / 10
 
 
+@pytest.mark.parametrize("name, end", [("G6_leaves", 1), ("G6_roots", 2)])
+def test_ends_of_runs_are_found_by_more_tasks_where_there_are_more_rows(spark, tmp_path, monkeypatch, name, end):
+    monkeypatch.setattr(tables, "TASK_ROWS", 100, raising=False)
+    numbers = _lines(spark, tmp_path)
+    inner = {(edge[0], edge[end]) for edge in _edges_of(numbers)}
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        found = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, found.collect())) == sorted((r, n) for r, have in numbers.items() for n in have if (r, n) not in inner)
+        assert _most_in_a_task(found) < len(numbers) / 10
+    finally:
+        spark.conf.unset(threshold)
+
+
 DEFINED = ("workflow string, task string, ordinal int, name string, task_type string, depends_on array<string>, max_attempts int, "
            "backoff_multiplier double, when string, config string")
 
