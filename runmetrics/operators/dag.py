@@ -142,12 +142,20 @@ def neighbour_counts(nodes: DataFrame, edges: DataFrame, key: str = "workflow")
     return counts.filter("known = 1").drop("known")
 
 
+def _without(nodes: DataFrame, edges: DataFrame, end: str, key: str) -> DataFrame:
+    """Tasks that are at that end of no edge.
+
+    Edges are several per row they come from, which Spark's guess of their size doesn't know, so they aren't to be broadcast.
+    """
+    return nodes.select(key, "task").join(edges.select(key, F.col(end).alias("task")).hint("merge"), [key, "task"], "left_anti")
+
+
 def dag_roots(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
-    return nodes.select(key, "task").join(edges.select(key, F.col("dst").alias("task")), [key, "task"], "left_anti")
+    return _without(nodes, edges, "dst", key)
 
 
 def dag_leaves(nodes: DataFrame, edges: DataFrame, key: str = "workflow") -> DataFrame:
-    return nodes.select(key, "task").join(edges.select(key, F.col("src").alias("task")), [key, "task"], "left_anti")
+    return _without(nodes, edges, "src", key)
 
 
 def workflows_without_root(nodes: DataFrame, edges: DataFrame, key: str = "workflow", graphs: small_graphs.Graphs | None = None) -> DataFrame:

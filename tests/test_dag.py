@@ -117,6 +117,20 @@ def test_ends_of_runs_are_found_by_more_tasks_where_there_are_more_rows(spark, t
         spark.conf.unset(threshold)
 
 
+@pytest.mark.parametrize("name", ["G6_leaves", "G6_roots"])
+def test_ends_of_runs_are_found_without_sending_all_edges_to_each_task(spark, tmp_path, name):
+    _lines(spark, tmp_path)
+    assert "Broadcast" not in QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_ends_keep_repeated_tasks_and_those_without_a_key(spark):
+    nodes = [("w", "a"), ("w", "a"), ("w", "b"), ("w", None), (None, "a"), (None, "b"), ("v", "b")]
+    n = spark.createDataFrame(nodes, "workflow string, task string")
+    e = spark.createDataFrame([("w", "a", "b"), ("w", "a", "b"), ("w", "c", "b"), (None, "a", "b"), ("w", "a", None)], "workflow string, src string, dst string")
+    assert rows(dag.dag_roots(n, e).fillna("-")) == sorted((w or "-", t or "-") for w, t in nodes if (w, t) != ("w", "b"))
+    assert rows(dag.dag_leaves(n, e).fillna("-")) == sorted((w or "-", t or "-") for w, t in nodes if (w, t) != ("w", "a"))
+
+
 DEFINED = ("workflow string, task string, ordinal int, name string, task_type string, depends_on array<string>, max_attempts int, "
            "backoff_multiplier double, when string, config string")
 
